@@ -28,8 +28,8 @@ class CosineParameters:
 
     cosine: float = 0.95  # the least cosine of a link
     width: float = 2.0  # of a quantisation step
-    miss: float = 1e-4  # chance that a pair at exactly ``cosine`` shares no table
-    mates: float = 8.0  # unrelated vectors that share a bucket, on average
+    miss: float = 1e-3  # chance that a pair at exactly ``cosine`` shares no table
+    mates: float = 32.0  # unrelated vectors that share a bucket, on average
     block: int = 768  # members of a bucket that meet in one task at a time
     seed: int = 20240229
 
@@ -49,58 +49,65 @@ def plan(vectors: int, p: CosineParameters) -> tuple[int, int]:
     return k, math.ceil(math.log(p.miss) / math.log(1 - near**k))
 
 
-def _normalised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, unit vector as little-endian doubles or null if it can't link)."""
+def _stored(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """(vec_id, vector as little-endian bytes or null if it can't link), and the number type of the bytes.
+
+    Floats stay floats, which halves what is shuffled; norms and cosines are taken in doubles either way.
+    """
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
-                if not v or None in v:
-                    out.append(None)
-                    continue
-                x = np.array(v, np.float64)
-                top = np.abs(x).max()
-                if not np.isfinite(top) or top == 0 or not np.isfinite(x).all():
-                    out.append(None)
-                    continue
-                x = x / top  # else the squares of huge or tiny numbers leave the range
-                out.append((x / np.sqrt((x * x).sum())).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "unit"])
+                x = None if not v or None in v else np.array(v, kind)
+                out.append(None if x is None or not np.isfinite(x).all() or not x.any() else (x + 0).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
+
+    values = F.col(vector_col) if kind == "<f4" else F.col(vector_col).cast("array<double>")
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("v")).mapInArrow(run, "vec_id long, vector binary"), kind
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of norm 1, in doubles; scaled first, else the squares of huge or tiny numbers leave the range."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, unit binary")
 
+def _keys(vectors: DataFrame, kind: str, k: int, tables: int, p: CosineParameters) -> DataFrame:
+    """Adds ``keys``: for each table the vector's bucket, 32 bits that hash its k cells."""
+    width = np.dtype(kind).itemsize
 
-def _keys(units: DataFrame, k: int, tables: int, p: CosineParameters) -> DataFrame:
     def run(batches):
         drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            lengths = [len(u) // 8 for u in batch.column("unit").to_pylist()]
-            for size in sorted(set(lengths)):  # vectors of other dimensions never link
-                at = np.flatnonzero(np.array(lengths) == size)
+            lengths = np.array([len(v) // width for v in batch.column("vector").to_pylist()])
+            for size in np.unique(lengths).tolist():  # vectors of other dimensions never link
                 if size not in drawn:
                     rng = np.random.default_rng([p.seed, size])
                     drawn[size] = rng.standard_normal((size, k * tables)), rng.uniform(0, p.width, k * tables)
                 g, shift = drawn[size]
-                part = batch.take(pa.array(at))
-                x = binary_matrix(part.column("unit"), "<f8", size)
-                cells = np.floor((x @ g + shift) / p.width).astype(np.int64).view(np.uint64).reshape(len(at), tables, k)
-                keys = np.zeros((len(at), tables), np.uint64) + mix(np.arange(tables, dtype=np.uint64) + np.uint64(1000 * size))
+                part = batch.take(pa.array(np.flatnonzero(lengths == size)))
+                x = _units(binary_matrix(part.column("vector"), kind, size))
+                cells = np.floor((x @ g + shift) / p.width).astype(np.int64).view(np.uint64).reshape(len(x), tables, k)
+                keys = np.full((len(x), tables), 1000 * size, np.uint64)
                 for j in range(k):
                     keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j])
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("n_copies"), part.column("unit"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["vec_id", "n_copies", "unit", "keys"])
+                keys = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("n_copies"), part.column("vector"), pa.array(list(keys), pa.list_(pa.int32()))], names=["vec_id", "n_copies", "vector", "keys"])
 
-    return units.mapInArrow(run, "vec_id long, n_copies long, unit binary, keys array<long>")
+    return vectors.mapInArrow(run, "vec_id long, n_copies long, vector binary, keys array<int>")
 
 
-def _met(hashed: DataFrame, tables: int, p: CosineParameters) -> DataFrame:
+def _met(hashed: DataFrame, kind: str, tables: int, p: CosineParameters) -> DataFrame:
     """(vec_id, links, root): per block of a bucket, the links of each vector and the smallest vector it reaches there.
 
     A pair counts only in the first table that it shares. Buckets above ``block`` are cut in blocks and each
     pair of blocks meets in a task of its own, so no task holds more than two blocks.
     """
     parts = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = hashed.select("vec_id", F.posexplode("keys").alias("table", "key"))
+    placed = hashed.select("vec_id", F.length("vector").alias("size"), F.posexplode("keys").alias("table", "bucket")).select("vec_id", "table", F.xxhash64("table", "bucket", "size").alias("key"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("key2"), F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
     dealt = (
         placed.join(sizes, F.col("key") == F.col("key2"))
@@ -108,17 +115,17 @@ def _met(hashed: DataFrame, tables: int, p: CosineParameters) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("vec_id", "table", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
     )
-    rows = dealt.join(hashed, "vec_id").select("gid", "table", "mine", "vec_id", "n_copies", "unit", "keys").repartition(parts, "gid").sortWithinPartitions("gid", "mine", "vec_id")
+    rows = dealt.join(hashed, "vec_id").select("gid", "table", "mine", "vec_id", "n_copies", "vector", "keys").repartition(parts, "gid").sortWithinPartitions("gid", "mine", "vec_id")
 
     def run(batches):
         for table, borders in whole_groups(batches, "gid"):
             ids, weights, mine, at_table = (table.column(c).to_numpy() for c in ("vec_id", "n_copies", "mine", "table"))
-            units = table.column("unit").combine_chunks()
+            vectors = table.column("vector").combine_chunks()
             keys = table.column("keys").combine_chunks()
             keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten().to_numpy().reshape(len(ids), tables)
             for low, high in zip(borders[:-1], borders[1:]):
-                size = len(units[low].as_buffer()) // 8
-                x = binary_matrix(units.slice(low, high - low), "<f8", size)
+                size = len(vectors[low].as_buffer()) // np.dtype(kind).itemsize
+                x = _units(binary_matrix(vectors.slice(low, high - low), kind, size))
                 t = at_table[low]
                 own = mine[low:high]
                 split = int(np.searchsorted(own, own[-1])) if own[0] != own[-1] else 0
@@ -174,26 +181,27 @@ def near_embeddings(vectors: DataFrame, p: CosineParameters = CosineParameters()
     vectors linked directly, exact copies included; component_id is the smallest vec_id reachable.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers have no links and are kept, as are
-    vectors of another dimension than the rest. Equal unit vectors fall together first and weigh as many as
+    vectors of another dimension than the rest. Equal vectors fall together first and weigh as many as
     they are, so a group of copies costs one vector. Repeated rows count as vectors of their own; they share an
     id and thus get the same result. A null vec_id comes back with null component and no links, kept. An empty
     table gives an empty result; labels and other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "lsh")
-    rows = scratch.save(_normalised(vectors, id_col, vector_col), "rows")
-    good = rows.where("unit is not null and vec_id is not null")
-    unique = scratch.save(good.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n_copies")), "unique")
+    stored, kind = _stored(vectors, id_col, vector_col)
+    rows = scratch.save(stored, "rows")
+    good = rows.where("vector is not null and vec_id is not null")
+    unique = scratch.save(good.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n_copies")), "unique")
     # an id on rows of different vectors is a class that holds them all; the rarest of inputs, but defined
     k, tables = plan(unique.count(), p)
-    unique = scratch.save(unique.select(F.col("vec_id"), "n_copies", "unit", F.row_number().over(_by_id()).alias("nth")), "named")
-    hashed = scratch.save(_keys(unique.where("nth = 1").drop("nth"), k, tables, p), "hashed")
-    met = scratch.save(_met(hashed, tables, p), "met")
+    unique = scratch.save(unique.select("vec_id", "n_copies", "vector", F.row_number().over(_by_id()).alias("nth")), "named")
+    hashed = scratch.save(_keys(unique.where("nth = 1").drop("nth"), kind, k, tables, p), "hashed")
+    met = scratch.save(_met(hashed, kind, tables, p), "met")
     counts = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     found = components(met.where("root <> vec_id").select(F.col("root").alias("a"), F.col("vec_id").alias("b")), scratch)
     classes = unique.where("nth = 1").join(counts, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    classes = scratch.save(classes.select(F.col("unit").alias("unit2"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component")), "classes")
-    out = rows.join(classes, (F.col("unit") == F.col("unit2")) & F.col("vec_id").isNotNull(), "left")
+    classes = scratch.save(classes.select(F.col("vector").alias("vector2"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component")), "classes")
+    out = rows.join(classes, (F.col("vector") == F.col("vector2")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
@@ -201,4 +209,4 @@ def near_embeddings(vectors: DataFrame, p: CosineParameters = CosineParameters()
 def _by_id():
     from pyspark.sql import Window
 
-    return Window.partitionBy("vec_id").orderBy("unit")
+    return Window.partitionBy("vec_id").orderBy("vector")
