@@ -23,14 +23,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _octet_codes() -> np.ndarray:
-    """A 64-bit code for each octet; A-Z share those of a-z."""
+def _octet_codes(fold: bool) -> np.ndarray:
+    """A 64-bit code for each octet; with ``fold`` A-Z share those of a-z."""
     octets = np.arange(256, dtype=np.uint64)
-    octets[65:91] += np.uint64(32)
+    if fold:
+        octets[65:91] += np.uint64(32)
     return mix(octets * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_SEED))
 
 
-_CODES = _octet_codes()
+_FOLDED, _EXACT = _octet_codes(True), _octet_codes(False)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Octets of one pass of the word hash; bounds its arrays, texts of any length pass.
 _PASS = 1 << 22
@@ -42,8 +44,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(octets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each document); words are runs without ASCII white space, A-Z lower-cased."""
+def word_hashes(octets: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each document); words are runs without ASCII white space, A-Z lower-cased with ``fold``."""
+    codes = _FOLDED if fold else _EXACT
     if not len(octets):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     solid = ~_IS_SPACE[octets]
@@ -67,13 +70,21 @@ def word_hashes(octets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         to = max(int(np.searchsorted(stops, low + _PASS, "right")), at + 1)
         part = octets[low : stops[to - 1]]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_CODES[part] * _powers(_BASE, len(part)), out=sums[1:])
+        np.cumsum(codes[part] * _powers(_BASE, len(part)), out=sums[1:])
         a, b = starts[at:to] - low, stops[at:to] - low
         out[at:to] = mix((sums[b] - sums[a]) * _powers(_BACK, len(part) + 1)[a] + (b - a).astype(np.uint64))
         at = to
     return out, counts
 
 
+def windows(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every ``width`` words in a row, across documents."""
+    rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
+        rolled = rolled * _STEP + words[k : len(words) - width + 1 + k]
+    return mix(rolled)
+
+
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """For each text its distinct shingle hashes, sorted.
 
@@ -82,11 +93,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """
     octets, offsets = text_buffers(texts)
     words, counts = word_hashes(octets, offsets)
-    multiplier = np.uint64(0xC2B2AE3D27D4EB4F)
-    rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for k in range(width):
-        rolled = rolled * multiplier + words[k : len(words) - width + 1 + k]
-    rolled = mix(rolled)
+    rolled = windows(words, width)
     out, at = [], 0
     for n in counts.tolist():
         if n >= width:
@@ -96,7 +103,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
         elif n:
             h = np.zeros(1, np.uint64)
             for w in words[at : at + n]:
-                h = h * multiplier + w
+                h = h * _STEP + w
             s = mix(h ^ np.uint64(n))
         else:
             s = np.zeros(0, np.uint64)
