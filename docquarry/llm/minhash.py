@@ -30,8 +30,9 @@ class MinHashParameters:
     bands: int = 32
     rows: int = 5
     mantissa_bits: int = 10
-    slack: float = 0.2  # estimates this far below the threshold are not checked: over 6 standard errors
-    block: int = 256  # members of a bucket or group that meet in one task at a time
+    errors: float = 6.5  # estimates this many standard errors below the threshold are not checked
+    partners: int = 256  # of a document that meet it in one task
+    block: int = 768  # members of a bucket that meet as many others in one task
 
     @property
     def registers(self) -> int:
@@ -100,6 +101,17 @@ def estimate(equal: np.ndarray, n1: np.ndarray, n2: np.ndarray, m: int, bits: in
     return (equal - c) / (1 - c)
 
 
+def hopeless(equal: np.ndarray, n1: np.ndarray, n2: np.ndarray, p: MinHashParameters) -> np.ndarray:
+    """Pairs that are no links, by their sizes or their share of equal registers.
+
+    Small sets fill few registers of their own, so their estimates err more.
+    """
+    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
+    error = np.sqrt(0.16 / (0.75 * np.minimum(small, p.registers)))
+    estimated = estimate(equal, n1, n2, p.registers, p.mantissa_bits)
+    return (100 * small < p.percent * large) | (estimated < p.percent / 100 - p.errors * error)
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         return np.array([hashes.sum(dtype=np.uint64), mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).tobytes()
@@ -140,25 +152,28 @@ def signatures(docs: DataFrame, p: MinHashParameters, id_col: str = "doc_id", te
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, p: MinHashParameters) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule out a link; small sets always stay."""
-    m, bits, least = p.registers, p.mantissa_bits, p.percent / 100 - p.slack
+    """Pairs (a, b) whose registers do not rule out a link."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (binary_matrix(batch.column(k), "<u2", m) for k in ("ra", "rb"))
+            x, y = (binary_matrix(batch.column(k), "<u2", p.registers) for k in ("ra", "rb"))
             n1, n2 = (batch.column(k).to_numpy() for k in ("na", "nb"))
-            keep = (estimate((x == y).mean(1), n1, n2, m, bits) >= least) | (np.minimum(n1, n2) < m)
-            keep &= 100 * np.minimum(n1, n2) >= p.percent * np.maximum(n1, n2)  # sizes alone rule others out
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            keep = pa.array(~hopeless((x == y).mean(1), n1, n2, p))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     at_a = reps.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
     at_b = reps.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
     return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, p: MinHashParameters, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, asked: DataFrame, p: MinHashParameters, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sorted distinct shingle hashes) of the documents in ``asked`` (_id).
+
+    The texts meet ``asked`` in a shuffle at every size: it is no table that may be broadcast.
+    """
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -166,30 +181,28 @@ def _sets(docs: DataFrame, p: MinHashParameters, id_col: str, text_col: str) ->
                 sets = shingle_sets(part.column(1), p.shingle_words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "hashes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, hashes binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(asked.hint("merge"), "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(run, "doc_id long, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParameters, scratch: Scratch, label: str, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, p: MinHashParameters, scratch: Scratch) -> DataFrame:
     """The pairs that are links by their full sets.
 
     The partners of a document are dealt in blocks, so that each task gets the document once and at
-    most ``block`` partners with it, however many there are.
+    most ``partners`` with it, however many there are.
     """
-    pairs = scratch.save(pairs, f"{label}-pairs")
+    pairs = scratch.save(pairs, "pairs")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "a2")
-    dealt = pairs.join(counts, F.col("a") == F.col("a2")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / p.block)).alias("part")).select("a", "b", F.xxhash64("a", "part").alias("gid"))
-    dealt = scratch.save(dealt, f"{label}-dealt")
-    asked = dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct()
-    wanted = docs.withColumn("_id", F.col(id_col).cast("long")).join(asked.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").select(F.col("_id").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = scratch.save(_sets(wanted, p, "doc_id", "text"), f"{label}-sets")
+    dealt = pairs.join(counts, F.col("a") == F.col("a2")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / p.partners)).alias("part")).select("a", "b", F.xxhash64("a", "part").alias("gid"))
+    dealt = scratch.save(dealt, "dealt")
     centres = dealt.select("gid", F.col("a").alias("doc_id")).distinct().join(sets, "doc_id").select("gid", F.lit(0).alias("role"), "doc_id", "hashes")
     partners = dealt.select("gid", F.col("b").alias("doc_id")).join(sets, "doc_id").select("gid", F.lit(1).alias("role"), "doc_id", "hashes")
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
 
     def run(batches):
         for table, borders in whole_groups(batches, "gid"):
             ids, roles = table.column("doc_id").to_numpy(), table.column("role").to_numpy()
-            hashes = table.column("hashes").combine_chunks() if table.num_rows else None
+            hashes = table.column("hashes").combine_chunks()
             found_a, found_b = [], []
             for low, high in zip(borders[:-1], borders[1:]):
                 centre = None
@@ -205,55 +218,88 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParameters, scratch:
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     rows = centres.unionByName(partners).repartition(int(parts), "gid").sortWithinPartitions("gid", "role", "doc_id")
-    links = scratch.save(rows.mapInArrow(run, "a long, b long"), f"{label}-links")
-    for t in ("pairs", "dealt", "sets"):
-        scratch.drop(f"{label}-{t}")
+    links = scratch.save(rows.mapInArrow(run, "a long, b long"), "star-links")
+    scratch.drop("pairs")
+    scratch.drop("dealt")
     return links
 
 
-def _crossing(buckets: DataFrame, reps: DataFrame, p: MinHashParameters) -> DataFrame:
-    """Candidate pairs of one bucket but different components, met block by block.
-
-    Only pairs whose registers do not rule out a link leave the task, each from its first common band.
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set, by matrix products."""
+    sizes = np.array([len(s) for s in left + right])
+    _, code = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    seen = np.bincount(code)
+    shared = seen[code] > 1  # a hash of one set only is in no intersection
+    renumber = np.cumsum(seen > 1) - 1
+    code, owner = renumber[code[shared]], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        s = slice(*np.searchsorted(code, [low, low + columns]))
+        part = np.zeros((len(sizes), columns), np.float32)
+        part[owner[s], code[s] - low] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _crossing(buckets: DataFrame, reps: DataFrame, sets: DataFrame, p: MinHashParameters) -> DataFrame:
+    """Links between members of one bucket but different components.
+
+    Members meet block by block and are checked there on full sets, so only links leave the task. Registers
+    come first, and a pair counts only in its first common band.
     """
-    m, bits, least = p.registers, p.mantissa_bits, p.percent / 100 - p.slack
     parts = buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "key2")
-    blocks = F.ceil(F.col("n") / (p.block // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int")
     placed = (
         buckets.join(sizes, F.col("key") == F.col("key2"))
-        .withColumn("blocks", blocks)
-        .withColumn("mine", mine)
+        .withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "doc_id", "comp", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
+        .select("band", "doc_id", "comp", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
     )
-    rows = placed.join(reps.select("doc_id", "registers", "n_shingles"), "doc_id").repartition(int(parts), "gid").sortWithinPartitions("gid", "mine", "doc_id")
+    full = reps.select("doc_id", "registers", "n_shingles").join(sets, "doc_id")
+    rows = placed.join(full, "doc_id").repartition(int(parts), "gid").sortWithinPartitions("gid", "mine", "doc_id")
+
+    def candidates(registers, n, comps, band, split):
+        """Pairs (x, y) of a group that are worth a check; y from the second block, or after x in the only one."""
+        xs, ys = [], []
+        for x in range(split):
+            y = np.arange(split if split < len(n) else x + 1, len(n))
+            y = y[comps[y] != comps[x]]
+            if not len(y):
+                continue
+            same = registers[y] == registers[x]
+            first = same.reshape(len(y), p.bands, p.rows).all(2).argmax(1)
+            ok = (first == band) & ~hopeless(same.mean(1), n[y], np.full(len(y), n[x]), p)
+            xs.append(np.full(int(ok.sum()), x))
+            ys.append(y[ok])
+        return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, int), np.zeros(0, int))
 
     def run(batches):
         for table, borders in whole_groups(batches, "gid"):
             ids, comps, mine, n, bands = (table.column(k).to_numpy() for k in ("doc_id", "comp", "mine", "n_shingles", "band"))
-            registers = binary_matrix(table.column("registers"), "<u2", m)
+            registers = binary_matrix(table.column("registers"), "<u2", p.registers)
+            hashes = table.column("hashes").combine_chunks()
             out_a, out_b = [], []
             for low, high in zip(borders[:-1], borders[1:]):
-                i0 = mine[low:high]
-                split = int(np.searchsorted(i0, i0[-1])) if i0[0] != i0[-1] else high - low
-                for x in range(split):  # rows of the first block against the second, or within the only one
-                    start = split if split < high - low else x + 1
-                    y = np.arange(low + start, high)
-                    x0 = low + x
-                    y = y[comps[y] != comps[x0]]
-                    y = y[100 * np.minimum(n[y], n[x0]) >= p.percent * np.maximum(n[y], n[x0])]
-                    if not len(y):
-                        continue
-                    same = registers[y] == registers[x0]
-                    firsts = same.reshape(len(y), p.bands, p.rows).all(2).argmax(1)
-                    ok = (firsts == bands[low]) & ((estimate(same.mean(1), n[y], np.full(len(y), n[x0]), m, bits) >= least) | (np.minimum(n[y], n[x0]) < m))
-                    out_a += [min(ids[x0], v) for v in ids[y[ok]]]
-                    out_b += [max(ids[x0], v) for v in ids[y[ok]]]
+                own = slice(low, high)
+                m = mine[own]
+                split = int(np.searchsorted(m, m[-1])) if m[0] != m[-1] else high - low
+                x, y = candidates(registers[own], n[own], comps[own], bands[low], split)
+                if not len(x):
+                    continue
+                (ux, ix), (uy, iy) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+                left, right = ([np.frombuffer(hashes[low + k].as_buffer(), np.uint64) for k in u.tolist()] for u in (ux, uy))
+                both = intersections(left, right)[ix, iy]
+                link = 100 * both >= p.percent * (n[low + x] + n[low + y] - both)
+                a, b = ids[low + x[link]], ids[low + y[link]]
+                out_a += np.minimum(a, b).tolist()
+                out_b += np.maximum(a, b).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +312,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(),
     2. In each band's bucket every member meets the smallest one: candidates grow with the members, not with
        their pairs. Estimates drop hopeless ones, full sets confirm the rest, and components follow.
     3. A bucket that still holds several components may hide links, so its members of different components
-       meet, block by block. Found links join the others and components are taken once more.
+       meet, block by block, on full sets. Found links join the others and components are taken once more.
 
     Null or blank texts have an empty set: n_shingles 0, linked with nothing, kept. Repeated rows of one doc_id
     come back as often, with one result where their texts agree. A null doc_id comes back with a null
@@ -287,13 +333,16 @@ def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(),
     centres = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("key2"), "a")
     stars = banded.join(centres, F.col("key") == F.col("key2")).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
-    links = _confirmed(_estimated(stars, reps, p), docs, p, scratch, "star", id_col, text_col)
+    asked = stars.select(F.col("a").alias("_id")).union(stars.select("b")).distinct()
+    sets = scratch.save(_sets(docs, asked, p, id_col, text_col), "sets")
+    links = _confirmed(_estimated(stars, reps, p), sets, p, scratch)
     first = scratch.save(components(links, scratch, "first"), "first-components")
 
     named = reps.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), F.posexplode("bands").alias("band", "key"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select(F.col("key").alias("key2"))
     buckets = scratch.save(named.join(mixed, F.col("key") == F.col("key2")).select("key", "band", "doc_id", "comp"), "mixed")
-    more = _confirmed(_crossing(buckets, reps, p), docs, p, scratch, "cross", id_col, text_col)
+    more = scratch.save(_crossing(buckets, reps, sets, p), "cross-links")
+    scratch.drop("sets")
     chains = membership.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.unionByName(more).unionByName(chains), scratch, "last")
     final = scratch.save(final, "final").select(F.col("node").alias("node"), "component")
