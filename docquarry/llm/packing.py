@@ -25,7 +25,7 @@ from docquarry.llm.ranks import rank_within
 from docquarry.llm.tables import Scratch
 
 #: Words whose ids a worker remembers, in each of two generations.
-_REMEMBERED = 300_000
+_REMEMBERED = 600_000
 
 
 def _stem(word: bytes) -> tuple[bytes, bytes]:
@@ -48,14 +48,33 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        whole = "Ab cd. ef,\n\n 'x\tg"
-        parts = [t for w in ("ab", "cd", ".", "ef", ",", "'x", "g") for t in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        whole = "Ab cd. \x01 ef,\n\n 'x\tg"
+        parts = [t for w in ("ab", "cd", ".", "\x01", "ef", ",", "'x", "g") for t in self.tokenizer.encode(w, add_special_tokens=False).ids]
         if self.tokenizer.encode(whole, add_special_tokens=False).ids != parts:
             raise ValueError("this tokenizer heeds white space or case; words can't be encoded one by one")
+        (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.tails = {t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in (b"", b".", b",")}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _encode_stems(self, stems: list[bytes]) -> None:
+        """Many words in one call, parted by a mark that stands between white space and so is a token of its own."""
+        new = self.new
+        for at in range(0, len(stems), 2_000):
+            part = stems[at : at + 2_000]
+            text = b" \x01 ".join(part)
+            marks = []
+            if text.count(b"\x01") == len(part) - 1:
+                octets = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+                marks = (4 * np.flatnonzero(octets == self.mark)).tolist()
+                octets = octets.tobytes()
+            if len(marks) == len(part) - 1:
+                for stem, low, high in zip(part, [0, *(m + 4 for m in marks)], [*marks, len(octets)]):
+                    new[stem] = octets[low:high]
+            else:  # a word holds the mark
+                for stem in part:
+                    new[stem] = np.array(self.tokenizer.encode(stem.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode().split() for t in texts]  # ASCII white space only
@@ -69,13 +88,12 @@ class WordTokenizer:
                     new[w] = old[w]
                 else:
                     missing.append((w, *_stem(w)))
-        stems = list({stem for _, stem, _ in missing if stem not in new and stem not in old})
-        for at in range(0, len(stems), 20_000):
-            part = stems[at : at + 20_000]
-            for stem, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                new[stem] = np.array(e.ids, "<u4").tobytes()
+        self._encode_stems(list({stem for _, stem, _ in missing if stem not in new and stem not in old}))
         for w, stem, tail in missing:
-            new[w] = (new.get(stem) or old.get(stem, b"")) + self.tails[tail]
+            ids = new.get(stem)
+            if ids is None:
+                ids = old[stem]
+            new[w] = ids + self.tails[tail] if tail else ids
         return [b"".join(map(new.__getitem__, words)) for words in split]
 
 
