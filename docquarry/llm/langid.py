@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.groups import text_buffers
-from docquarry.llm.tables import Scratch
+from docquarry.llm.tables import Scratch, short_batches
 
 _TAG = re.compile(rb"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
@@ -137,6 +137,7 @@ def identify(pages: DataFrame, labelled: DataFrame, p: LanguageParameters = Lang
     labelled texts all is "und". Other columns are ignored.
     """
     spark = pages.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "langid")
     languages, logs = text_model(labelled, p, text_col, lang_col)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.tables import short_batches
+
 #: Phrases that give a label wherever they stand.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -196,6 +198,7 @@ def scan(docs: DataFrame, p: LicenseParameters = LicenseParameters(), id_col: st
     that is covered (1 for a phrase, 0 for nothing). Null texts are empty. Repeated rows are scanned alike;
     null ids come back null; an empty table gives an empty result; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first_word: long, end_word: long, share: double>>"
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("share", pa.float64())]))
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), span]

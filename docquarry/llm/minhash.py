@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.components import components
 from docquarry.llm.groups import binary_matrix, whole_groups
 from docquarry.llm.shingles import mix, shingle_sets
-from docquarry.llm.tables import Scratch
+from docquarry.llm.tables import Scratch, short_batches
 
 
 @dataclass(frozen=True)
@@ -319,6 +319,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(),
     component and kept true. An empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(signatures(docs, p, id_col, text_col), "signed")
     filled = signed.where("doc_id is not null and n_shingles > 0")

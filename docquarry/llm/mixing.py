@@ -84,9 +84,16 @@ def schedule(blocks: dict, weights: dict) -> list[tuple]:
 
 
 def ordered(docs: DataFrame, weights: dict | None = None, p: MixParameters = MixParameters(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with their own columns, as rows in the order of the mix."""
-    mixed = mix(docs, weights, p, id_col, source_col)
-    return mixed.orderBy("mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with their own columns, as rows in the order of the mix.
+
+    Places are found on ids and sources alone, so whole rows are shuffled twice only, to meet their place and to be
+    sorted by it. Rows that share id and source stand together at the first of their places.
+    """
+    narrow = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_of"))
+    places = mix(narrow, weights, p, "_id", "_of").groupBy("_id", "_of").agg(F.min("mix_position").alias("_place"))
+    own = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id2"), F.col(f"`{source_col}`").alias("_of2"))
+    met = own.join(places, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_of").eqNullSafe(F.col("_of2")))
+    return met.select("_row", "_place").orderBy("_place").select("_row.*")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, p: MixParameters = MixParameters(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

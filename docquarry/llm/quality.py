@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from docquarry.llm.groups import text_buffers
 from docquarry.llm.shingles import windows, word_hashes
-from docquarry.llm.tables import Scratch
+from docquarry.llm.tables import Scratch, short_batches
 
 #: Frequent words of the languages served.
 FUNCTION_WORDS = (
@@ -118,6 +118,7 @@ def _measure(texts: pa.Array) -> list[tuple]:
 
 def measured(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """All columns of ``docs`` and the ``FEATURES`` of the whole text (null: empty), as longs named with ``prefix``."""
+    short_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + f, T.LongType()) for f in FEATURES)])
 

@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def short_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Arrow batches hold at most so many rows: with long texts the default of 10,000 takes much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Named tables of one run of an operator, below the shared folder."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.shingles import mix, word_hashes
+from docquarry.llm.tables import short_batches
 
 _NOT_WORD = bytes(c for c in range(128) if not chr(c).isalnum())
 _TO_SPACE = bytes.maketrans(_NOT_WORD, b" " * len(_NOT_WORD))
@@ -134,6 +135,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, p: FactorizationParameter
 
 def fit(docs: DataFrame, labels: DataFrame, p: FactorizationParameters = FactorizationParameters(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """Train on labelled rows outside the held-out fold: all of them, or a hash sample of about ``sample_rows``."""
+    short_batches(docs.sparkSession)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(p.folds))
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).where(fold != p.held_out)
@@ -157,6 +159,7 @@ def score(docs: DataFrame, model: FactorizationMachine, p: FactorizationParamete
     Null and empty texts score the model's prior. Repeated rows score alike. A null doc_id comes back null
     and is not held out. An empty table gives an empty result; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     used = np.flatnonzero(model.weights.astype(bool) | model.factors.any(1)).astype(np.int32)
     packed = (float(model.bias), used, model.weights[used].astype(np.float32), model.factors[used].astype(np.float32))
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most 2 ** bits terms
