@@ -58,8 +58,8 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
 
     def rest(self) -> None:
-        """Between tasks only the newer words are kept."""
-        self.old, self.new = self.new, {}
+        """Between tasks the older words go."""
+        self.old = {}
 
     def _encode_stems(self, stems: list[bytes]) -> None:
         """Many words in one call, parted by a mark that stands between white space and so is a token of its own."""
@@ -124,8 +124,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end
         encoder = _tokenizer(tokenizer_path)
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
                     out: list[list] = [[], [], [], [], [], []]
                     for doc, octets in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                         octets += end
