@@ -25,7 +25,7 @@ from docquarry.llm.ranks import rank_within
 from docquarry.llm.tables import Scratch, short_batches
 
 #: Words whose ids a worker remembers, in each of two generations.
-_REMEMBERED = 600_000
+_REMEMBERED = 500_000
 
 
 def _stem(word: bytes) -> tuple[bytes, bytes]:
@@ -57,10 +57,6 @@ class WordTokenizer:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def rest(self) -> None:
-        """Between tasks the older words go."""
-        self.old = {}
-
     def _encode_stems(self, stems: list[bytes]) -> None:
         """Many words in one call, parted by a mark that stands between white space and so is a token of its own."""
         new = self.new
@@ -122,25 +118,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer_path)
-        try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    out: list[list] = [[], [], [], [], [], []]
-                    for doc, octets in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                        octets += end
-                        for k, low in enumerate(range(0, len(octets), width)):
-                            own = octets[low : low + width]
-                            for column, value in zip(out, (doc, k, low // 4, len(own) // 4, zlib.crc32(own))):
-                                column.append(value)
-                            if ids:
-                                out[5].append(np.frombuffer(own, "<u4").astype(np.int32))
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                    n = 5 + ids
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
-        finally:
-            encoder.rest()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out: list[list] = [[], [], [], [], [], []]
+                for doc, octets in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                    octets += end
+                    for k, low in enumerate(range(0, len(octets), width)):
+                        own = octets[low : low + width]
+                        for column, value in zip(out, (doc, k, low // 4, len(own) // 4, zlib.crc32(own))):
+                            column.append(value)
+                        if ids:
+                            out[5].append(np.frombuffer(own, "<u4").astype(np.int32))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                n = 5 + ids
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
