@@ -54,9 +54,16 @@ class WordTokenizer:
             raise ValueError("this tokenizer heeds white space or case; words can't be encoded one by one")
         (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.tails = {t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in (b"", b".", b",")}
+        self.read = 0  # words of this task
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def rest(self) -> None:
+        """After a task: memory for many more words than a task reads does not pay, and idle workers would hold it."""
+        if len(self.new) + len(self.old) > 8 * self.read:
+            self.new, self.old = {}, {}
+        self.read = 0
+
     def _encode_stems(self, stems: list[bytes]) -> None:
         """Many words in one call, parted by a mark that stands between white space and so is a token of its own."""
         new = self.new
@@ -78,6 +85,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode().split() for t in texts]  # ASCII white space only
+        self.read += sum(map(len, split))
         if len(self.new) > _REMEMBERED:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
@@ -118,22 +126,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out: list[list] = [[], [], [], [], [], []]
-                for doc, octets in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    octets += end
-                    for k, low in enumerate(range(0, len(octets), width)):
-                        own = octets[low : low + width]
-                        for column, value in zip(out, (doc, k, low // 4, len(own) // 4, zlib.crc32(own))):
-                            column.append(value)
-                        if ids:
-                            out[5].append(np.frombuffer(own, "<u4").astype(np.int32))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 5 + ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    out: list[list] = [[], [], [], [], [], []]
+                    for doc, octets in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                        octets += end
+                        for k, low in enumerate(range(0, len(octets), width)):
+                            own = octets[low : low + width]
+                            for column, value in zip(out, (doc, k, low // 4, len(own) // 4, zlib.crc32(own))):
+                                column.append(value)
+                            if ids:
+                                out[5].append(np.frombuffer(own, "<u4").astype(np.int32))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                    n = 5 + ids
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
+        finally:
+            encoder.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
