@@ -90,12 +90,11 @@ class WordTokenizer:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         missing = []
-        for w in set().union(*split):
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    missing.append((w, *_stem(w)))
+        for w in set().union(*split).difference(new):
+            if w in old:
+                new[w] = old[w]
+            else:
+                missing.append((w, *_stem(w)))
         self._encode_stems(list({stem for _, stem, _ in missing if stem not in new and stem not in old}))
         for w, stem, tail in missing:
             ids = new.get(stem)
