@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.plans import dedupe, files, ledger, search, state, text, urls
+from docquarry.plans import audit, dedupe, files, ledger, search, state, text, urls
 
-_MODULES = (dedupe, text, ledger, urls, state, search, files)
+_MODULES = (dedupe, text, ledger, urls, state, search, files, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

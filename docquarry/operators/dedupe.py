@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import word_bigrams
+
 
 def normalised(text: Column) -> Column:
     """Lower case, runs of white space as one space, ends trimmed."""
@@ -26,3 +28,31 @@ def exact_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = own.join(first, "fp")
     copy = F.col("doc_id") != F.col("first")
     return joined.select("doc_id", "fp", F.when(copy, "exact").otherwise("unique").alias("kind"), F.when(copy, F.col("first")).alias("original"))
+
+
+def sketches(docs: DataFrame, size: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, chars, sketch): the ``size`` smallest shingle hashes, as hex that sorts like the unsigned value."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = F.transform(word_bigrams(body), lambda s: F.substring(F.sha2(s.cast("binary"), 256), 1, 16))
+    return docs.select(F.col(key).alias("doc_id"), fingerprint(body).alias("fp"), F.length(normalised(body)).alias("chars"), F.slice(F.array_sort(hashed), 1, size).alias("sketch"))
+
+
+def sketch_similarity(a: Column, b: Column) -> Column:
+    """Shared members of the m smallest of both sketches, over m, m being the shorter sketch's size."""
+    m = F.least(F.size(a), F.size(b))
+    universe = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), m)
+    shared = F.size(F.array_intersect(F.array_intersect(a, b), universe))
+    return F.when(m > 0, shared / m).otherwise(0.0)
+
+
+def near_pairs(sketched: DataFrame, threshold: float = 0.85, chars: int = 200) -> DataFrame:
+    """(a, b, similarity), a < b, of documents of at least ``chars`` characters; lossless.
+
+    A pair at the threshold shares a hash among the first floor((1 - t) * size) + 1 of either sketch, so pairs meet on
+    those only and nothing else is compared. The join is by key, and adaptive execution splits a frequent hash.
+    """
+    long = sketched.where((F.col("chars") >= chars) & (F.size("sketch") > 0))
+    heads = long.select("doc_id", F.explode(F.slice("sketch", F.lit(1), (F.floor((1 - threshold) * F.size("sketch") + 1e-9) + 1).cast("int"))).alias("h"))
+    met = heads.select(F.col("doc_id").alias("a"), "h").join(heads.select(F.col("doc_id").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
+    one, two = (long.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
+    return met.join(one, "a").join(two, "b").select("a", "b", sketch_similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from docquarry.operators import dedupe
 from docquarry.sources.tables import table
 
+
+def _near_pairs(spark, sf_dir):
+    """Pairs of first arrivals; exact copies are collapsed before."""
+    docs = table(spark, sf_dir, "documents")
+    firsts = dedupe.exact_verdicts(docs).where("kind = 'unique'").select("doc_id")
+    pairs = dedupe.near_pairs(dedupe.sketches(docs.join(firsts, "doc_id", "left_semi")))
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 QUERIES = {
     "exact_dedup": lambda spark, sf_dir: dedupe.exact_verdicts(table(spark, sf_dir, "documents")),
+    "near_dedup_pairs": _near_pairs,
 }
 
 ORACLE = {
@@ -16,4 +28,15 @@ ORACLE = {
         SELECT doc_id, fp, CASE WHEN doc_id <> first THEN 'exact' ELSE 'unique' END AS kind,
                CASE WHEN doc_id <> first THEN first END AS original
         FROM f""",
+    "near_dedup_pairs": r"""
+        WITH n AS (SELECT doc_id, text, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS f FROM documents),
+        u AS (SELECT * FROM n QUALIFY doc_id = min(doc_id) OVER (PARTITION BY f)),
+        w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM u WHERE length(f) >= 200),
+        g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
+        k AS (SELECT doc_id, list_sort(list_transform(g, lambda s: substring(sha256(s), 1, 16)))[1:256] AS k FROM g),
+        e AS (SELECT doc_id, unnest(k) AS h FROM k),
+        i AS (SELECT x.doc_id AS a, y.doc_id AS b, list(x.h) AS shared FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+        v AS (SELECT a, b, shared, least(len(p.k), len(q.k)) AS m, list_sort(list_distinct(list_concat(p.k, q.k)))[1:least(len(p.k), len(q.k))] AS universe FROM i JOIN k p ON p.doc_id = a JOIN k q ON q.doc_id = b),
+        s AS (SELECT a, b, len(list_intersect(shared, universe)) / m AS similarity FROM v)
+        SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.85""",
 }
