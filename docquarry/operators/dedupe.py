@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import word_bigrams
+from docquarry.sources.stage import Stage
 
 
 def normalised(text: Column) -> Column:
@@ -56,3 +57,44 @@ def near_pairs(sketched: DataFrame, threshold: float = 0.85, chars: int = 200) -
     met = heads.select(F.col("doc_id").alias("a"), "h").join(heads.select(F.col("doc_id").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
     one, two = (long.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
     return met.join(one, "a").join(two, "b").select("a", "b", sketch_similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def first_come(pairs: DataFrame, stage: Stage) -> DataFrame:
+    """(node): what goes when documents are taken in order and each one near a kept earlier one goes.
+
+    ``pairs`` (a, b), a < b, is a stored table. Nodes without an earlier open neighbour stay; their neighbours go
+    and take their pairs along. Rounds repeat until no pair is open, each a few joins by key on a shrinking
+    table; as many are needed as the longest chain of decisions that hang on each other.
+    """
+    empty = pairs.select(F.col("b").alias("node")).limit(0)
+    open_pairs, gone, turn = pairs.select("a", "b"), empty, 0
+    while not open_pairs.isEmpty():
+        later = open_pairs.select(F.col("b").alias("a")).distinct()
+        dropped = stage.save(open_pairs.join(later, "a", "left_anti").select(F.col("b").alias("node")).distinct(), f"gone{turn}")
+        rest = open_pairs.join(dropped.withColumnRenamed("node", "a"), "a", "left_anti").join(dropped.withColumnRenamed("node", "b"), "b", "left_anti")
+        open_pairs = stage.save(rest, f"open{turn}")
+        gone, turn = gone.unionByName(dropped), turn + 1
+    return gone
+
+
+def verdicts(docs: DataFrame, threshold: float = 0.85, chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, kind, original, similarity) in the order of ``doc_id``: unique, exact or near.
+
+    A near copy names the kept earlier document that it resembles most, the earliest on a tie; exact copies of a
+    near copy name that same original. Null texts count as empty. Pairs are found without loss, see ``near_pairs``.
+    """
+    stage = Stage(docs.sparkSession, "verdicts")
+    exact = exact_verdicts(docs, key, text)
+    firsts = exact.where("kind = 'unique'").select(F.col("doc_id").alias(key))
+    pairs = stage.save(near_pairs(sketches(docs.join(firsts.distinct(), key, "left_semi"), key=key, text=text), threshold, chars), "pairs")
+    gone = first_come(pairs, stage)
+    to_kept = pairs.join(gone.withColumnRenamed("node", "b"), "b", "left_semi").join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
+    near = to_kept.groupBy(F.col("b").alias("_near")).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("_original"), F.max("similarity").alias("_similarity"))
+    joined = exact.withColumn("_first", F.coalesce("original", "doc_id")).join(near, F.col("_first") == F.col("_near"), "left")
+    is_exact, is_near = F.col("kind") == "exact", F.col("_near").isNotNull()
+    return joined.select(
+        "doc_id",
+        F.when(is_exact, "exact").when(is_near, "near").otherwise("unique").alias("kind"),
+        F.coalesce("_original", "original").alias("original"),
+        F.when(is_exact, 1.0).when(is_near, F.col("_similarity")).alias("similarity"),
+    )
