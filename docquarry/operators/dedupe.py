@@ -56,7 +56,9 @@ def near_pairs(sketched: DataFrame, threshold: float = 0.85, chars: int = 200) -
     heads = long.select("doc_id", F.explode(F.slice("sketch", F.lit(1), (F.floor((1 - threshold) * F.size("sketch") + 1e-9) + 1).cast("int"))).alias("h"))
     met = heads.select(F.col("doc_id").alias("a"), "h").join(heads.select(F.col("doc_id").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
     one, two = (long.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
-    return met.join(one, "a").join(two, "b").select("a", "b", sketch_similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    both = met.join(one, "a").join(two, "b")
+    enough = F.size(F.array_intersect("sa", "sb")) >= threshold * F.least(F.size("sa"), F.size("sb")) - 1e-9  # cheap, and needed for the rest
+    return both.where(enough).select("a", "b", F.when(enough, sketch_similarity(F.col("sa"), F.col("sb"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def first_come(pairs: DataFrame, stage: Stage) -> DataFrame:
@@ -86,7 +88,8 @@ def verdicts(docs: DataFrame, threshold: float = 0.85, chars: int = 200, key: st
     stage = Stage(docs.sparkSession, "verdicts")
     exact = exact_verdicts(docs, key, text)
     firsts = exact.where("kind = 'unique'").select(F.col("doc_id").alias(key))
-    pairs = stage.save(near_pairs(sketches(docs.join(firsts.distinct(), key, "left_semi"), key=key, text=text), threshold, chars), "pairs")
+    sketched = stage.save(sketches(docs.join(firsts.distinct(), key, "left_semi"), key=key, text=text), "sketches")
+    pairs = stage.save(near_pairs(sketched, threshold, chars), "pairs")
     gone = first_come(pairs, stage)
     to_kept = pairs.join(gone.withColumnRenamed("node", "b"), "b", "left_semi").join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
     near = to_kept.groupBy(F.col("b").alias("_near")).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("_original"), F.max("similarity").alias("_similarity"))
