@@ -41,8 +41,12 @@ QUERIES = {
 }
 
 _TRACKED = ", ".join(f"'{t}'" for t in urls.TRACKING)
-_CANONICAL = rf"""
-    u AS ({_URLS}),
+
+
+def canonical_ctes(source: str) -> str:
+    """CTEs, the last named ``shown``, that bring the addresses of a query with a column ``url`` to canonical form."""
+    return rf"""
+    u AS ({source}),
     p AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['s', 'a', 'p', 'q']) AS m FROM u),
     h AS (SELECT *, lower(m.s) AS scheme, regexp_replace(lower(regexp_replace(m.a, ':\d*$', '')), '\.+$', '') AS host, regexp_extract(m.a, ':(\d+)$', 1) AS port_text,
                  list_filter(string_split(m.p, '/'), lambda s: s NOT IN ('', '.')) AS kept FROM p),
@@ -50,11 +54,15 @@ _CANONICAL = rf"""
                  CASE WHEN len(kept) = 0 THEN []::VARCHAR[] ELSE list_reduce(list_prepend([]::VARCHAR[], list_transform(kept, lambda s: [s])), lambda a, s: CASE WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] ELSE list_concat(a, s) END) END AS folded FROM h),
     o AS (SELECT *, '/' || array_to_string(folded, '/') || CASE WHEN regexp_matches(m.p, '/$') AND len(folded) > 0 THEN '/' ELSE '' END AS path,
                  array_to_string(list_sort(list_filter(string_split(m.q, '&'), lambda s: s <> '' AND lower(split_part(s, '=', 1)) NOT IN ({_TRACKED}) AND NOT starts_with(lower(s), 'utm_'))), '&') AS query,
-                 coalesce(length(url) <= 2048 AND scheme IN ('http', 'https') AND NOT contains(m.a, '@') AND regexp_matches(host, '^[a-z0-9_\-]{{1,63}}(\.[a-z0-9_\-]{{1,63}})*$') AND port BETWEEN 1 AND 65535, false) AS ok FROM f)"""
+                 coalesce(length(url) <= 2048 AND scheme IN ('http', 'https') AND NOT contains(m.a, '@') AND regexp_matches(host, '^[a-z0-9_\-]{{1,63}}(\.[a-z0-9_\-]{{1,63}})*$') AND port BETWEEN 1 AND 65535, false) AS ok FROM f),
+    shown AS (SELECT *, CASE WHEN ok THEN scheme || '://' || host || CASE WHEN port = CASE WHEN scheme = 'https' THEN 443 ELSE 80 END THEN '' ELSE ':' || port END || path || CASE WHEN query = '' THEN '' ELSE '?' || query END ELSE '' END AS canonical FROM o)"""
+
+
+_CANONICAL = canonical_ctes(_URLS)
 
 ORACLE = {
     "url_canonicalize": f"""WITH {_CANONICAL}
-        SELECT page_id, variant, ok, CASE WHEN ok THEN scheme || '://' || host || CASE WHEN port = CASE WHEN scheme = 'https' THEN 443 ELSE 80 END THEN '' ELSE ':' || port END || path || CASE WHEN query = '' THEN '' ELSE '?' || query END ELSE '' END AS canonical FROM o""",
+        SELECT page_id, variant, ok, canonical FROM shown""",
     "url_scope_filter": f"""WITH {_CANONICAL}, s(scope, s_scheme, s_port, s_host, s_prefix, s_sub) AS ({_SCOPES})
         SELECT page_id, variant, scope FROM o JOIN s ON scheme = s_scheme AND port = s_port AND (host = s_host OR (s_sub AND ends_with(host, '.' || s_host))) AND starts_with(path, s_prefix) WHERE ok""",
     "link_extract": r"""
