@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.plans import audit, crawl, dedupe, files, ledger, search, state, text, urls
+from docquarry.plans import audit, code, crawl, dedupe, files, ledger, rules, search, state, text, urls
 
-_MODULES = (dedupe, text, ledger, urls, state, search, files, audit, crawl)
+_MODULES = (dedupe, text, ledger, urls, state, search, files, audit, crawl, rules, code)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
