@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives. DataFrame functions only.
 
-Candidates are long runs of key characters. A forest trained on labelled findings judges each by its length,
+Candidates are long runs of key characters with digit and letter, whatever begins like a provider's key, and
+whatever is assigned to a name that holds secrets. A forest trained on labelled findings judges each by its length,
 character transitions, dictionary coverage, path and neighbouring words. The trees become SQL
 expressions, so scoring is part of the scan of the texts: no shuffle, no join and no Python.
 """
@@ -38,6 +39,17 @@ _NAMES_SECRET = r"(?i)passw|passwd|pwd|secret|token|api.?key|access.?key|private
 _NAMES_DIGEST = r"(?i)sha\d*|md5|hash|digest|checksum|commit|revision|etag|integrity|uuid|guid|blob|version|build|\bid\b"
 _TEST_PATH = r"(?i)test|spec|fixture|example|sample|mock|demo|doc"
 
+#: Strings that begin like a provider's key; single dots inside belong to them.
+KEYED = rf"(?<![A-Za-z0-9])(?:{PREFIXES})(?:[A-Za-z0-9+/_\-]|\.[A-Za-z0-9])+={{0,2}}"
+_NAME = rf"(?i:{_NAMES_SECRET.removeprefix('(?i)')})[\w.\-]*[\"'\])}}]*"
+_GIVES = "[:=]{1,2}>?"
+#: A quoted value, or one up to white space, quotes or the next assignment.
+_GIVEN = r"""(?:"[^"]+"|'[^']+'|["']?(?:(?![,;&][A-Za-z_][\w.\-]*[=:])[^\s"'<>])+)"""
+#: An assignment within a word, and one that white space divides.
+INSIDE = f"({_NAME}{_GIVES})({_GIVEN})"
+ACROSS = rf"^(\S*{_NAME} ?{_GIVES} ?)({_GIVEN})"
+ANY_CANDIDATE = rf"{CANDIDATE}|{KEYED}|{_NAME}\s*[:=]"
+
 FEATURES = ["length", "transitions", "letter_case", "dictionary", "digits", "distinct", "hex_only", "known_prefix", "secret_name", "digest_name", "test_path", "separators"]
 
 
@@ -93,6 +105,8 @@ def synthetic_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     secret_names = ["password=", "passwd:", "secret =", "token = ", "api_key=", "apiKey:", "access_key =", "auth token", "client_secret:", "private key"]
     digest_names = ["sha256", "commit", "md5:", "digest =", "checksum", "revision", "etag:", "build", "uuid", "integrity ="]
     plain = ["the", "see", "und", "with", "for", "el", "les", "was", ""]
+    letters = lambda start, n: F.translate(F.substring(hexes, F.lit(start), n), "0123456789abcdef", "bhrtkenousimlavd")
+    prose = ["the", "is", "must", "required", "None", "null", "true", "string", "and", "unknown", "here", "see", "optional", "wrong", "John", "expired", "str", "not", "below", "missing"]
     number = lambda k: F.lpad(draw(k, 100000000).cast("string"), 8, "3")
     shapes = [
         (1, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), pick(3, plain)),
@@ -111,6 +125,17 @@ def synthetic_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, F.concat(F.rpad(F.lit("x"), 12, "x"), draw(8, 100).cast("string")), pick(3, secret_names)),
         (0, F.concat(pick(4, ["your-", "example-", "dummy-", "changeme-", "test-"]), word(5), F.lit("-key-"), draw(8, 100).cast("string")), pick(3, secret_names)),
         (0, F.concat(word(5), F.lit("-2024-"), draw(8, 12).cast("string"), F.lit("-"), word(6)), pick(3, plain)),
+        (1, F.concat(letters(3, draw(20, 5) + 4), draw(8, 1000).cast("string")), pick(3, secret_names)),
+        (1, F.concat(letters(5, draw(20, 6) + 3), draw(8, 100).cast("string")), pick(3, secret_names)),
+        (1, F.concat(F.substring(word(5), 1, 6), draw(8, 3000).cast("string")), pick(3, secret_names)),
+        (1, F.concat(F.initcap(letters(3, draw(20, 4) + 1)), pick(4, ["@", "!", "#", "$", ".", "&"]), letters(12, draw(21, 5) + 2), pick(6, ["!", "?", "%", ""]), draw(8, 3000).cast("string")), pick(3, secret_names)),
+        (1, F.concat(letters(3, draw(20, 5) + 4), pick(4, ["", "", " ", "-"]), letters(20, draw(21, 5) + 4), pick(4, ["", "", " ", "-"]), letters(40, draw(22, 9) + 4)), pick(3, secret_names)),
+        (1, F.substring(F.concat(number(8), number(9), number(15)), F.lit(1), draw(20, 19) + 6), pick(3, secret_names)),
+        (1, F.concat(F.lit("AKIA"), F.substring(F.translate(upper, "0123456789", "QWERTZUIOP"), 1, 16)), pick(3, [*plain, *secret_names])),
+        (0, pick(4, prose), pick(3, secret_names)),
+        (0, F.concat(word(5), pick(4, ["", "", "s", "()", ".", "_"]), pick(6, ["", "", *words])), pick(3, secret_names)),
+        (0, F.concat(pick(4, ["${", "self.", "<", "os.environ[", "{{", "get_", "%("]), word(5), pick(6, ["}", "()", "]", "}}", ")s"])), pick(3, secret_names)),
+        (0, F.concat(pick(4, ["sk-", "hf_", "eyJ", "npm_", "SG_"]), F.substring(word(5), 1, 4)), pick(3, plain)),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(shapes)))
     label, value, before = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -127,7 +152,7 @@ def train_forest(findings: DataFrame, p: SecretParameters = SecretParameters())
     At most ``training_rows`` findings are read, those with the smallest hashes.
     """
     rows = findings.where("value is not null and label is not null").select(*(c.alias(n) for n, c in feature_columns(F.col("value"), F.col("before"), F.col("after"), F.col("path")).items()), F.col("label").cast("double").alias("label"))
-    sample = rows.orderBy(F.xxhash64(*FEATURES), "label").limit(p.training_rows)
+    sample = rows.orderBy(F.xxhash64(*FEATURES), "label").limit(p.training_rows).persist()
     if not sample.where("label = 1").take(1) or not sample.where("label = 0").take(1):
         raise ValueError("labelled findings of both kinds are needed")
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")
@@ -139,6 +164,7 @@ def train_forest(findings: DataFrame, p: SecretParameters = SecretParameters())
             return stats[1] / sum(stats)
         return n.split().featureIndex(), n.split().threshold(), node(n.leftChild()), node(n.rightChild())
 
+    sample.unpersist()
     return [node(t._call_java("rootNode")) for t in model.trees]
 
 
@@ -151,17 +177,39 @@ def forest_sql(trees: list, features: str = "") -> str:
     return f"(({' + '.join(sql(t) for t in trees)}) / {len(trees)}.0D)"
 
 
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def candidates_sql(words: str) -> str:
-    """SQL for an array of (word, value, before, after) over an array of words: the runs of key characters with digit and letter."""
-    run = CANDIDATE.replace("\\", "\\\\")
+    """SQL for an array of (kind, word, value, before, after) over an array of words.
+
+    Kind 0: runs of key characters with digit and letter. 1: other strings that begin like a provider's key. 2: other
+    values right after a name that holds secrets and = or :, with or without white space between; a quoted one may have blanks.
+    """
+    run, keyed, inside, across = (_literal(x) for x in (CANDIDATE, KEYED, INSIDE, ACROSS))
+    names, bare = _literal(_NAMES_SECRET), _literal("""^["'].*["']$""")
+    opened, ends = _literal("""[:=]>? ?["'][^"']*$"""), _literal(r"""^["']+|["',;.)\]}]+$""")
+    runs = lambda i: f"filter(regexp_extract_all(get({words}, {i}), {run}, 0), v -> v rlike '[0-9]' and v rlike '[A-Za-z]')"
+    keys = lambda i: f"regexp_extract_all(get({words}, {i}), {keyed}, 0)"
+    near = f"array_join(slice({words}, i + 1, 3), ' ')"
+    tail = f"if({near} rlike {opened}, array_join(slice({words}, i + 1, size({words})), ' '), {near})"
+    matches = f"""concat(
+        transform(regexp_extract_all({words}[i], {inside}, 0), m -> struct(regexp_extract(m, {inside}, 1) as name, regexp_extract(m, {inside}, 2) as given)),
+        filter(transform(array({tail}), t -> struct(regexp_extract(t, {across}, 1) as name, regexp_extract(t, {across}, 2) as given)), m -> contains(m.name, ' ') or contains(m.given, ' ')))"""
+    stripped = f"transform({matches}, m -> struct(m.name as name, if(m.given rlike {bare}, substring(m.given, 2, length(m.given) - 2), regexp_replace(m.given, {ends}, '')) as v))"
+    before = f"if(i > 1, {words}[i - 2], null), if(i > 0, {words}[i - 1], null)"
+    found = lambda kind: f"v -> named_struct('kind', {kind}, 'word', i, 'value', v, 'before', concat_ws(' ', {before}, substring_index({words}[i], v, 1)), 'after', get({words}, i + 1))"
+    at = "i + length(m.name) - length(replace(m.name, ' ', ''))"
+    given = f"""if(({words}[i] rlike '[:=]' or get({words}, i + 1) rlike '^[:=]') and {words}[i] rlike {names},
+        transform(filter({stripped}, m -> m.v <> '' and not array_contains({runs(at)}, m.v) and not array_contains({keys(at)}, m.v)),
+          m -> named_struct('kind', 2, 'word', {at}, 'value', m.v, 'before', concat_ws(' ', {before}, m.name), 'after', get({words}, {at} + size(split(m.v, ' '))))),
+        array())"""
     return f"""
         flatten(transform(
-          filter(sequence(0, size({words}) - 1), i -> {words}[i] rlike '{run}' and {words}[i] rlike '[0-9]'),
-          i -> transform(
-            filter(regexp_extract_all({words}[i], '{run}', 0), v -> v rlike '[0-9]' and v rlike '[A-Za-z]'),
-            v -> named_struct('word', i, 'value', v,
-                              'before', concat_ws(' ', if(i > 1, {words}[i - 2], null), if(i > 0, {words}[i - 1], null), substring_index({words}[i], v, 1)),
-                              'after', get({words}, i + 1)))))
+          filter(sequence(0, size({words}) - 1), i -> ({words}[i] rlike {run} and {words}[i] rlike '[0-9]') or {words}[i] rlike {keyed}
+            or (({words}[i] rlike '[:=]' or get({words}, i + 1) rlike '^[:=]') and {words}[i] rlike {names})),
+          i -> concat(transform({runs('i')}, {found(0)}), transform(filter({keys('i')}, v -> not array_contains({runs('i')}, v)), {found(1)}), {given})))
     """
 
 
@@ -173,7 +221,7 @@ def findings(docs: DataFrame, trees: list, p: SecretParameters = SecretParameter
     other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.col(path_col).cast("string").alias("_path"))
-    hit = own.where(F.col("_text").rlike(CANDIDATE)).select("doc_id", "_path", F.split("_text", SPACES).alias("_words"))
+    hit = own.where(F.col("_text").rlike(ANY_CANDIDATE)).select("doc_id", "_path", F.split("_text", SPACES).alias("_words"))
     rows = hit.select("doc_id", "_path", F.posexplode(F.expr(candidates_sql("_words"))).alias("finding", "c"))
     flat = rows.select("doc_id", "finding", F.col("c.word").alias("word"), F.col("c.value").alias("value"), *(c.alias(n) for n, c in feature_columns(F.col("c.value"), F.col("c.before"), F.col("c.after"), F.col("_path")).items()))
     return flat.withColumn("score", F.expr(forest_sql(trees))).withColumn("is_secret", F.col("score") >= p.threshold)
@@ -182,16 +230,23 @@ def findings(docs: DataFrame, trees: list, p: SecretParameters = SecretParameter
 def redact(docs: DataFrame, trees: list, p: SecretParameters = SecretParameters(), text_col: str = "text", path_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``text_col`` replaced by ``mark``; all rows and columns stay, in one pass.
 
-    Texts without a candidate are not touched.
+    Assigned values go only where they are assigned, and keys only at their beginning, so that a short one does not
+    empty other words. Texts without a candidate are not touched.
     """
     held = "_candidates"
     while held in docs.columns:
         held = "_" + held
     text, path = F.col(f"`{text_col}`"), F.col(f"`{path_col}`").cast("string")
-    hit = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
+    hit = F.coalesce(text.rlike(ANY_CANDIDATE), F.lit(False))
     step = docs.withColumn(held, F.when(hit, F.split(text, SPACES)))
     step = step.withColumn(held, F.when(F.col(held).isNotNull(), F.expr(candidates_sql(held))))
-    step = step.withColumn(held, F.transform(held, lambda c: F.struct(c["value"].alias("value"), *(f.alias(n) for n, f in feature_columns(c["value"], c["before"], c["after"], path).items()))))
-    step = step.withColumn(held, F.expr(f"transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D), x -> x.value)"))
-    cleaned = F.expr(f"aggregate({held}, `{text_col}`, (t, v) -> replace(t, v, '{mark}'))")
+    step = step.withColumn(held, F.transform(held, lambda c: F.struct(c["value"].alias("value"), c["kind"].alias("kind"), *(f.alias(n) for n, f in feature_columns(c["value"], c["before"], c["after"], path).items()))))
+    step = step.withColumn(held, F.expr(f"array_sort(transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D), x -> struct(-x.kind as k, -length(x.value) as n, x.value as v)))"))
+    literal = r"concat('\\Q', replace(replace(x.v, '\\E', '\\E\\\\E\\Q'), ' ', '\\E\\s+\\Q'), '\\E')"
+    into = mark.replace("\\", "\\\\").replace("$", "\\$")
+    assigned = _literal(rf"({_NAME}\s*{_GIVES}\s*[\"']?)")
+    cleaned = F.expr(f"""aggregate({held}, `{text_col}`, (t, x) -> CASE x.k
+        WHEN 0 THEN replace(t, x.v, {_literal(mark)})
+        WHEN -1 THEN regexp_replace(t, concat('(?<![A-Za-z0-9])', {literal}), {_literal(into)})
+        ELSE regexp_replace(t, concat({assigned}, {literal}, '(?![A-Za-z0-9])'), {_literal("$1" + into)}) END)""")
     return step.withColumn(text_col, F.when(F.size(held) > 0, cleaned).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
