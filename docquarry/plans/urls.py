@@ -37,7 +37,7 @@ QUERIES = {
     "url_scope_filter": _scope,
     "link_extract": lambda spark, sf_dir: urls.links(table(spark, sf_dir, "pages")),
     "html_stats": lambda spark, sf_dir: urls.html_stats(table(spark, sf_dir, "pages")).drop("outcome"),
-    "extract_outcome": lambda spark, sf_dir: urls.html_stats(table(spark, sf_dir, "pages").selectExpr("page_id", "CASE CAST(page_id % 4 AS INT) WHEN 0 THEN html WHEN 1 THEN '<p></p>' WHEN 2 THEN '<p>short</p><script>run()</script>' ELSE '<p>short</p>' END AS html")).select("page_id", "outcome"),
+    "extract_outcome": lambda spark, sf_dir: urls.html_stats(table(spark, sf_dir, "pages")).select("page_id", "outcome"),
 }
 
 _TRACKED = ", ".join(f"'{t}'" for t in urls.TRACKING)

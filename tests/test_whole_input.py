@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow.parquet as pq
 
 from docquarry import catalog
+from docquarry.functions import urls
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,3 +26,19 @@ def test_crawl_frontier_follows_all_edges(spark):
         depth |= dict.fromkeys(front, level)
     found = catalog.queries()["crawl_frontier"](spark, DATA).collect()
     assert len(found) == len(depth) and {r.node: r.depth for r in found} == depth
+
+
+def outcome(html):
+    hidden = r"(?is)<(script|style|noscript|template)\b[^>]*>(.*?)</\1\s*>"
+    scripts = sum(len(m[1].strip(" ")) for m in re.findall(hidden, html))
+    seen = re.sub(r"(?is)<!--.*?-->|<title[^>]*>.*?</title>|<[^>]*>", " ", re.sub(hidden, " ", html))
+    shown = len(re.sub("[ \\t\\n\\x0b\\f\\r]+", " ", seen).strip(" "))
+    return "sufficient" if shown >= 200 else "client_rendered" if scripts else "too_short" if shown else "empty"
+
+
+def test_extract_outcome_reads_every_page(spark):
+    found = {r.page_id: r.outcome for r in catalog.queries()["extract_outcome"](spark, DATA).collect()}
+    assert found == {r["page_id"]: outcome(r["html"]) for r in stored("pages", "page_id", "html")}
+    stubs = {"<p></p>": "empty", "<p>short</p><script>run()</script>": "client_rendered", "<p>short</p>": "too_short", "<p>" + "long " * 50 + "</p>": "sufficient"}
+    pages = spark.createDataFrame([(k, h) for k, h in enumerate(stubs)], "page_id long, html string")
+    assert [r.outcome for r in urls.html_stats(pages).orderBy("page_id").collect()] == list(stubs.values()) == [outcome(h) for h in stubs]
