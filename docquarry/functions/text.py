@@ -1,11 +1,14 @@
-"""Text expressions; all run inside code generation."""
+"""Text expressions; all but ``nfkc`` run inside code generation."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a leaked secret tends to begin with.
 SECRET_MARKERS = ("-----BEGIN", "sk-", "ghp_", "xoxb-", "aws_access_key_id", "api_key =")
@@ -65,8 +68,14 @@ def markdown_to_text(markdown: Column) -> Column:
     return F.trim(F.array_join(clean, "\n"))
 
 
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Compatibility forms as plain ones; SQL has no such function."""
+    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in text.to_pylist()], pa.string())
+
+
 def slug(heading: Column) -> Column:
-    """Lower case, marks dropped, runs of blanks, underscores and hyphens as one hyphen; ``section`` if nothing is left."""
-    kept = F.regexp_replace(F.lower(F.trim(heading)), r"(?U)[^\w\s-]", "")
+    """NFKC, lower case, marks dropped, runs of blanks, underscores and hyphens as one hyphen; ``section`` if nothing is left."""
+    kept = F.regexp_replace(F.lower(F.trim(nfkc(heading))), r"(?U)[^\w\s-]", "")
     dashed = F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_-]+", "-"), "^-+|-+$", "")
     return F.when(dashed == "", "section").otherwise(dashed)

@@ -48,7 +48,7 @@ def _secrets(spark, sf_dir):
 
 
 def _slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", t.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
 #: Documents as Markdown: first words as heading, a list and emphasis.

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from docquarry import catalog
-from docquarry.functions import urls
+from docquarry.functions import text, urls
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,3 +44,16 @@ def test_extract_outcome_reads_every_page(spark):
     stubs = {"<p></p>": "empty", "<p>short</p><script>run()</script>": "client_rendered", "<p>short</p>": "too_short", "<p>" + "long " * 50 + "</p>": "sufficient"}
     pages = spark.createDataFrame([(k, h) for k, h in enumerate(stubs)], "page_id long, html string")
     assert [r.outcome for r in urls.html_stats(pages).orderBy("page_id").collect()] == list(stubs.values()) == [outcome(h) for h in stubs]
+
+
+def slug(value):
+    kept = re.sub(r"[^\w\s-]", "", unicodedata.normalize("NFKC", value).strip().lower())
+    return re.sub(r"[\s_-]+", "-", kept).strip("-") or "section"
+
+
+def test_slugs_of_whole_texts(spark):
+    found = {r.doc_id: r.slug for r in catalog.queries()["slugify"](spark, DATA).collect()}
+    assert found == {r["doc_id"]: None if r["text"] is None else slug(r["text"]) for r in stored("documents", "doc_id", "text")}
+    odd = ["word " * 40 + "end", "Ｆｕｌｌ　ﬁne ²", "", None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "k long, v string")
+    assert [r.s for r in df.select("k", text.slug(F.col("v")).alias("s")).orderBy("k").collect()] == [None if v is None else slug(v) for v in odd]
