@@ -67,6 +67,13 @@ def test_minhash_against_brute_force(spark):
         assert found == near_brute(texts, 4, 80)
 
 
+def test_minhash_of_repeated_ids(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(5, one), (5, two), (9, two), (7, two + " tail"), (5, one), (8, one), (11, "quite another text of some words")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.MinHashParameters(shingle_words=4)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5), (11, 11)]
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(1)
     edges, detours = minhash._edges(160), minhash._detours(160)
@@ -102,6 +109,13 @@ def test_embeddings_against_brute_force(spark):
     assert embed_lsh.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    a, b, c = ([float(k == j) for j in range(16)] for k in range(3))
+    rows = [(5, a), (6, a), (5, b), (7, b), (9, b), (10, c)]
+    found = embed_lsh.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (9, 2, 5, False), (10, 0, 10, True)]
+
+
 def test_packing(spark):
     df = odd_documents(spark)
     packed = packing.pack(df, queries.tokenizer_file(), 64, ids=True).collect()
@@ -171,6 +185,13 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_repeated_ids(spark):
+    rows = [(8, "u", "y" * 200), (8, "u", "x" * 300), (9, "u", "y" * 200), (10, "u", "x" * 300), (11, "u", "z" * (3 << 20))]
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert found.where("digest_matches").count() == len(rows)
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to or 0) for r in found.collect()) == [(8, 200, 0), (8, 300, 0), (9, 200, 8), (10, 300, 8), (11, 3 << 20, 0)]
+
+
 def test_warc_chunks(spark, tmp_path):
     from docquarry.llm.tables import Scratch
 
