@@ -182,31 +182,30 @@ def near_embeddings(vectors: DataFrame, p: CosineParameters = CosineParameters()
 
     Vectors that are null, empty, zero or hold null or non-finite numbers have no links and are kept, as are
     vectors of another dimension than the rest. Equal vectors fall together first and weigh as many as
-    they are, so a group of copies costs one vector. Repeated rows count as vectors of their own; they share an
-    id and thus get the same result. A null vec_id comes back with null component and no links, kept. An empty
-    table gives an empty result; labels and other columns are ignored.
+    they are, so a group of copies costs one vector. Repeated rows count as vectors of their own, each with the links of
+    its own vector; rows of one id are in one component. A null vec_id comes back with null component and no links, kept.
+    An empty table gives an empty result; labels and other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "lsh")
     stored, kind = _stored(vectors, id_col, vector_col)
     rows = scratch.save(stored, "rows")
     good = rows.where("vector is not null and vec_id is not null")
-    unique = scratch.save(good.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n_copies")), "unique")
-    # an id on rows of different vectors is a class that holds them all; the rarest of inputs, but defined
+    # classes of equal vectors, by a number of their own: an id may be in several
+    unique = scratch.save(good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n_copies")).withColumn("node", F.monotonically_increasing_id()), "unique")
     k, tables = plan(unique.count(), p)
-    unique = scratch.save(unique.select("vec_id", "n_copies", "vector", F.row_number().over(_by_id()).alias("nth")), "named")
-    hashed = scratch.save(_keys(unique.where("nth = 1").drop("nth"), kind, k, tables, p), "hashed")
+    members = scratch.save(rows.join(unique.select(F.col("vector").alias("vector2"), "node"), (F.col("vector") == F.col("vector2")) & F.col("vec_id").isNotNull(), "left").select("vec_id", "node"), "members")
+    hashed = scratch.save(_keys(unique.select(F.col("node").alias("vec_id"), "n_copies", "vector"), kind, k, tables, p), "hashed")
     met = scratch.save(_met(hashed, kind, tables, p), "met")
     counts = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    found = components(met.where("root <> vec_id").select(F.col("root").alias("a"), F.col("vec_id").alias("b")), scratch)
-    classes = unique.where("nth = 1").join(counts, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    classes = scratch.save(classes.select(F.col("vector").alias("vector2"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component")), "classes")
-    out = rows.join(classes, (F.col("vector") == F.col("vector2")) & F.col("vec_id").isNotNull(), "left")
+    several = members.where("node is not null").groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    through_ids = members.where("node is not null").join(several, "vec_id").select("a", F.col("node").alias("b"))
+    linked = met.where("root <> vec_id").select(F.col("root").alias("a"), F.col("vec_id").alias("b"))
+    found = components(linked.unionByName(through_ids), scratch)
+    classes = unique.select("node", "least", "n_copies").join(counts.withColumnRenamed("vec_id", "node"), "node", "left").join(found, "node", "left")
+    classes = scratch.save(classes.select(F.col("node").alias("node2"), "least", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group")), "classes")
+    named = classes.groupBy("group").agg(F.min("least").alias("component")).withColumnRenamed("group", "group2")
+    classes = classes.join(named, F.col("group") == F.col("group2")).select("node2", "n_links", "component")
+    out = members.join(classes, F.col("node") == F.col("node2"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("vec_id").orderBy("vector")
