@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquarry.llm import embed_lsh, langid, licenses, minhash, mixing, packing, quality, secret_scan, toxicity, warc
 
@@ -20,7 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("digest_matches"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record is not what was written")))
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

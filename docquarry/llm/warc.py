@@ -49,6 +49,11 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+def _record_id(page: Column, digest: Column) -> Column:
+    """A page's id and its payload's digest, as one id may come with several payloads."""
+    return _text(ID_PREFIX, page, ":", digest)
+
+
 def write_archives(records: DataFrame, path: str, segment_bytes: int = 1 << 20) -> None:
     """Write rows of ``with_revisits`` as gzip WARC archives, one a partition, below ``path``."""
     whole = F.length("payload")
@@ -62,7 +67,8 @@ def write_archives(records: DataFrame, path: str, segment_bytes: int = 1 << 20)
     length = (F.length("body") + F.length("http")).cast("string")
     kind = F.when(first, F.col("record_type")).otherwise("continuation")
     several = F.col("segments") > 1
-    name = _text(ID_PREFIX, page, F.when(first, "").otherwise(_text(";segment=", F.col("segment").cast("string"))))
+    own = _record_id(page, F.col("digest"))
+    name = _text(own, F.when(first, "").otherwise(_text(";segment=", F.col("segment").cast("string"))))
     head = _text(
         f"{VERSION}\r\nWARC-Type: ",
         kind,
@@ -72,9 +78,9 @@ def write_archives(records: DataFrame, path: str, segment_bytes: int = 1 << 20)
         url,
         "\r\nWARC-Payload-Digest: sha256:",
         F.col("digest"),
-        F.when(F.col("record_type") == "revisit", _text("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <", ID_PREFIX, F.col("refers_to").cast("string"), ">")).otherwise(""),
+        F.when(F.col("record_type") == "revisit", _text("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <", _record_id(F.col("refers_to").cast("string"), F.col("digest")), ">")).otherwise(""),
         F.when(several, _text("\r\nWARC-Segment-Number: ", F.col("segment").cast("string"))).otherwise(""),
-        F.when(several & ~first, _text("\r\nWARC-Segment-Origin-ID: <", ID_PREFIX, page, ">")).otherwise(""),
+        F.when(several & ~first, _text("\r\nWARC-Segment-Origin-ID: <", own, ">")).otherwise(""),
         F.when(several & (F.col("segment") == F.col("segments")), _text("\r\nWARC-Segment-Total-Length: ", (whole + len(HTTP_HEAD)).cast("string"))).otherwise(""),
         "\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: ",
         length,
@@ -207,13 +213,17 @@ def read_archives(spark: SparkSession, path: str, chunk_bytes: int = 1 << 18, wi
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """One row per record with the length and digest of its full payload; a revisit has those of the record it refers to."""
+    """One row per record with the length and digest of its full payload; a revisit has those of the record it refers to.
+
+    A revisit meets its record by id and declared digest; archives may hold one record several times.
+    """
     own = chunks.where("last").select(
         "record_id", "record_type", F.col("refers_to").alias("refers_id"), "target_uri", "declared_digest", (F.col("start") + F.col("length")).alias("bytes"), F.col("digest_so_far").alias("digest")
     )
-    targets = own.join(own.where("refers_id is not null").select(F.col("refers_id").alias("record_id")).distinct(), "record_id", "left_semi")
-    targets = targets.where("record_type = 'response'").groupBy("record_id").agg(F.first("bytes").alias("full_bytes"), F.first("digest").alias("full_digest")).withColumnRenamed("record_id", "target_id")
-    joined = own.join(targets, F.col("refers_id") == F.col("target_id"), "left")
+    asked = own.where("refers_id is not null").select(F.col("refers_id").alias("record_id"), F.col("declared_digest").alias("digest")).distinct()
+    targets = own.where("record_type = 'response'").join(asked, ["record_id", "digest"], "left_semi").groupBy("record_id", "digest").agg(F.max("bytes").alias("full_bytes"))
+    targets = targets.select(F.col("record_id").alias("target_id"), F.col("digest").alias("full_digest"), "full_bytes")
+    joined = own.join(targets, (F.col("refers_id") == F.col("target_id")) & (F.col("declared_digest") == F.col("full_digest")), "left")
     revisit = F.col("record_type") == "revisit"
     return joined.select("record_id", "record_type", "refers_id", "target_uri", "declared_digest", F.when(revisit, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.col("full_digest")).otherwise(F.col("digest")).alias("payload_digest"))
 
@@ -231,7 +241,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     write_archives(with_revisits(pages, scratch, id_col=id_col, url_col=url_col, payload_col=payload_col), scratch.path("archives"), segment_bytes)
     table = scratch.save(read_archives(spark, scratch.path("archives"), chunk_bytes, with_payload=False), "chunks")
     scratch.drop("archives")
-    number = lambda c: F.nullif(F.substring(F.col(c), len(ID_PREFIX) + 1, 40), F.lit("")).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, rf"^{ID_PREFIX}(-?\d*):", 1), F.lit("")).cast("long")
     return records(table).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_id").alias("refers_to"), (F.col("payload_digest") == F.col("declared_digest")).alias("digest_matches")
     )
