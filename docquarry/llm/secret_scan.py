@@ -230,23 +230,23 @@ def findings(docs: DataFrame, trees: list, p: SecretParameters = SecretParameter
 def redact(docs: DataFrame, trees: list, p: SecretParameters = SecretParameters(), text_col: str = "text", path_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of ``text_col`` replaced by ``mark``; all rows and columns stay, in one pass.
 
-    Assigned values go only where they are assigned, and keys only at their beginning, so that a short one does not
-    empty other words. Texts without a candidate are not touched.
+    A value goes only from the words where the forest judged it a secret, the longest ones of a word first; the same
+    string elsewhere, judged a digest, stays. A quoted value with blanks goes from each word that it spans. Texts without
+    a candidate, null and empty texts are not touched; a null path is no test path; repeated rows are redacted alike; an
+    empty table gives an empty result.
     """
-    held = "_candidates"
-    while held in docs.columns:
-        held = "_" + held
+    held, words = "_candidates", "_words"
+    while held in docs.columns or words in docs.columns:
+        held, words = "_" + held, "_" + words
     text, path = F.col(f"`{text_col}`"), F.col(f"`{path_col}`").cast("string")
-    hit = F.coalesce(text.rlike(ANY_CANDIDATE), F.lit(False))
-    step = docs.withColumn(held, F.when(hit, F.split(text, SPACES)))
-    step = step.withColumn(held, F.when(F.col(held).isNotNull(), F.expr(candidates_sql(held))))
-    step = step.withColumn(held, F.transform(held, lambda c: F.struct(c["value"].alias("value"), c["kind"].alias("kind"), *(f.alias(n) for n, f in feature_columns(c["value"], c["before"], c["after"], path).items()))))
-    step = step.withColumn(held, F.expr(f"array_sort(transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D), x -> struct(-x.kind as k, -length(x.value) as n, x.value as v)))"))
-    literal = r"concat('\\Q', replace(replace(x.v, '\\E', '\\E\\\\E\\Q'), ' ', '\\E\\s+\\Q'), '\\E')"
-    into = mark.replace("\\", "\\\\").replace("$", "\\$")
-    assigned = _literal(rf"({_NAME}\s*{_GIVES}\s*[\"']?)")
-    cleaned = F.expr(f"""aggregate({held}, `{text_col}`, (t, x) -> CASE x.k
-        WHEN 0 THEN replace(t, x.v, {_literal(mark)})
-        WHEN -1 THEN regexp_replace(t, concat('(?<![A-Za-z0-9])', {literal}), {_literal(into)})
-        ELSE regexp_replace(t, concat({assigned}, {literal}, '(?![A-Za-z0-9])'), {_literal("$1" + into)}) END)""")
-    return step.withColumn(text_col, F.when(F.size(held) > 0, cleaned).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    hit = F.coalesce(text.cast("string").rlike(ANY_CANDIDATE), F.lit(False))
+    step = docs.withColumn(words, F.when(hit, F.split(text, SPACES)))
+    step = step.withColumn(held, F.when(F.col(words).isNotNull(), F.expr(candidates_sql(words))))
+    step = step.withColumn(held, F.transform(held, lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), *(f.alias(n) for n, f in feature_columns(c["value"], c["before"], c["after"], path).items()))))
+    # (word, the part of a value in it, what takes its place): the first word of a value gets the mark
+    step = step.withColumn(held, F.expr(f"""array_sort(flatten(transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D),
+        x -> transform(split(x.value, ' '), (v, k) -> struct(x.word + k as word, -length(v) as n, v as v, if(k = 0, {_literal(mark)}, '') as into)))))"""))
+    clean = f"""if(exists({held}, x -> x.word = i), aggregate(filter({held}, x -> x.word = i), w, (t, x) -> replace(t, x.v, x.into)), w)"""
+    gaps = f"transform(regexp_extract_all(`{text_col}`, {_literal(SPACES)}, 0), (g, i) -> if(exists({held}, x -> x.word = i + 1 and x.into = ''), '', g))"
+    rebuilt = F.expr(f"array_join(zip_with(transform({words}, (w, i) -> {clean}), {gaps}, (w, g) -> concat(w, coalesce(g, ''))), '')")
+    return step.withColumn(text_col, F.when(F.size(held) > 0, rebuilt).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
