@@ -10,7 +10,9 @@ When a source runs out, a new phase begins with the weights of the remaining one
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +23,25 @@ from docquarry.llm.ranks import rank_within
 @dataclass(frozen=True)
 class MixParameters:
     block_docs: int = 16  # documents of a block; a source's last block may be shorter
-    resolution: int = 1000  # weights are rounded to whole numbers that sum to about this
-    power: float = 0.5  # without target weights, a source weighs its number of documents to this power
+    slots: int = 1 << 16  # most slots of a simulated period
+    power: float = 0.5  # without target weights, a source weighs its number of documents to this power, as a whole number
 
 
-def whole_weights(weights: dict, resolution: int) -> dict:
-    """Weights as positive whole numbers whose sum is near ``resolution``."""
-    total = float(sum(weights.values()))
+def whole_weights(weights: dict, slots: int) -> dict:
+    """Target weights as whole numbers in exactly their ratios, so that a schedule never drifts from them.
+
+    Weights are read as the decimals that they print as. Only if the whole numbers then sum to more than ``slots`` are
+    they rounded to that sum, none to zero: such a schedule leaves its targets by at most a block every ``slots`` slots.
+    """
     if any(w <= 0 for w in weights.values()):
         raise ValueError("target weights must be positive")
-    return {s: max(1, round(w / total * resolution)) for s, w in weights.items()}
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    shared = math.gcd(*whole.values()) if whole else 1
+    whole = {s: w // shared for s, w in whole.items()}
+    total = sum(whole.values())
+    return whole if total <= slots else {s: max(1, round(w * slots / total)) for s, w in whole.items()}
 
 
 def period(weights: dict) -> list:
@@ -57,7 +68,7 @@ def period(weights: dict) -> list:
 def schedule(blocks: dict, weights: dict) -> list[tuple]:
     """Phases as (source, first block, end block, first slot, blocks a period, slots a period, slots within the period).
 
-    ``blocks`` has each source's number of blocks. Work and result depend on the number of sources and the resolution,
+    ``blocks`` has each source's number of blocks. Work and result depend on the number of sources and the period,
     not on the number of blocks.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
@@ -109,17 +120,17 @@ def mix(docs: DataFrame, weights: dict | None = None, p: MixParameters = MixPara
     names = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
     counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col)).agg(F.count(F.lit(1))).collect()}
     order = sorted(counts, key=lambda s: (s is None, str(s)))
-    chosen = {s: (weights or {}).get(s, min(weights.values()) if weights else counts[s] ** p.power) for s in order}
-    plan = schedule({s: -(-counts[s] // p.block_docs) for s in order}, whole_weights(chosen, p.resolution) if chosen else {})
+    chosen = {s: (weights or {}).get(s, min(weights.values()) if weights else max(1, round(counts[s] ** p.power))) for s in order}
+    plan = schedule({s: -(-counts[s] // p.block_docs) for s in order}, whole_weights(chosen, p.slots))
     numbers = {s: k for k, s in enumerate(order)}
     rows = [(numbers[s], low, high, slot, q, total, at) for s, low, high, slot, q, total, at in plan]
     phases = spark.createDataFrame(rows, "_number int, _low long, _high long, _slot long, _q long, _total long, _at array<int>")
     keys = spark.createDataFrame([(s, numbers[s]) for s in order], f"_source {dict(docs.dtypes)[source_col]}, _number2 int")
     clean = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     ranked = rank_within(clean, source_col, F.struct(F.col(id_col)), [F.xxhash64(F.col(id_col)), F.col(id_col)], sum(counts.values()), "_rank")
-    placed = ranked.join(F.broadcast(keys), F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("mix_block", F.floor(F.col("_rank") / p.block_docs))
-    # at most sources * (sources + 1) / 2 phases of a source, each with its share of the resolution
-    joined = placed.join(F.broadcast(phases), (F.col("_number2") == F.col("_number")) & (F.col("mix_block") >= F.col("_low")) & (F.col("mix_block") < F.col("_high")))
+    placed = ranked.join(keys, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("mix_block", F.floor(F.col("_rank") / p.block_docs))
+    # a source has a row for each phase that it takes part in; Spark broadcasts them only while they are small
+    joined = placed.join(phases, (F.col("_number2") == F.col("_number")) & (F.col("mix_block") >= F.col("_low")) & (F.col("mix_block") < F.col("_high")))
     ahead = F.col("mix_block") - F.col("_low")
     turn, within = F.floor(ahead / F.col("_q")), ahead % F.col("_q")
     base = F.col("_slot") + turn * F.col("_total")
