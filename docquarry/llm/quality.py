@@ -56,7 +56,7 @@ RULES = (
     Rule("capitals", "n_upper / nullif(n_upper + n_lower, 0)", 0.15, 0.5),
     Rule("function_words", "-n_function / nullif(n_words, 0)", -0.1, -0.01),
     Rule("odd_marks", "n_odd / nullif(n_words, 0)", 0.05, 0.2),
-    Rule("few_distinct", "-n_distinct / nullif(least(n_words, 400), 0)", -0.4, -0.15),
+    Rule("few_distinct", "-n_distinct / nullif(n_words, 0)", -0.4, -0.15),
 )
 
 
@@ -108,8 +108,8 @@ def _measure(texts: pa.Array) -> list[tuple]:
                 len(data) - len(data.translate(None, _UPPER)),
                 len(data) - len(data.translate(None, _LOWER)),
                 len(_ODD_RUN.findall(data)),
-                # distinct words of a text's length; longer texts count as evenly spread
-                len(set(words)) if n <= 400 else round(400 * len(set(words)) / n) if len(set(words)) < 100 else 400,
+                # distinct words of each 400 in a row, summed, so that long texts compare with short ones
+                sum(len(set(words[k : k + 400])) for k in range(0, n, 400)),
             )
         )
         at += n
@@ -205,12 +205,18 @@ def judge(docs: DataFrame, p: QualityParameters = QualityParameters(), id_col: s
 
 
 def keep_good(docs: DataFrame, p: QualityParameters = QualityParameters(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns and nothing else."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns and nothing else.
+
+    Votes are counted over all rows, those that fail the base rules included, as ``judge`` does; of those only the
+    votes are stored. Null and empty texts fail. Repeated rows are judged alike, each on its own; nulls in other columns
+    don't matter, and columns may have any name. An empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "quality-filter")
     prefix = "_quality_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    code = f"{prefix}pattern"
-    table = scratch.save(measured(docs, text_col, prefix).where(~base_failed(p, prefix)).select(*docs.columns, pattern(p, prefix).alias(code)), "measured")
+    code, row = f"{prefix}pattern", f"{prefix}row"
+    stored = F.when(~base_failed(p, prefix), F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row)
+    table = scratch.save(measured(docs, text_col, prefix).select(stored, pattern(p, prefix).alias(code)), "measured")
     out = table.join(_posteriors(table, p, code), code)
-    return out.where(F.col(f"{code}_posterior") >= p.posterior).select(*docs.columns)
+    return out.where(F.col(row).isNotNull() & (F.col(f"{code}_posterior") >= p.posterior)).select(*(F.col(row)[c].alias(c) for c in docs.columns))
