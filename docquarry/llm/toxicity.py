@@ -30,6 +30,9 @@ class FactorizationParameters:
     least_rows: int = 4  # of the sample that hold a term, else it has no weight
     linear_z: float = 4.2  # least association with the label, as a signed root of the likelihood ratio
     factor_z: float = 2.5  # the same for a term that may matter together with another
+    pair_terms: int = 1536  # the most frequent terms of labelled texts whose pairs are tested, whatever they tell alone
+    pair_z: float = 6.5  # least association of a pair with the label; there are a million pairs
+    pair_lead: float = 1.5  # by so much a pair must tell more than either of its terms
     epochs: int = 25
     batch: int = 256
     rate: float = 0.15
@@ -85,6 +88,31 @@ def association(seen: np.ndarray, marked: np.ndarray, rows: float, positive: flo
     return np.where(seen > 0, np.sign(rate - base) * np.sqrt(np.maximum(2 * (one + other), 0)), 0)
 
 
+def telling_pairs(terms: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, z: np.ndarray, p: FactorizationParameters) -> np.ndarray:
+    """Terms that tell the label in company of another one, though perhaps not alone.
+
+    Rows are counted for all pairs of the most frequent terms, but not of those in nearly every text.
+    """
+    order = np.argsort(-np.where(seen <= 0.9 * len(labels), seen, 0), kind="stable")[: p.pair_terms]
+    order = order[seen[order] >= p.least_rows]
+    place = np.full(len(seen), -1)
+    place[order] = np.arange(len(order))
+    both, marked = (np.zeros((len(order), len(order)), np.float32) for _ in range(2))
+    for at in range(0, len(terms), 1024):
+        part = [place[t] for t in terms[at : at + 1024]]
+        part = [t[t >= 0] for t in part]
+        x = np.zeros((len(part), len(order)), np.float32)
+        x[np.repeat(np.arange(len(part)), [len(t) for t in part]), np.concatenate(part)] = 1
+        both += x.T @ x
+        own = x[labels[at : at + 1024] > 0]
+        marked += own.T @ own
+    a, b = np.nonzero(np.triu(both, 1) >= p.least_rows)
+    found = np.abs(association(both[a, b].astype(float), marked[a, b].astype(float), len(labels), labels.sum()))
+    alone = np.abs(z[order])
+    good = (found >= p.pair_z) & (found >= np.maximum(alone[a], alone[b]) + p.pair_lead)
+    return order[np.unique(np.concatenate([a[good], b[good]]))]
+
+
 def train(terms: list[np.ndarray], labels: np.ndarray, p: FactorizationParameters) -> FactorizationMachine:
     """Mini-batch AdaGrad on the log loss, over the terms whose association with the label is beyond chance.
 
@@ -102,10 +130,13 @@ def train(terms: list[np.ndarray], labels: np.ndarray, p: FactorizationParameter
     z = association(seen, marked, len(labels), labels.sum())
     linear = (seen >= p.least_rows) & (np.abs(z) >= p.linear_z)
     common = (seen >= p.least_rows) & (np.abs(z) >= p.factor_z)
+    company = telling_pairs(terms, labels, seen, z, p)
+    linear[company] = common[company] = True
     terms = [t[common[t]] for t in terms]
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     model.bias = float(np.log(share / (1 - share)))
     model.factors[common] = rng.normal(0, 0.01, (int(common.sum()), p.factors))
+    model.factors[company] *= 10
     sum_w, sum_v, sum_b = np.full(size, 1e-3), np.full((size, p.factors), 1e-3), 1e-3
     for _ in range(p.epochs):
         order = rng.permutation(len(labels))
