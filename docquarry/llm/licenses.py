@@ -184,7 +184,7 @@ class LicenseScanner:
                     over = max(0, end - start, place - at)  # words that both runs have
                     if over < n and -self.p.gap <= end - start and -self.p.gap <= place - at and place < at + n and covered + n - over > entry[0]:
                         entry = [covered + n - over, first, start + n, at + n]
-                best = [b for b in best if b[2] + self.p.gap >= start][-64:] + [entry]
+                best = [b for b in best if b[2] + self.p.gap >= start] + [entry]
                 spans.append((self.labels[t], entry[1], entry[2], entry[0] / size, size))
         least = lambda size: self.p.short_share if size < self.p.short else self.p.long_share
         return [(label, first, end, min(1.0, share)) for label, first, end, share, size in spans if share >= least(size)]
