@@ -17,23 +17,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.llm.groups import text_buffers
 from docquarry.llm.ranks import rank_within
 from docquarry.llm.tables import Scratch, short_batches
 
 #: Words whose ids a worker remembers, in each of two generations.
 _REMEMBERED = 500_000
+#: Of an octet: 1 a small letter, 2 a full stop or comma, 3 ASCII white space.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[97:123], _KINDS[[44, 46]], _KINDS[[32, *range(9, 14)]] = 1, 2, 3
 
 
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """(what to encode, rest): ASCII capitals and one full stop or comma after a letter change nothing else."""
-    stem = word if b"<" in word else word.lower()  # special tokens keep their case
-    if len(stem) > 1 and stem[-1:] in b".," and 97 <= stem[-2] <= 122:
-        return stem[:-1], stem[-1:]
-    return stem, b""
+def _plain_words(texts: pa.Array) -> pa.Array:
+    """``texts`` with ASCII capitals lower-cased and a space before a full stop or comma that ends a word after a letter.
+
+    Neither changes the ids, and both leave fewer distinct words. Texts that may hold special tokens stay as they are.
+    """
+    texts = texts.fill_null("")
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    octets, offsets = text_buffers(texts)
+    if not len(octets):
+        return texts
+    kind = _KINDS[octets]
+    ends = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+    after = np.minimum(ends + 1, len(octets) - 1)
+    begins = offsets[np.searchsorted(offsets, ends, "right") - 1]  # of the text that the mark is in
+    last = np.isin(ends + 1, offsets)
+    at = ends[(last | (kind[after] == 3)) & (begins < ends)]
+    spaced = np.insert(octets, at, 32)
+    moved = (offsets + np.searchsorted(at, offsets)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(spaced))
 
 
 class WordTokenizer:
@@ -53,7 +71,6 @@ class WordTokenizer:
         if self.tokenizer.encode(whole, add_special_tokens=False).ids != parts:
             raise ValueError("this tokenizer heeds white space or case; words can't be encoded one by one")
         (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.tails = {t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in (b"", b".", b",")}
         self.read = 0  # words of this task
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -64,44 +81,56 @@ class WordTokenizer:
             self.new, self.old = {}, {}
         self.read = 0
 
-    def _encode_stems(self, stems: list[bytes]) -> None:
+    def _encode_words(self, words: list[bytes]) -> None:
         """Many words in one call, parted by a mark that stands between white space and so is a token of its own."""
         new = self.new
-        for at in range(0, len(stems), 2_000):
-            part = stems[at : at + 2_000]
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
             text = b" \x01 ".join(part)
             marks = []
             if text.count(b"\x01") == len(part) - 1:
-                octets = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+                octets = self._ids(text)
                 marks = (4 * np.flatnonzero(octets == self.mark)).tolist()
                 octets = octets.tobytes()
             if len(marks) == len(part) - 1:
-                for stem, low, high in zip(part, [0, *(m + 4 for m in marks)], [*marks, len(octets)]):
-                    new[stem] = octets[low:high]
+                for word, low, high in zip(part, [0, *(m + 4 for m in marks)], [*marks, len(octets)]):
+                    new[word] = octets[low:high]
             else:  # a word holds the mark
-                for stem in part:
-                    new[stem] = np.array(self.tokenizer.encode(stem.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                for word in part:
+                    new[word] = self._ids(word).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]  # ASCII white space only
-        self.read += sum(map(len, split))
+    def _ids(self, text: bytes) -> np.ndarray:
+        """Ids of one text; the call that keeps no offsets."""
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, from memory or encoded now."""
         if len(self.new) > _REMEMBERED:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = []
-        for w in set().union(*split).difference(new):
-            if w in old:
-                new[w] = old[w]
-            else:
-                missing.append((w, *_stem(w)))
-        self._encode_stems(list({stem for _, stem, _ in missing if stem not in new and stem not in old}))
-        for w, stem, tail in missing:
-            ids = new.get(stem)
-            if ids is None:
-                ids = old[stem]
-            new[w] = ids + self.tails[tail] if tail else ids
-        return [b"".join(map(new.__getitem__, words)) for words in split]
+        missing = [w for w in words if w not in new]
+        new.update((w, old[w]) for w in missing if w in old)
+        self._encode_words([w for w in missing if w not in new])
+        return list(map(new.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each); nulls are empty.
+
+        Arrow splits at ASCII white space and finds the distinct words, so Python sees each of those once a call.
+        """
+        split = pc.ascii_split_whitespace(_plain_words(texts))
+        coded = split.flatten().dictionary_encode()
+        self.read += len(coded)
+        known = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
+        pool = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n)
+        place += np.arange(len(place))
+        words = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy(zero_copy_only=False)])
+        return pool[place], np.diff(np.r_[0, ends][words])
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -119,8 +148,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end
     ``ids`` adds the ids themselves as array<int>. Null texts are empty, which gives one piece of length 1.
     """
     short_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
-    width = 4 * sequence_length
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +156,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    out: list[list] = [[], [], [], [], [], []]
-                    for doc, octets in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                        octets += end
-                        for k, low in enumerate(range(0, len(octets), width)):
-                            own = octets[low : low + width]
-                            for column, value in zip(out, (doc, k, low // 4, len(own) // 4, zlib.crc32(own))):
-                                column.append(value)
-                            if ids:
-                                out[5].append(np.frombuffer(own, "<u4").astype(np.int32))
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                    n = 5 + ids
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
+                    found, counts = encoder.encode(part.column(1))
+                    stops = np.cumsum(counts + 1)
+                    octets = np.insert(found, np.cumsum(counts), end_id).astype("<u4", copy=False)
+                    pieces = -(-(counts + 1) // sequence_length)
+                    doc = np.repeat(np.arange(len(counts)), pieces)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    start = piece * sequence_length
+                    length = np.minimum(sequence_length, (counts + 1)[doc] - start)
+                    low = (stops - counts - 1)[doc] + start
+                    view = memoryview(octets).cast("B")
+                    crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(low.tolist(), (low + length).tolist())]
+                    columns = [part.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, low + length].astype(np.int32)), pa.array(octets.astype(np.int32))))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
             encoder.rest()
 
