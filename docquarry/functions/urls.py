@@ -51,7 +51,7 @@ def in_scope(urls: DataFrame, scopes: DataFrame) -> DataFrame:
     ``urls`` from ``canonical``; ``scopes`` (scope, s_scheme, s_port, s_host, s_prefix, s_sub) is a list of seeds. Hosts
     meet by key: an address is exploded into its parent domains, so no pair is compared in vain.
     """
-    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 64), '.'))")
+    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
     each = urls.where("ok").withColumn("_parent", F.explode(parents))
     joined = each.join(scopes, (F.col("_parent") == F.col("s_host")) & (F.col("scheme") == F.col("s_scheme")) & (F.col("port") == F.col("s_port")))
     return joined.where(((F.col("host") == F.col("s_host")) | F.col("s_sub")) & F.startswith("path", F.col("s_prefix"))).drop("_parent")

@@ -73,7 +73,7 @@ def route_verdict(ok: Column, scoped: Column, reason: Column) -> Column:
 
 
 def admission(candidates: DataFrame, max_depth: int = 3, max_frontier: int = 5000) -> DataFrame:
-    """(crawl, seq, url, verdict) of candidates (crawl, seq, url, depth, in_scope, allowed) in order of discovery.
+    """(crawl, seq, url, verdict) of candidates (crawl, seq, url, depth, in_scope, allowed) in order of discovery, ties by url.
 
     Refused candidates are named each time, admitted addresses once; later sightings of those are left out. A full
     frontier refuses the rest. At most ``max_frontier`` rows of a crawl are ranked together, the others are cut per task.
@@ -82,7 +82,7 @@ def admission(candidates: DataFrame, max_depth: int = 3, max_frontier: int = 500
     judged = candidates.withColumn("_reason", reason)
     fit = judged.where(F.col("_reason").isNull())
     firsts = fit.groupBy("crawl", "url").agg(F.min("seq").alias("seq"))
-    taken = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("crawl").orderBy("seq"))).where(F.col("_n") <= max_frontier).select("crawl", "url", F.col("seq").alias("_first"))
+    taken = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("crawl").orderBy("seq", "url"))).where(F.col("_n") <= max_frontier).select("crawl", "url", F.col("seq").alias("_first"))
     late = fit.join(taken, ["crawl", "url"], "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("seq")))
     out = late.select("crawl", "seq", "url", F.when(F.col("_first").isNull(), "limit_reached").otherwise("admitted").alias("verdict"))
     return out.unionByName(judged.where(F.col("_reason").isNotNull()).select("crawl", "seq", "url", F.col("_reason").alias("verdict")))

@@ -80,7 +80,7 @@ ORACLE = {
         b AS (SELECT url_id, allow FROM m QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY n DESC, allow DESC) = 1)
         SELECT url_id, coalesce(allow, true) AS allowed FROM u LEFT JOIN b USING (url_id)""",
     "crawl_frontier": """
-        WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 31 + l_suppkey) % 2000 AS b FROM lineitem WHERE l_orderkey % 7 = 0),
+        WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, (l_partkey * 31 + l_suppkey) % 2000 AS b FROM lineitem),
         r AS (SELECT unnest([1, 2])::BIGINT AS node, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN e ON a = node WHERE depth < 3)
         SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""",
 }

@@ -62,7 +62,7 @@ ORACLE = {
     "route_verdict": f"WITH {_NAMES} SELECT host_id, CASE WHEN host_id % 5 = 0 THEN 'bad_scheme' WHEN host_id % 7 = 0 THEN 'out_of_scope' WHEN reason <> '' THEN 'blocked' ELSE 'in_scope' END AS verdict FROM r",
     "crawl_admission": f"""
         WITH c AS ({_CANDIDATES}), j AS (SELECT *, CASE WHEN NOT in_scope THEN 'out_of_scope' WHEN NOT allowed THEN 'robots_disallowed' WHEN depth > 3 THEN 'max_depth' END AS r FROM c),
-        f AS (SELECT crawl, url, min(seq) AS first FROM j WHERE r IS NULL GROUP BY ALL), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY crawl ORDER BY first) <= 120)
+        f AS (SELECT crawl, url, min(seq) AS first FROM j WHERE r IS NULL GROUP BY ALL), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY crawl ORDER BY first, url) <= 120)
         SELECT crawl, seq, url, coalesce(r, CASE WHEN first IS NULL THEN 'limit_reached' ELSE 'admitted' END) AS verdict FROM j LEFT JOIN t USING (crawl, url) WHERE r IS NOT NULL OR first IS NULL OR first = seq""",
     "crawl_budget": f"""
         WITH l AS ({_VISITS}), v AS (SELECT *, CASE WHEN fault = 'blocked' THEN 'blocked_by_guard' WHEN fault IS NOT NULL THEN 'fetch_failed' WHEN status <> 200 THEN 'unsuccessful_status' WHEN media_type <> 'text/html' THEN 'unsupported_media_type' WHEN noindex THEN 'page_noindex' ELSE 'page' END AS v FROM l),

@@ -105,7 +105,7 @@ ORACLE = {
         f AS (SELECT doc_id, list_filter({list(t.SECRET_MARKERS)!r}, lambda x: contains(text, lower(x))) AS m FROM m)
         SELECT doc_id, len(m)::INT AS n_markers, array_to_string(m, ',') AS markers FROM f WHERE len(m) > 0""",
     "slugify": r"""
-        WITH k AS (SELECT doc_id, regexp_replace(lower(trim(substring(text, 1, 60))), '[^\p{L}\p{N}_\s-]', '', 'g') AS k FROM documents),
+        WITH k AS (SELECT doc_id, regexp_replace(lower(trim(text)), '[^\p{L}\p{N}_\s-]', '', 'g') AS k FROM documents),
         s AS (SELECT doc_id, regexp_replace(regexp_replace(k, '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM k)
         SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM s""",
     "markdown_to_text": rf"""
