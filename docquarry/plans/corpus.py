@@ -21,7 +21,7 @@ _WRITES = "SELECT l_suppkey % 50 AS project_id, l_suppkey AS user_id, l_returnfl
 _PROJECTS = "SELECT c_custkey AS project_id, concat('slug-', c_custkey * 5 % 97) AS slug, c_custkey * 7 % 1000 AS seq FROM customer"
 _NOW = "2024-01-15 00:00:00"
 _TERMS = ["tion", "th%", "ouer_"]
-_ENGLISH = [f"src{k}-{lang}" for k in range(20) for lang in ("en", "de")]
+_APPROVED = [f"src{k}-{lang}" for k in range(20) for lang in ("en", "es")]
 _WORDS = ["tion", "lei", "ouer"]
 
 
@@ -45,7 +45,7 @@ def _documents(spark, sf_dir):
 
 def _chunks(spark, sf_dir):
     docs, chunks = _all(spark, sf_dir, _DOCS, _CHUNKS)
-    return corpus.chunk_search(chunks, docs, "src2", _TERMS, _ENGLISH, 25)
+    return corpus.chunk_search(chunks, docs, "src2", _TERMS, _APPROVED, 25)
 
 
 def _symbols(spark, sf_dir):
@@ -161,7 +161,7 @@ ORACLE = {
         (SELECT 'document_body' AS kind, id, s * 1.0::DOUBLE AS score, snapshot_id, uri AS locator, title, {_excerpt('body')} AS excerpt FROM b WHERE s > 0 ORDER BY s DESC, id LIMIT 15)
         UNION ALL (SELECT 'document_title', id, s * 3.0::DOUBLE, snapshot_id, uri, title, {_excerpt('title')} FROM t WHERE s > 0 ORDER BY s DESC, id LIMIT 15)""",
     "chunk_search": f"""
-        WITH d AS ({_D}), c AS ({_C}), j AS (SELECT c.*, d.uri, d.title, d.snapshot_id, {_score(_TERMS, 'c.text')} AS s FROM c JOIN d ON c.document_id = d.id WHERE c.project_id = 'src2' AND d.snapshot_id IN ({", ".join(f"'{s}'" for s in _ENGLISH)}))
+        WITH d AS ({_D}), c AS ({_C}), j AS (SELECT c.*, d.uri, d.title, d.snapshot_id, {_score(_TERMS, 'c.text')} AS s FROM c JOIN d ON c.document_id = d.id WHERE c.project_id = 'src2' AND d.snapshot_id IN ({", ".join(f"'{s}'" for s in _APPROVED)}))
         SELECT 'document_chunk' AS kind, id, s * 1.5::DOUBLE AS score, snapshot_id, uri || '#' || CASE WHEN anchor IS NULL OR anchor = '' THEN 'chunk-' || ordinal ELSE anchor END AS locator, title, {_excerpt('text')} AS excerpt FROM j WHERE s > 0 ORDER BY s DESC, id LIMIT 25""",
     "symbol_search": f"""
         WITH d AS ({_D}), y AS ({_S}), j AS (SELECT y.*, d.path, d.snapshot_id, {_score(['ring', 'economy', '#1'], *_COLUMNS)} AS s FROM y JOIN d ON y.document_id = d.id WHERE y.project_id = 'src4')
