@@ -35,17 +35,41 @@ def outcome(html):
     scripts = sum(len(m[1].strip(" ")) for m in re.findall(hidden, html))
     seen = re.sub(r"(?is)<!--.*?-->|<title[^>]*>.*?</title>|<[^>]*>", " ", re.sub(hidden, " ", html))
     shown = len(re.sub("[ \\t\\n\\x0b\\f\\r]+", " ", seen).strip(" "))
-    return "sufficient" if shown >= 200 else "client_rendered" if scripts else "too_short" if shown else "empty"
+    article = re.search(r"(?is)<(main|article)\b[^>]*>(.*)</\1\s*>", re.sub(r"(?s)<!--.*?-->", "", re.sub(hidden, " ", html)))
+    beside = r"(?is)<(nav|header|footer|aside|form|button|figure|title)\b[^>]*>.*?</\1\s*>"
+    body = article[2] if article else re.sub(beside, " ", re.sub(hidden, " ", html))
+    main = len(re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", body)).strip())
+    if main >= 200:  # of this size marks of Markdown decide nothing in these pages
+        return "sufficient"
+    return "empty" if not main + shown + scripts else "client_rendered" if scripts and (shown < 200 or scripts > 3 * shown) else "too_short"
 
 
 def test_extract_outcome_reads_every_page(spark):
     found = {r.page_id: r.outcome for r in catalog.queries()["extract_outcome"](spark, DATA).collect()}
     assert found == {r["page_id"]: outcome(r["html"]) for r in stored("pages", "page_id", "html")}
     stubs = {"<p></p>": "empty", "<p>short</p><script>run()</script>": "client_rendered", "<p>short</p>": "too_short", "<p>" + "long " * 50 + "</p>": "sufficient"}
+    stubs |= {"<nav>" + "menu " * 60 + "</nav><p>x</p>": "too_short", "<nav>" + "menu " * 60 + "</nav><script>" + "a" * 1000 + "</script>": "client_rendered"}
     pages = spark.createDataFrame([(k, h) for k, h in enumerate(stubs)], "page_id long, html string")
     assert [r.outcome for r in urls.html_stats(pages).orderBy("page_id").collect()] == list(stubs.values()) == [outcome(h) for h in stubs]
 
 
+def test_international_names(spark):
+    df = spark.createDataFrame([("http://Bücher.example/ä?ü",), ("http://ok.example/",), ("http://" + "ü" * 70 + ".example/",), (None,)], "url string")
+    assert [r.canonical for r in urls.canonical(df, international=True).collect()] == ["http://xn--bcher-kva.example/%C3%A4?%C3%BC", "http://ok.example/", None, None]
+    assert urls.canonical(df).where("ok").count() == 1
+
+
+def test_absolute_addresses(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    base = "http://h.example/a/b;p?q=1"
+    refs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "", "#s", "g#s", ";x", "../g", "https://o.example/x#y", "mailto:a@b"]
+    df = spark.createDataFrame([(r,) for r in refs], "ref string")
+    found = {r.ref: r.canonical for r in urls.canonical(df.withColumn("u", urls.absolute(F.col("ref"), F.lit(base))), "u").collect()}
+    wanted = {r: urls.canonical(spark.createDataFrame([(urldefrag(urljoin(base, r))[0],)], "u string"), "u").first().canonical for r in refs}
+    assert found == wanted
+
+
 def slug(value):
     kept = re.sub(r"[^\w\s-]", "", unicodedata.normalize("NFKC", value).strip().lower())
     return re.sub(r"[\s_-]+", "-", kept).strip("-") or "section"
