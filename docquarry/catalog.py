@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.plans import audit, code, corpus, crawl, dedupe, files, gates, ledger, rules, search, state, text, urls
+from docquarry.plans import assembly, audit, code, corpus, crawl, dedupe, files, gates, ledger, rules, search, state, text, urls
 
-_MODULES = (dedupe, text, ledger, urls, state, search, files, audit, crawl, rules, code, gates, corpus)
+_MODULES = (dedupe, text, ledger, urls, state, search, files, audit, crawl, rules, code, gates, corpus, assembly)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,23 @@ def snapshot_fingerprint(docs: DataFrame, by: str, key: Column, digest: Column,
     """(by, fingerprint, documents): SHA-256 over a header and the sorted ``key TAB digest`` lines of a snapshot."""
     lines = docs.select(by, F.concat(key, F.lit("\t"), digest, F.lit("\n")).alias("line"))
     return lines.groupBy(by).agg(F.sha2(F.concat(F.lit(header), F.array_join(F.array_sort(F.collect_list("line")), "")).cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("documents"))
+
+
+def best_with_reasons(hits: DataFrame, by: list[str], locator: str = "locator", order: str = "seq") -> DataFrame:
+    """As ``best_per_locator``, with ``reasons``: why any hit of the locator was found, in the order of first sight."""
+    firsts = hits.groupBy(*by, locator, "reason").agg(F.min(order).alias("_o")).groupBy(*by, locator)
+    reasons = firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "reason"))), lambda x: x["reason"]).alias("reasons"))
+    return best_per_locator(hits.drop("reason"), by, locator, order=order).join(reasons, [*by, locator])
+
+
+def pack_queries(requests: DataFrame, by: str) -> DataFrame:
+    """(by, position, text, kinds): a request's title and questions ask all indexes, its symbols the code index; blanks are left out."""
+    texts = F.concat(F.array(F.struct("title", F.lit("all").alias("kinds"))), F.transform("questions", lambda q: F.struct(q.alias("title"), F.lit("all").alias("kinds"))), F.transform("symbols", lambda s: F.struct(s.alias("title"), F.lit("code_symbol").alias("kinds"))))
+    each = requests.select(by, F.posexplode(texts).alias("position", "q")).where("trim(q.title) <> ''")
+    return each.select(by, "position", F.col("q.title").alias("text"), F.col("q.kinds").alias("kinds"))
+
+
+def evidence_packs(hits: DataFrame, by: str, rerank: Callable[[DataFrame], DataFrame] | None = None, **limits: int) -> DataFrame:
+    """The packs of ``pack_evidence`` from the best hit of each locator; ``rerank`` may give the candidates other scores before the limits."""
+    best = best_per_locator(hits, [by])
+    return pack_evidence(best if rerank is None else rerank(best), by, **limits)
