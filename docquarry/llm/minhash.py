@@ -117,41 +117,45 @@ def _digest(hashes: np.ndarray) -> bytes:
         return np.array([hashes.sum(dtype=np.uint64), mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+def _registers(sets: list[np.ndarray], p: MinHashParameters) -> list[np.ndarray | None]:
+    edges, detours = _edges(p.registers), _detours(p.registers)
+    return [signature(s, edges, detours, p.mantissa_bits) if len(s) else None for s in sets]
+
+
+def _band_keys(registers: list[np.ndarray | None], p: MinHashParameters) -> list[list[int] | None]:
+    """A key for each band of registers; null for none."""
+    full = [r for r in registers if r is not None]
+    if not full:
+        return [None] * len(registers)
+    matrix = np.stack(full).astype(np.uint64).reshape(len(full), p.bands, p.rows)
+    hashed = np.zeros(matrix.shape[:2], np.uint64) + mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(991))
+    for r in range(p.rows):
+        hashed = mix(hashed * np.uint64(0x9E3779B97F4A7C15) + matrix[:, :, r])
+    keys = iter(hashed.view(np.int64).tolist())
+    return [None if r is None else next(keys) for r in registers]
+
+
 def signatures(docs: DataFrame, p: MinHashParameters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, registers, band keys); the last two null for empty sets."""
+    """(doc_id, n_shingles, digest of the set, band keys of its registers); the last two null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, detours = _edges(p.registers), _detours(p.registers)
-        salt = mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(991))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1), p.shingle_words)
-                regs = [signature(s, edges, detours, p.mantissa_bits) if len(s) else None for s in sets]
-                full = [r for r in regs if r is not None]
-                keys = iter(())
-                if full:
-                    matrix = np.stack(full).astype(np.uint64).reshape(len(full), p.bands, p.rows)
-                    hashed = np.zeros(matrix.shape[:2], np.uint64) + salt
-                    for r in range(p.rows):
-                        hashed = mix(hashed * np.uint64(0x9E3779B97F4A7C15) + matrix[:, :, r])
-                    keys = iter(hashed.view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([r.tobytes() if r is not None else None for r in regs], pa.binary()),
-                        pa.array([next(keys) if r is not None else None for r in regs], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "digest", "registers", "bands"],
-                )
+                columns = [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array(_band_keys(_registers(sets, p), p), pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, p: MinHashParameters) -> DataFrame:
+def _estimated(pairs: DataFrame, sets: DataFrame, p: MinHashParameters) -> DataFrame:
     """Pairs (a, b) whose registers do not rule out a link."""
 
     def run(batches):
@@ -163,26 +167,30 @@ def _estimated(pairs: DataFrame, reps: DataFrame, p: MinHashParameters) -> DataF
             keep = pa.array(~hopeless((x == y).mean(1), n1, n2, p))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    at_a = reps.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
-    at_b = reps.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
-    return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    at_a = sets.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
+    at_b = sets.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
+    return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, asked: DataFrame, p: MinHashParameters, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, sorted distinct shingle hashes) of the documents in ``asked`` (_id).
+    """(doc_id, n_shingles, registers, sorted distinct shingle hashes) of the documents in ``asked`` (_id).
 
-    The texts meet ``asked`` in a shuffle at every size: it is no table that may be broadcast.
+    The texts meet ``asked`` in a shuffle at every size: it is no table that may be broadcast. An id with several
+    texts has a row for each.
     """
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1), p.shingle_words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "hashes"])
+                full = pa.array([bool(len(s)) for s in sets])
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([r if r is None else r.tobytes() for r in _registers(sets, p)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "registers", "hashes"]).filter(full)
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(asked.hint("merge"), "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(run, "doc_id long, hashes binary")
+    own = texts.join(asked.hint("merge"), "_id", "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_id", "_hash"]).drop("_hash")
+    return own.mapInArrow(run, "doc_id long, n_shingles long, registers binary, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: MinHashParameters, scratch: Scratch) -> DataFrame:
@@ -205,16 +213,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: MinHashParameters, scratch:
             hashes = table.column("hashes").combine_chunks()
             found_a, found_b = [], []
             for low, high in zip(borders[:-1], borders[1:]):
-                centre = None
+                centres, name = [], ids[low]  # more than one set only if the id has several texts
                 for k in range(low, high):
                     own = np.frombuffer(hashes[k].as_buffer(), np.uint64)
                     if roles[k] == 0:
-                        centre, name = own, ids[k]
+                        centres.append(own)
                         continue
-                    both = np.intersect1d(centre, own, assume_unique=True).size
-                    if 100 * both >= p.percent * (len(centre) + len(own) - both):
-                        found_a.append(name)
-                        found_b.append(ids[k])
+                    for centre in centres:
+                        both = np.intersect1d(centre, own, assume_unique=True).size
+                        if 100 * both >= p.percent * (len(centre) + len(own) - both):
+                            found_a.append(name)
+                            found_b.append(ids[k])
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     rows = centres.unionByName(partners).repartition(int(parts), "gid").sortWithinPartitions("gid", "role", "doc_id")
@@ -244,62 +254,66 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out.astype(np.int64)
 
 
-def _crossing(buckets: DataFrame, reps: DataFrame, sets: DataFrame, p: MinHashParameters) -> DataFrame:
-    """Links between members of one bucket but different components.
-
-    Members meet block by block and are checked there on full sets, so only links leave the task. Registers
-    come first, and a pair counts only in its first common band.
+def _candidates(registers, n, comps, band, split, p):
+    """Pairs (x, y) of a group that are worth a check; y from the second block, or after x in the only one."""
+    xs, ys = [], []
+    for x in range(split):
+        y = np.arange(split if split < len(n) else x + 1, len(n))
+        y = y[comps[y] != comps[x]]
+        if not len(y):
+            continue
+        same = registers[y] == registers[x]
+        first = same.reshape(len(y), p.bands, p.rows).all(2).argmax(1)
+        ok = (first == band) & ~hopeless(same.mean(1), n[y], np.full(len(y), n[x]), p)
+        xs.append(np.full(int(ok.sum()), x))
+        ys.append(y[ok])
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _groups(batches, p: MinHashParameters):
+    """(rows, first row, x, y) of each group: ``_candidates`` x and y count from its first row."""
+    for table, borders in whole_groups(batches, "gid"):
+        comps, mine, n, bands = (table.column(k).to_numpy() for k in ("comp", "mine", "n_shingles", "band"))
+        registers = binary_matrix(table.column("registers"), "<u2", p.registers)
+        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            own, m = slice(low, high), mine[low:high]
+            split = int(np.searchsorted(m, m[-1])) if m[0] != m[-1] else high - low
+            x, y = _candidates(registers[own], n[own], comps[own], bands[low], split, p)
+            if len(x):
+                yield table, low, x, y
+
+
+def _crossing(buckets: DataFrame, sets: DataFrame, p: MinHashParameters, scratch: Scratch) -> DataFrame:
+    """Links between members of one bucket (band, key, in ``blocks``, ``mine`` the member's) but different components.
+
+    Members meet block by block, with their registers first: a pair counts only in its first common band. Those with
+    a candidate meet once more with their full sets, and only links leave that task.
     """
-    parts = buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "key2")
-    placed = (
-        buckets.join(sizes, F.col("key") == F.col("key2"))
-        .withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", "doc_id", "comp", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
-    )
-    full = reps.select("doc_id", "registers", "n_shingles").join(sets, "doc_id")
-    rows = placed.join(full, "doc_id").repartition(int(parts), "gid").sortWithinPartitions("gid", "mine", "doc_id")
-
-    def candidates(registers, n, comps, band, split):
-        """Pairs (x, y) of a group that are worth a check; y from the second block, or after x in the only one."""
-        xs, ys = [], []
-        for x in range(split):
-            y = np.arange(split if split < len(n) else x + 1, len(n))
-            y = y[comps[y] != comps[x]]
-            if not len(y):
-                continue
-            same = registers[y] == registers[x]
-            first = same.reshape(len(y), p.bands, p.rows).all(2).argmax(1)
-            ok = (first == band) & ~hopeless(same.mean(1), n[y], np.full(len(y), n[x]), p)
-            xs.append(np.full(int(ok.sum()), x))
-            ys.append(y[ok])
-        return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, int), np.zeros(0, int))
-
-    def run(batches):
-        for table, borders in whole_groups(batches, "gid"):
-            ids, comps, mine, n, bands = (table.column(k).to_numpy() for k in ("doc_id", "comp", "mine", "n_shingles", "band"))
-            registers = binary_matrix(table.column("registers"), "<u2", p.registers)
-            hashes = table.column("hashes").combine_chunks()
-            out_a, out_b = [], []
-            for low, high in zip(borders[:-1], borders[1:]):
-                own = slice(low, high)
-                m = mine[own]
-                split = int(np.searchsorted(m, m[-1])) if m[0] != m[-1] else high - low
-                x, y = candidates(registers[own], n[own], comps[own], bands[low], split)
-                if not len(x):
-                    continue
-                (ux, ix), (uy, iy) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
-                left, right = ([np.frombuffer(hashes[low + k].as_buffer(), np.uint64) for k in u.tolist()] for u in (ux, uy))
-                both = intersections(left, right)[ix, iy]
-                link = 100 * both >= p.percent * (n[low + x] + n[low + y] - both)
-                a, b = ids[low + x[link]], ids[low + y[link]]
-                out_a += np.minimum(a, b).tolist()
-                out_b += np.maximum(a, b).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = buckets.withColumn("other", other).select("band", "doc_id", "comp", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
+    order = ["gid", "mine", "doc_id"]
+    signed = placed.join(sets.select("doc_id", "n_shingles", "registers"), "doc_id").repartition(parts, "gid").sortWithinPartitions(*order)
+
+    def screen(batches):
+        for table, low, x, y in _groups(batches, p):
+            rows = np.unique(np.concatenate([x, y])) + low
+            yield from table.select(["gid", "band", "mine", "comp", "doc_id"]).take(pa.array(rows)).to_batches()
+
+    def check(batches):
+        for table, low, x, y in _groups(batches, p):
+            ids, hashes = table.column("doc_id").to_numpy(), table.column("hashes").combine_chunks()
+            (ux, ix), (uy, iy) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+            left, right = ([np.frombuffer(hashes[low + k].as_buffer(), np.uint64) for k in u.tolist()] for u in (ux, uy))
+            both = intersections(left, right)[ix, iy]
+            sizes = np.array([len(s) for s in left])[ix] + np.array([len(s) for s in right])[iy]
+            link = 100 * both >= p.percent * (sizes - both)
+            a, b = ids[low + x[link]], ids[low + y[link]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    worth = scratch.save(signed.mapInArrow(screen, "gid long, band int, mine int, comp long, doc_id long").distinct(), "worth")
+    full = worth.join(sets, "doc_id").repartition(parts, "gid").sortWithinPartitions(*order)
+    return full.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,36 +329,36 @@ def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(),
        meet, block by block, on full sets. Found links join the others and components are taken once more.
 
     Null or blank texts have an empty set: n_shingles 0, linked with nothing, kept. Repeated rows of one doc_id
-    come back as often, with one result where their texts agree. A null doc_id comes back with a null
-    component and kept true. An empty table gives an empty result; extra columns are ignored.
+    come back as often, in one component: where their texts differ, each text's links count for the id. A null
+    doc_id comes back with a null component and kept true. An empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(signatures(docs, p, id_col, text_col), "signed")
     filled = signed.where("doc_id is not null and n_shingles > 0")
-    members = filled.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")).withColumnRenamed("digest", "d2").withColumnRenamed("n_shingles", "n2")
-    same = (F.col("digest") == F.col("d2")) & (F.col("n_shingles") == F.col("n2"))
-    membership = scratch.save(filled.select("doc_id", "digest", "n_shingles").join(members, same).select("doc_id", "rep"), "membership")
-    # a doc_id whose repeated rows differ in text has several sets; they are linked through the id
-    alone = membership.where("doc_id = rep").select("doc_id").distinct()
-    reps = scratch.save(filled.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers", "bands"), "reps")
-
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    centres = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("key2"), "a")
-    stars = banded.join(centres, F.col("key") == F.col("key2")).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    stars = scratch.save(stars, "stars")
+    members = scratch.save(filled.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "members")
+    banded = members.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
+    centres = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z").select(F.col("key").alias("key2"), "a", "n")
+    shared = scratch.save(banded.join(centres, F.col("key") == F.col("key2")).select("key", "band", "doc_id", "a", "n"), "shared")
+    stars = scratch.save(shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
     asked = stars.select(F.col("a").alias("_id")).union(stars.select("b")).distinct()
     sets = scratch.save(_sets(docs, asked, p, id_col, text_col), "sets")
-    links = _confirmed(_estimated(stars, reps, p), sets, p, scratch)
+    links = _confirmed(_estimated(stars, sets, p), sets, p, scratch)
     first = scratch.save(components(links, scratch, "first"), "first-components")
 
-    named = reps.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), F.posexplode("bands").alias("band", "key"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select(F.col("key").alias("key2"))
-    buckets = scratch.save(named.join(mixed, F.col("key") == F.col("key2")).select("key", "band", "doc_id", "comp"), "mixed")
-    more = scratch.save(_crossing(buckets, reps, sets, p), "cross-links")
+    named = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "band", "key", "n")
+    blocks = F.ceil(F.col("n") / p.block).cast("int")
+    dealt = named.where("n > 2").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
+    mixed = dealt.groupBy("key", "blocks").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    mixed = mixed.select(F.col("key").alias("key2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine2"))
+    # by key and block, so that a bucket with many members is dealt to several tasks
+    buckets = dealt.join(mixed, (F.col("key") == F.col("key2")) & (F.col("mine") == F.col("mine2"))).select("key", "band", "doc_id", "comp", "blocks", "mine")
+    more = scratch.save(_crossing(buckets, sets, p, scratch), "cross-links")
     scratch.drop("sets")
-    chains = membership.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    classes = members.select(F.col("digest").alias("d2"), F.col("n_shingles").alias("n2"), "rep")
+    same = (F.col("digest") == F.col("d2")) & (F.col("n_shingles") == F.col("n2"))
+    chains = filled.select("doc_id", "digest", "n_shingles").join(classes, same).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.unionByName(more).unionByName(chains), scratch, "last")
     final = scratch.save(final, "final").select(F.col("node").alias("node"), "component")
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")

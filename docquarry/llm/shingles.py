@@ -35,7 +35,7 @@ _FOLDED, _EXACT = _octet_codes(True), _octet_codes(False)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Octets of one pass of the word hash; bounds its arrays, texts of any length pass.
-_PASS = 1 << 22
+_PASS = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:

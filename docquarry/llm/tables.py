@@ -32,6 +32,14 @@ def short_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, rows)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
     """Named tables of one run of an operator, below the shared folder."""
 
