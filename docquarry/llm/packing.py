@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.groups import text_buffers
+from docquarry.llm.groups import text_buffers, whole_groups
 from docquarry.llm.ranks import rank_within
 from docquarry.llm.tables import Scratch, short_batches
 
@@ -142,13 +143,15 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end_id: int = 0, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and ``end_id``, cut at ``sequence_length``.
+def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end_id: int = 0, ids: bool = False, id_col: str = "doc_id", text_col: str = "text", place: Column | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, place]): each text's ids and ``end_id``, cut at ``sequence_length``.
 
-    ``ids`` adds the ids themselves as array<int>. Null texts are empty, which gives one piece of length 1.
+    ``ids`` adds the ids themselves as array<int>, ``place`` a long of each document. Null texts are empty, which gives one
+    piece of length 1.
     """
     short_batches(docs.sparkSession)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
+    with_place = place is not None
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids + ", place long" * with_place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(tokenizer_path)
@@ -172,11 +175,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence_length: int, end
                     if ids:
                         columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, low + length].astype(np.int32)), pa.array(octets.astype(np.int32))))
                         names.append("ids")
+                    if with_place:
+                        columns.append(part.column(2).take(pa.array(doc)))
+                        names.append("place")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
             encoder.rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    placed = [] if place is None else [place.cast("long").alias("place")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *placed).mapInArrow(run, schema)
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -226,6 +233,14 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return runs
 
 
+def _look_up(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of documents by length and rank, from sorted runs."""
+    starts = table[:, 0] << 46 | table[:, 1]
+    own = table[np.searchsorted(starts, length << 46 | rank, "right") - 1] if len(length) else table[:0]
+    ahead = rank - own[:, 1]
+    return own[:, 2] + ahead // own[:, 3], own[:, 4] + ahead % own[:, 3] * length
+
+
 def assign_sequences(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces (doc_id, piece, length, ...).
 
@@ -239,17 +254,69 @@ def assign_sequences(pieces: DataFrame, capacity: int, scratch: Scratch) -> Data
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = table[:, 0] << 46 | table[:, 1]
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            own = table[np.searchsorted(starts, length << 46 | rank, "right") - 1] if len(length) else table[:0]
-            ahead = rank - own[:, 1]
-            sequence, offset = own[:, 2] + ahead // own[:, 3], own[:, 4] + ahead % own[:, 3] * length
+            sequence, offset = _look_up(table, batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(sequence), pa.array(offset)], names=names)
 
     return ranked.select(*pieces.columns, "rank").mapInArrow(run, schema)
 
 
+def assign_in_windows(pieces: DataFrame, capacity: int, window_docs: int) -> DataFrame:
+    """Adds sequence_id and offset to pieces with ``place``, the document's number in an order that is to be kept.
+
+    Each ``window_docs`` consecutive documents are packed by best fit among themselves, and their sequences are numbered
+    after those of the windows before. A task sees one window at a time.
+    """
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = pieces.withColumn("window", F.floor(F.col("place") / window_docs).cast("long"))
+    rows = own.repartition(parts, "window").sortWithinPartitions("window", "length", "place", "piece")
+    names = [c for c in pieces.columns if c != "place"]
+    schema = T.StructType([*(f for f in pieces.schema.fields if f.name != "place"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, borders in whole_groups(batches, "window"):
+            for low, high in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                part = table.slice(low, high - low).combine_chunks()
+                length = part.column("length").to_numpy()
+                lengths, first, counts = np.unique(length, return_index=True, return_counts=True)
+                runs = np.array(sorted(best_fit_runs(dict(zip(lengths.tolist(), counts.tolist())), capacity)), np.int64).reshape(-1, 5)
+                sequence, offset = _look_up(runs, length, np.arange(len(length)) - np.repeat(first, counts))
+                sequence += part.column("window")[0].as_py() << 32
+                yield from pa.table([*(part.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def stored_places(docs: DataFrame) -> Column:
+    """Where a row stands in its table: number of the file and row in the file for Parquet tables, else Spark's row id."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        row = F.monotonically_increasing_id()  # its upper 31 bits are the partition
+        return F.shiftleft(F.shiftright(row, 33), 36) + row.bitwiseAND(F.lit((1 << 33) - 1))
+    part = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(part(r"^part-(\d+)"), 42) + F.shiftleft(part(r"-c(\d+)"), 36) + F.col("_metadata.row_index")
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """``place`` as numbers from 0: each file's documents follow those of the files before. One row a file meets in one task."""
+    file = F.shiftright("place", 36)
+    files = pieces.where("piece = 0").groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    starts = files.select(F.col("file").alias("file2"), "least", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return pieces.join(starts, file == F.col("file2")).withColumn("place", F.col("place") - F.col("least") + F.col("before")).select(*pieces.columns)
+
+
+def pack_in_order(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048, end_id: int = 0, ids: bool = False, window_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``pack``, but keeps the order in which ``docs`` is stored: by windows of ``window_docs`` documents.
+
+    sequence_id rises with the order of the windows, so a mix that the rows' order holds is still there in the sequences,
+    window by window. It opens at most one sequence a window more than a best fit over all would.
+    """
+    scratch = Scratch(docs.sparkSession, "packing")
+    pieces = scratch.save(token_pieces(docs, tokenizer_path, sequence_length, end_id, ids, id_col, text_col, stored_places(docs)), "pieces")
+    return assign_in_windows(_numbered(pieces), sequence_length, window_docs)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048, end_id: int = 0, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of ``docs`` with their sequence and place in it: the columns of ``token_pieces``, sequence_id, offset.
 
