@@ -23,6 +23,9 @@ from docquarry.llm.tables import Scratch, short_batches
 
 _TAG = re.compile(rb"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_META = re.compile(rb"<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?content-language\b[^>]*?\bcontent\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: Labels below a country's suffix that anybody may register under.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "net", "or", "org")
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class LanguageParameters:
     evidence: float = 40.0  # trigrams that a text counts as at most, for neighbours are not independent
     host_weight: float = 8.0  # pages that the level above weighs in a host's prior
     least: float = 0.5  # posteriors below give no language ("und")
+    languages: int = 200  # more in the labelled texts than this are refused: the model's size follows their number
 
 
 def _trigram_cells(octets: np.ndarray, offsets: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +75,8 @@ def text_model(docs: DataFrame, p: LanguageParameters, text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some), pa.array(row[some].astype(np.int64))], names=["lang", "cell", "n"])
 
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("lang")).where("text is not null and lang is not null")
+    if labelled.select("lang").distinct().limit(p.languages + 1).count() > p.languages:
+        raise ValueError(f"more than {p.languages} languages in the labelled texts")
     rows = labelled.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r[0] for r in rows})
     counts = np.full((len(languages), p.cells), p.smoothing)
@@ -80,6 +86,12 @@ def text_model(docs: DataFrame, p: LanguageParameters, text_col: str = "text", l
     return languages, np.log(counts / counts.sum(1, keepdims=True)) if languages else counts
 
 
+def declared_language(html: bytes) -> str | None:
+    """What the root element declares, else the content-language tag."""
+    m = _DECLARED.search(html) or _META.search(html)
+    return m[1].decode().lower() if m else None
+
+
 def visible_text(html: bytes) -> bytes:
     """The octets between tags, without scripts, styles and comments."""
     return _TAG.sub(b" ", html)
@@ -95,7 +107,7 @@ def _text_evidence(pages: DataFrame, languages: list[str], logs: np.ndarray, p:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 raw = [(h or "").encode() for h in part.column(2).to_pylist()]
-                declared = [m[1].decode().lower() if (m := _DECLARED.search(h)) else None for h in raw]
+                declared = [declared_language(h) for h in raw]
                 texts = [visible_text(h) for h in raw]
                 offsets = np.cumsum([0, *map(len, texts)])
                 cell, text = _trigram_cells(np.frombuffer(b"".join(texts), np.uint8), offsets, p.cells)
@@ -122,10 +134,13 @@ def _address(url: Column) -> tuple[Column, Column, Column, Column]:
     """(host, domain, suffix, language code in the path or before the host) of an address."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     parts = F.split(host, r"\.")
-    domain = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
     suffix = F.element_at(parts, -1)
+    shared = (F.size(parts) > 2) & (F.length(suffix) == 2) & F.get(parts, F.size(parts) - 2).isin(*SECOND_LEVEL)
+    own = F.when(shared, 3).otherwise(2)  # labels of a domain that one owner has
+    domain = F.array_join(F.slice(parts, F.greatest(F.size(parts) - own + 1, F.lit(1)), own), ".")
+    before = F.nullif(F.regexp_extract(host, r"^([a-z]{2})\.[^.]+\.", 1), F.lit(""))
     code = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1))
-    return host, domain, suffix, F.nullif(code, F.lit(""))
+    return host, domain, suffix, F.coalesce(F.nullif(code, F.lit("")), before)
 
 
 def identify(pages: DataFrame, labelled: DataFrame, p: LanguageParameters = LanguageParameters(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
