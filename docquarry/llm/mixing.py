@@ -33,9 +33,9 @@ def whole_weights(weights: dict, slots: int) -> dict:
     Weights are read as the decimals that they print as. Only if the whole numbers then sum to more than ``slots`` are
     they rounded to that sum, none to zero: such a schedule leaves its targets by at most a block every ``slots`` slots.
     """
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
     exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("target weights must be positive")
     scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
     whole = {s: int(w * scale) for s, w in exact.items()}
     shared = math.gcd(*whole.values()) if whole else 1
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: dict | None = None, p: MixParameters = MixPara
     names = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
     counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col)).agg(F.count(F.lit(1))).collect()}
     order = sorted(counts, key=lambda s: (s is None, str(s)))
-    chosen = {s: (weights or {}).get(s, min(weights.values()) if weights else max(1, round(counts[s] ** p.power))) for s in order}
+    chosen = {s: (weights or {}).get(s, min(weights.values(), key=lambda w: Fraction(str(w))) if weights else max(1, round(counts[s] ** p.power))) for s in order}
     plan = schedule({s: -(-counts[s] // p.block_docs) for s in order}, whole_weights(chosen, p.slots))
     numbers = {s: k for k, s in enumerate(order)}
     rows = [(numbers[s], low, high, slot, q, total, at) for s, low, high, slot, q, total, at in plan]
