@@ -143,6 +143,37 @@ def test_packing(spark):
     assert sum(len(r.ids) for r in again) == sum(r.length for r in packed)
 
 
+def test_ids_of_a_whole_table(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["A.b c, d., ,. x", "it's <|endoftext|> OK. <|startoftext|>No", "Σ. ΟΔΟΣ. e\u0301, a\u00a0b.", "a\x01b \x01 c", " lead. trail, ", "x,", ".", "\n\n", "AB. \x0b\x0c cd,\r", "é. ß, İ."]
+    docs = docs.unionByName(spark.createDataFrame([(-k, t) for k, t in enumerate(odd, 1)], docs.schema))
+    found = {}
+    for r in packing.token_pieces(docs, queries.tokenizer_file(), 1 << 24, ids=True).collect():
+        found[r.doc_id] = r.ids
+    for d in docs.collect():
+        assert found[d.doc_id] == [*tokenizer.encode(d.text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_in_order(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    docs.write.parquet(f"{tmp_path}/d")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+    found = packing.pack_in_order(stored, queries.tokenizer_file(), 512, window_docs=100).toPandas()
+    order = {d: k for k, d in enumerate(r.doc_id for r in docs.collect())}
+    assert len(found.drop_duplicates(["doc_id", "piece"])) == len(found) and set(found.doc_id) == set(order)
+    windows = found.doc_id.map(order) // 100
+    assert (windows.groupby(found.sequence_id).nunique() == 1).all()
+    firsts = windows.groupby(found.sequence_id).first().sort_index()
+    assert firsts.is_monotonic_increasing and firsts.nunique() == 10
+    found = found.sort_values(["sequence_id", "offset"])
+    assert (found.groupby("sequence_id").length.cumsum() - found.length == found.offset).all() and found.groupby("sequence_id").length.sum().max() <= 512
+    plain = spark.createDataFrame([(k, f"word {k}") for k in range(50)], "doc_id long, text string")
+    assert packing.pack_in_order(plain, queries.tokenizer_file(), 16, window_docs=10).count() == 50
+
+
 def test_best_fit_runs():
     rng = random.Random(3)
     for _ in range(100):
