@@ -10,36 +10,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import minhash, mixing, packing, quality, queries, secret_scan
-from docquarry.llm.tables import Scratch
+from docquarry.llm.tables import Scratch, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior, or the base rules, reject go."""
+    """Documents that the rules' posterior, or the base rules, reject go; null and empty texts are among them.
+
+    Repeated rows are judged alike. Nulls in other columns and extra columns don't matter. An empty table stays empty.
+    """
     return quality.keep_good(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8) stays: the one with the smallest doc_id."""
-    verdicts = minhash.near_duplicates(docs, minhash.MinHashParameters())
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays: the one with the smallest doc_id.
+
+    Of repeated rows of one doc_id one stays. Rows without doc_id stay, as do null and empty texts, which are like nothing.
+    Extra columns don't matter. An empty table stays empty.
+    """
+    name = unused("gone", docs)
+    verdicts = Scratch(spark, "pipeline-dedup").save(minhash.near_duplicates(docs, minhash.MinHashParameters()), "verdicts")
+    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    repeated = verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
+    if repeated.isEmpty():
+        return left
+    alone = left.join(repeated, F.col("doc_id") == F.col(name), "left_anti")
+    return alone.unionByName(left.join(repeated, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become marks; every document stays, with n_chars of its new text."""
+    """Secrets become marks; every document stays, with n_chars of its new text.
+
+    Null and empty texts are not touched; a null source is no test path. Repeated rows are redacted alike. Extra
+    columns don't matter. An empty table stays empty.
+    """
     p = secret_scan.SecretParameters()
     trees = secret_scan.train_forest(secret_scan.synthetic_findings(spark, p.training_rows), p)
     return secret_scan.redact(docs, trees, p).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, as rows in the order of the mix."""
+    """All documents, as rows in the order of the mix, which the next stage keeps.
+
+    Null sources are a source of their own. Rows that share doc_id and source stand together. Nulls in other
+    columns and extra columns don't matter. An empty table stays empty.
+    """
     return mixing.ordered(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and place in it."""
-    return packing.pack(docs, queries.tokenizer_file(), 2048)
+    """Pieces of all documents with their sequence and place in it; sequences follow the order of ``docs`` by windows.
+
+    Null and empty texts are one end token. Repeated rows are packed as often as they occur. Other columns don't
+    matter. An empty table gives no pieces.
+    """
+    return packing.pack_in_order(docs, queries.tokenizer_file(), 2048)
 
 
 STAGES = [
