@@ -1,4 +1,4 @@
-"""Text expressions; all but ``nfkc`` run inside code generation."""
+"""Text expressions without Python, but for ``nfkc``; those over arrays (``transform``, ``filter``) are interpreted by the JVM."""
 
 from __future__ import annotations
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +25,11 @@ def fingerprint(text: Column) -> Column:
 def exact_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, original): the first arrival of a fingerprint is unique, later ones are its exact copies.
 
-    The smallest key of each fingerprint is a sum by key, so copies never meet in one task.
+    The smallest key of each fingerprint is a sum by key, so copies never meet in one task. Fingerprints are written once,
+    as both sides of the join need them.
     """
     own = docs.select(F.col(key).alias("doc_id"), fingerprint(F.coalesce(F.col(text), F.lit(""))).alias("fp"))
+    own = Stage(docs.sparkSession, "exact").save(own, "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = own.join(first, "fp")
     copy = F.col("doc_id") != F.col("first")
@@ -46,15 +51,47 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return F.when(m > 0, shared / m).otherwise(0.0)
 
 
-def near_pairs(sketched: DataFrame, threshold: float = 0.85, chars: int = 200) -> DataFrame:
-    """(a, b, similarity), a < b, of documents of at least ``chars`` characters; lossless.
+def frequent_hashes(sketched: DataFrame, sample_docs: int = 10_000, most: int = 50_000) -> dict[str, int]:
+    """How often hashes stand in the sketches of a sample of about ``sample_docs`` documents: the ``most`` frequent ones.
+
+    They only say in which order hashes are looked at, so a sample changes no result.
+    """
+    share = int(min(1.0, sample_docs / max(sketched.count(), 1)) * (1 << 20))
+    sample = sketched.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    counts = sample.select(F.explode("sketch").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most)
+    return {r["h"]: r["count"] for r in counts.collect()}
+
+
+def _rarest(sketched: DataFrame, counts: dict[str, int], n: int) -> DataFrame:
+    """(doc_id, h) of each sketch's ``n`` rarest hashes, by ``counts`` and then by value."""
+    shared = sketched.sparkSession.sparkContext.broadcast(counts)  # at most ``most`` entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                picked = [sorted(s, key=lambda h: (counts.get(h, 0), h))[:n] for s in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array([k for k, p in enumerate(picked) for _ in p], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([h for p in picked for h in p], pa.string())], names=["doc_id", "h"])
+
+    return sketched.select("doc_id", "sketch").mapInArrow(run, f"doc_id {dict(sketched.dtypes)['doc_id']}, h string")
+
+
+def near_pairs(sketched: DataFrame, threshold: float = 0.85, chars: int = 200, size: int = 256) -> DataFrame:
+    """(a, b, similarity), a < b, of documents of at least ``chars`` characters; lossless. ``sketched`` is a stored table.
 
-    A pair at the threshold shares a hash among the first floor((1 - t) * size) + 1 of either sketch, so pairs meet on
-    those only and nothing else is compared. The join is by key, and adaptive execution splits a frequent hash.
+    Two full sketches at the threshold have so much in common that, in any order of all hashes, they share one of the first
+    floor((1 - t) * size) + 1 of each: the order from rare to frequent lets few strangers meet. A sketch that is not
+    full meets others on the first hashes by value, for only the smallest ones of a larger sketch count there. The
+    joins are by key, and adaptive execution splits a frequent hash.
     """
     long = sketched.where((F.col("chars") >= chars) & (F.size("sketch") > 0))
-    heads = long.select("doc_id", F.explode(F.slice("sketch", F.lit(1), (F.floor((1 - threshold) * F.size("sketch") + 1e-9) + 1).cast("int"))).alias("h"))
-    met = heads.select(F.col("doc_id").alias("a"), "h").join(heads.select(F.col("doc_id").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
+    full, short = long.where(F.size("sketch") == size), long.where(F.size("sketch") < size)
+    first = lambda df: df.select("doc_id", F.explode(F.slice("sketch", F.lit(1), (F.floor((1 - threshold) * F.size("sketch") + 1e-9) + 1).cast("int"))).alias("h"))
+    rare = _rarest(full, frequent_hashes(full), int((1 - threshold) * size + 1e-9) + 1)
+    meet = lambda x, y: x.select(F.col("doc_id").alias("a"), "h").join(y.select(F.col("doc_id").alias("b"), "h"), "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = meet(rare, rare).unionByName(meet(first(long), first(short))).distinct()
     one, two = (long.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
     both = met.join(one, "a").join(two, "b")
     enough = F.size(F.array_intersect("sa", "sb")) >= threshold * F.least(F.size("sa"), F.size("sb")) - 1e-9  # cheap, and needed for the rest

@@ -18,7 +18,8 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not spark.sparkContext.master.startswith("local"):
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
             spark.conf.set("spark.checkpoint.dir", folder)
