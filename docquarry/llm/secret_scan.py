@@ -240,12 +240,14 @@ def redact(docs: DataFrame, trees: list, p: SecretParameters = SecretParameters(
         held, words = "_" + held, "_" + words
     text, path = F.col(f"`{text_col}`"), F.col(f"`{path_col}`").cast("string")
     hit = F.coalesce(text.cast("string").rlike(ANY_CANDIDATE), F.lit(False))
-    step = docs.withColumn(words, F.when(hit, F.split(text, SPACES)))
-    step = step.withColumn(held, F.when(F.col(words).isNotNull(), F.expr(candidates_sql(words))))
-    step = step.withColumn(held, F.transform(held, lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), *(f.alias(n) for n, f in feature_columns(c["value"], c["before"], c["after"], path).items()))))
+    # else the optimizer, say for a filter on the new text, would put these inside each other, to be evaluated word by word
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    step = docs.withColumn(words, once(F.when(hit, F.split(text, SPACES))))
+    step = step.withColumn(held, once(F.when(F.col(words).isNotNull(), F.expr(candidates_sql(words)))))
+    step = step.withColumn(held, once(F.transform(held, lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), *(f.alias(n) for n, f in feature_columns(c["value"], c["before"], c["after"], path).items())))))
     # (word, the part of a value in it, what takes its place): the first word of a value gets the mark
-    step = step.withColumn(held, F.expr(f"""array_sort(flatten(transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D),
-        x -> transform(split(x.value, ' '), (v, k) -> struct(x.word + k as word, -length(v) as n, v as v, if(k = 0, {_literal(mark)}, '') as into)))))"""))
+    step = step.withColumn(held, once(F.expr(f"""array_sort(flatten(transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D),
+        x -> transform(split(x.value, ' '), (v, k) -> struct(x.word + k as word, -length(v) as n, v as v, if(k = 0, {_literal(mark)}, '') as into)))))""")))
     clean = f"""if(exists({held}, x -> x.word = i), aggregate(filter({held}, x -> x.word = i), w, (t, x) -> replace(t, x.v, x.into)), w)"""
     gaps = f"transform(regexp_extract_all(`{text_col}`, {_literal(SPACES)}, 0), (g, i) -> if(exists({held}, x -> x.word = i + 1 and x.into = ''), '', g))"
     rebuilt = F.expr(f"array_join(zip_with(transform({words}, (w, i) -> {clean}), {gaps}, (w, g) -> concat(w, coalesce(g, ''))), '')")
