@@ -15,7 +15,7 @@ _FILES = "SELECT p_brand AS repo, concat('f', lpad(CAST(p_partkey AS STRING), 6,
 _MODULES = "SELECT p_partkey AS path, concat('pkg', p_partkey % 7, '.sub', p_partkey % 30, '.m', p_partkey % 400) AS module FROM part"
 _IMPORTS = "SELECT l_orderkey % 500 AS file, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN concat('m', l_partkey % 800) WHEN 1 THEN concat('sub', l_partkey % 30, '.m', l_partkey % 400) ELSE concat('ext', l_partkey % 5, '.x') END AS module FROM lineitem"
 _TARGETS = "SELECT p_partkey AS url_id, concat('h', p_partkey % 3) AS host, concat('/', CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'private/a' WHEN 1 THEN 'private/pub/x.html' WHEN 2 THEN 'shop?q=1' ELSE 'b.pdf' END, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END) AS target FROM part"
-_RULES = "VALUES ('h0', '/private', false), ('h0', '/private/pub', true), ('h0', '/*.pdf$', false), ('h1', '/', false), ('h1', '/shop?', true), ('h1', '/b', true), ('h1', '/b', false), ('h2', '', false)"
+_RULES = "VALUES ('h0', '/private', false), ('h0', '/private/pub', true), ('h0', '/*.pdf$', false), ('h1', '/', false), ('h1', '/shop?', true), ('h1', '/b', true), ('h1', '/b', false), ('h2', '', false), ('h2', '/*/a', false), ('h2', '/shop?q=*x$', false), ('h2', '*.pdfx', false), ('h2', '/private/*/x.html', false), ('h2', '/$hop', false)"
 
 
 def _sql(spark, sf_dir, sql):
@@ -74,9 +74,10 @@ ORACLE = {
         SELECT repo, path, size FROM r WHERE n <= 60 AND s <= 12000000""",
     "module_suffix_resolve": f"WITH {_RESOLVED} SELECT DISTINCT file, module, resolved FROM r",
     "dependency_counts": f"WITH {_RESOLVED} SELECT file AS source, coalesce(resolved::VARCHAR, split_part(module, '.', 1)) AS target, CASE WHEN resolved IS NULL THEN 'external' ELSE 'internal' END AS scope, count(*) AS count FROM r GROUP BY ALL",
-    "robots_longest_match": f"""
+    "robots_longest_match": rf"""
         WITH u AS ({_TARGETS}), r(host, pattern, allow) AS ({_RULES}),
-        m AS (SELECT url_id, allow, length(pattern) AS n FROM u JOIN r ON u.host = r.host AND pattern <> '' AND CASE WHEN pattern = '/*.pdf$' THEN ends_with(target, '.pdf') ELSE starts_with(target, pattern) END),
+        x AS (SELECT *, '^' || replace(regexp_replace(CASE WHEN ends_with(pattern, '$') THEN pattern[:-2] ELSE pattern END, '([.+?^$(){{}}|\[\]])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(pattern, '$') THEN '$' ELSE '' END AS re FROM r WHERE pattern <> ''),
+        m AS (SELECT url_id, allow, length(pattern) AS n FROM u JOIN x ON u.host = x.host AND regexp_matches(target, re)),
         b AS (SELECT url_id, allow FROM m QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY n DESC, allow DESC) = 1)
         SELECT url_id, coalesce(allow, true) AS allowed FROM u LEFT JOIN b USING (url_id)""",
     "crawl_frontier": """

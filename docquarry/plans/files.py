@@ -21,9 +21,11 @@ _CITATIONS = """
            WHEN 3 THEN concat('o/r@', repeat('a1', 20), '/src/x.py#L3-L9') WHEN 4 THEN concat('o/r@', repeat('a1', 20), '/src/x.py#L9-L3') WHEN 5 THEN concat('o/r@', repeat('a1', 20), '/src/../x.py#L3')
            WHEN 6 THEN concat(' o/r@', repeat('a1', 20), '/x#L', p_partkey, ' ') WHEN 7 THEN concat('o/r@', repeat('a1', 20), '/x#L0') ELSE 'see page 3' END AS text
     FROM part"""
+#: IPv4 addresses near the borders of networks and all over, and texts that are none.
 _ADDRESSES = """
-    SELECT s_suppkey AS id, CASE CAST(s_suppkey % 10 AS INT) WHEN 0 THEN '127.0.0.1' WHEN 1 THEN concat('10.0.0.', s_suppkey % 250) WHEN 2 THEN '169.254.169.254' WHEN 3 THEN concat('169.254.1.', s_suppkey % 250) WHEN 4 THEN '100.64.1.2'
-           WHEN 5 THEN '224.0.0.1' WHEN 6 THEN '0.0.0.0' WHEN 7 THEN '240.0.0.1' WHEN 8 THEN concat('8.8.8.', s_suppkey % 250) ELSE 'nonsense' END AS address FROM supplier"""
+    SELECT l_orderkey * 10 + l_linenumber AS id, concat(CASE CAST(l_partkey % 19 AS INT) WHEN 0 THEN '127' WHEN 1 THEN '10' WHEN 2 THEN '169.254' WHEN 3 THEN '172.16' WHEN 4 THEN '100.64' WHEN 5 THEN '192.168' WHEN 6 THEN '192.0.2' WHEN 7 THEN '198.18' WHEN 8 THEN '203.0.113'
+           WHEN 9 THEN '192.0.0' WHEN 10 THEN '0' WHEN 11 THEN '100.127' WHEN 12 THEN '172.32' WHEN 13 THEN '198.51.100' WHEN 14 THEN '169.254.169' WHEN 15 THEN '0.0.0' ELSE concat(l_partkey % 256, '.', l_suppkey % 256) END,
+           '.', (l_orderkey * 7) % 256, CASE WHEN l_partkey % 19 IN (6, 8, 9, 13, 14, 15) THEN '' ELSE concat('.', l_linenumber * 43 % 256) END, CASE WHEN l_partkey % 19 IN (0, 1, 10) THEN concat('.', CASE WHEN l_orderkey % 5 = 0 THEN '256' WHEN l_orderkey % 5 = 1 THEN '01' ELSE '9' END) ELSE '' END) AS address FROM lineitem"""
 
 
 def _of(sql, name):
@@ -45,7 +47,7 @@ def _citations(spark, sf_dir):
 
 
 def _addresses(spark, sf_dir):
-    return files.address_classes(_of(_ADDRESSES, "supplier")(spark, sf_dir)).select("id", F.coalesce("reason", F.lit("")).alias("reason"))
+    return files.address_classes(_of(_ADDRESSES, "lineitem")(spark, sf_dir)).select("id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 QUERIES = {"file_filter": _filter, "repo_ref_parse": _specs, "citation_parse": _citations, "ip_classify": _addresses}
@@ -68,13 +70,24 @@ ORACLE = {
             WHEN len(list_filter(dirs, lambda x: x IN {_in(files.VENDORED_DIRECTORIES)})) > 0 THEN 'vendored'
             WHEN len(list_filter(dirs, lambda x: x IN {_in(files.GENERATED_DIRECTORIES)})) > 0 OR name IN {_in(files.GENERATED_NAMES)} OR {_ends("name", files.GENERATED_SUFFIXES)} THEN 'generated'
             WHEN ext IN {_in(files.BINARY_EXTENSIONS)} THEN 'binary' WHEN size > 524288 THEN 'too_large' ELSE '' END AS reason FROM n""",
-    "repo_ref_parse": f"""
-        WITH e AS ({_SPECS}), k AS (SELECT id, p_host IN (0, 1, 2, 6, 7) AND p_owner < 2 AND p_name IN (0, 1, 3) AS ok, p_owner, p_name FROM (SELECT id, (id % 8)::INT AS p_host, (id % 3)::INT AS p_owner, (id % 5)::INT AS p_name FROM e))
-        SELECT id, CASE WHEN ok THEN CASE p_owner WHEN 0 THEN 'acme/' ELSE 'a-b/' END || CASE p_name WHEN 3 THEN 'x.y_z' ELSE 'tool' END ELSE '' END AS repository FROM k""",
-    "citation_parse": f"""
-        WITH e AS ({_CITATIONS}), k AS (SELECT id, (id % 9)::INT AS k FROM e)
-        SELECT id, CASE WHEN k = 0 THEN 'web' WHEN k IN (3, 6) THEN 'repo' ELSE '' END AS kind, CASE WHEN k = 0 THEN 'https://h.example/a' WHEN k IN (3, 6) THEN 'o/r' ELSE '' END AS target,
-               CASE k WHEN 0 THEN 'c1' WHEN 3 THEN 'src/x.py' WHEN 6 THEN 'x' ELSE '' END AS part, CASE k WHEN 3 THEN '3' WHEN 6 THEN id::VARCHAR ELSE '' END AS start_line, CASE k WHEN 3 THEN '9' WHEN 6 THEN id::VARCHAR ELSE '' END AS end_line FROM k""",
-    "ip_classify": f"""WITH e AS ({_ADDRESSES}) SELECT id, CASE (id % 10)::INT WHEN 0 THEN 'loopback' WHEN 1 THEN 'private' WHEN 2 THEN 'cloud_metadata' WHEN 3 THEN 'link_local' WHEN 4 THEN 'carrier_grade_nat' WHEN 5 THEN 'multicast'
-        WHEN 6 THEN 'unspecified' WHEN 7 THEN 'reserved' WHEN 8 THEN '' ELSE 'reserved' END AS reason FROM e""",
+    "repo_ref_parse": rf"""
+        WITH e AS (SELECT id, trim(spec) AS s FROM ({_SPECS})),
+        r AS (SELECT id, s, CASE WHEN regexp_matches(s, '^[^@\s/]+@(www\.)?github\.com:.') THEN regexp_extract(s, ':(.+)$', 1) WHEN regexp_matches(s, '^https?://(www\.)?github\.com(:\d+)?/[^?#]+$') THEN regexp_extract(s, '^https?://[^/]+/(.+)$', 1)
+                     WHEN regexp_matches(s, '^(?i)(www\.)?github\.com/.') THEN regexp_extract(s, '^[^/]+/(.+)$', 1) WHEN regexp_matches(s, '^[^/:@?#]+/[^:@?#]+$') THEN s ELSE '' END AS rest FROM e),
+        p AS (SELECT id, string_split(regexp_replace(regexp_replace(rest, '^/+|/+$', '', 'g'), '\.git$', ''), '/') AS p, contains(s, ' ') OR contains(s, chr(92)) AS bad FROM r)
+        SELECT id, CASE WHEN NOT bad AND len(p) = 2 AND length(p[1]) <= 39 AND regexp_matches(p[1], '^[A-Za-z0-9]+(-[A-Za-z0-9]+)*$') AND regexp_matches(p[2], '^[A-Za-z0-9._-]{{1,100}}$') AND p[2] NOT IN ('.', '..') THEN p[1] || '/' || p[2] ELSE '' END AS repository FROM p""",
+    "citation_parse": rf"""
+        WITH e AS (SELECT id, trim(text) AS t FROM ({_CITATIONS})),
+        c AS (SELECT id, t, string_split(split_part(t, '#', 1), '@') AS head, split_part(t, '#', 2) AS tail FROM e),
+        r AS (SELECT id, t, head[1] AS repo, head[2] AS rest, try_cast(regexp_extract(tail, '^L(\d+)', 1) AS INT) AS low, coalesce(try_cast(regexp_extract(tail, '-L(\d+)$', 1) AS INT), try_cast(regexp_extract(tail, '^L(\d+)', 1) AS INT)) AS high, tail FROM c),
+        k AS (SELECT *, substr(rest, 42) AS path, regexp_matches(t, '^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+@[0-9a-f]{{40}}/[^#]+#L\d+(-L\d+)?$') AND low >= 1 AND high >= low AND len(list_filter(string_split(substr(rest, 42), '/'), lambda x: x IN ('', '..'))) = 0 AS is_repo,
+                     regexp_matches(t, '^https?://[^\s#]+#[A-Za-z0-9._-]+@\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ$') AND try_cast(replace(replace(split_part(t, '@', 2), 'T', ' '), 'Z', '') AS TIMESTAMP) IS NOT NULL AS is_web FROM r)
+        SELECT id, CASE WHEN is_repo THEN 'repo' WHEN is_web THEN 'web' ELSE '' END AS kind, CASE WHEN is_repo THEN repo WHEN is_web THEN split_part(t, '#', 1) ELSE '' END AS target, CASE WHEN is_repo THEN path WHEN is_web THEN split_part(tail, '@', 1) ELSE '' END AS part,
+               CASE WHEN is_repo THEN low::VARCHAR ELSE '' END AS start_line, CASE WHEN is_repo THEN high::VARCHAR ELSE '' END AS end_line FROM k""",
+    "ip_classify": rf"""
+        WITH e AS ({_ADDRESSES}), p AS (SELECT id, address, string_split(address, '.') AS p FROM e),
+        n AS (SELECT id, address, CASE WHEN len(p) = 4 AND len(list_filter(p, lambda x: regexp_matches(x, '^(0|[1-9]\d*)$') AND x::INT <= 255)) = 4 THEN p[1]::BIGINT * 16777216 + p[2]::BIGINT * 65536 + p[3]::BIGINT * 256 + p[4]::BIGINT END AS n FROM p)
+        SELECT id, CASE WHEN n IS NULL THEN 'reserved' WHEN address IN ('169.254.169.254', '169.254.169.253', '169.254.170.2', '169.254.170.23', '100.100.100.200') THEN 'cloud_metadata' WHEN n = 0 THEN 'unspecified' WHEN n // 16777216 = 127 THEN 'loopback' WHEN n // 65536 = 43518 THEN 'link_local'
+            WHEN n // 268435456 = 14 THEN 'multicast' WHEN n // 4194304 = 401 THEN 'carrier_grade_nat' WHEN n // 268435456 = 15 THEN 'reserved' WHEN n IN (3221225481, 3221225482) THEN ''
+            WHEN n // 16777216 IN (0, 10) OR n // 1048576 = 2753 OR n // 256 IN (12582912, 12582914, 12989284, 13303921) OR n // 65536 = 49320 OR n // 131072 = 25353 THEN 'private' ELSE '' END AS reason FROM n""",
 }

@@ -49,6 +49,18 @@ ORACLE = {
         l AS (SELECT e.*, i, lag(status) OVER w AS s, lag(e.phase) OVER w AS q, lag(i) OVER w AS j FROM e JOIN p ON e.phase = p.phase WINDOW w AS (PARTITION BY run_id ORDER BY seq))
         SELECT run_id, seq, s IS NULL OR s = status OR EXISTS (SELECT 1 FROM m WHERE a = s AND b = status) AS status_ok,
                j IS NULL OR i >= j OR (q = 'human_interrupt' AND phase = 'outline') AS phase_ok FROM l""",
+    "lease_replay": f"""
+        WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY seq) AS i FROM ({_STEPS.replace("AS STRING", "AS VARCHAR")})),
+        r AS (SELECT DISTINCT step_id, 0::BIGINT AS i, 0::BIGINT AS seq, '' AS op, false AS accepted, 'pending' AS status, '' AS owner, 0::BIGINT AS until, 0 AS attempt FROM e
+              UNION ALL
+              SELECT e.step_id, e.i, e.seq, e.op, (claims AND holds) OR (fresh AND r.attempt < 3) OR (e.op IN ('heartbeat', 'complete', 'fail') AND holds),
+                     CASE WHEN fresh AND r.attempt >= 3 THEN 'failed' WHEN fresh THEN 'running' WHEN e.op = 'complete' AND holds THEN 'succeeded' WHEN e.op = 'fail' AND holds THEN CASE WHEN e.retryable AND r.attempt < 3 THEN 'pending' ELSE 'failed' END ELSE r.status END,
+                     CASE WHEN fresh AND r.attempt < 3 THEN e.owner WHEN e.op = 'fail' AND holds THEN '' ELSE r.owner END,
+                     CASE WHEN (claims AND holds) OR (fresh AND r.attempt < 3) OR (e.op = 'heartbeat' AND holds) THEN e.at + 300 ELSE r.until END, CASE WHEN fresh THEN r.attempt + 1 ELSE r.attempt END
+              FROM r JOIN (SELECT *, 1 AS one FROM e) e ON e.step_id = r.step_id AND e.i = r.i + 1,
+              LATERAL (SELECT r.status = 'running' AND r.owner = e.owner AND r.until > e.at AS holds, e.op = 'claim' AND r.status NOT IN ('succeeded', 'failed', 'cancelled') AS claims) v,
+              LATERAL (SELECT v.claims AND NOT v.holds AND (r.status = 'pending' OR r.until <= e.at) AS fresh) w)
+        SELECT step_id, seq, op, accepted, status, attempt FROM r WHERE i > 0""",
     "session_idle": """
         WITH g AS (SELECT user_id, ts, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR)::INT, 1) AS new FROM events),
         n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g)
