@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.urls import canonical
+from docquarry.functions.urls import canonical, link_targets, robots_meta
+from docquarry.operators.graph import robots_verdicts
+from docquarry.sources.stage import Stage
 
 #: Names that mean something inside a network only.
 PRIVATE_SUFFIXES = (".localhost", ".local", ".internal", ".intranet", ".lan", ".corp", ".home", ".home.arpa", ".onion", ".in-addr.arpa", ".ip6.arpa")
@@ -41,17 +43,85 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     return rules.select("host", "line", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow")).unionByName(denied)
 
 
+def _tag(c: Column, name: str) -> Column:
+    return _squeeze(F.regexp_extract(c, rf"(?is)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}\s*>", 1))
+
+
+def sitemap_children(files: DataFrame, key: str = "sitemap_id", xml: str = "xml") -> DataFrame:
+    """(key, ordinal, canonical) of the sitemaps that an index lists, in order; bad addresses and repeats are left out."""
+    sound = files.where(~F.col(xml).rlike(r"(?i)<!\s*(doctype|entity)"))
+    each = sound.select(key, F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?sitemap\b[^>]*>(.*?)</(?:\w+:)?sitemap\s*>"), F.lit(1))).alias("_at", "_e"))
+    good = canonical(each.select(key, "_at", F.replace(_tag(F.col("_e"), "loc"), F.lit("&amp;"), F.lit("&")).alias("url"))).where("ok")
+    firsts = good.groupBy(key, "canonical").agg(F.min("_at").alias("_at"))
+    return firsts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_at")) - 1).cast("int").alias("ordinal"), "canonical")
+
+
+def site_crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, agent: str = "docbot", max_depth: int = 3, max_pages: int = 200, max_frontier: int = 5000) -> DataFrame:
+    """(crawl, position, url, depth, via, verdict) of a crawl over stored answers, level by level.
+
+    ``pages`` (url, html, status, media_type) are the answers by canonical address, ``seeds`` (crawl, url, via, ordinal) the first
+    candidates, one of them via ``seed``: its scheme, host, port and folder are the crawl's scope. ``rules`` (host, pattern, allow)
+    are robots rules. A candidate is out_of_scope, robots_disallowed, or limit_reached once ``max_frontier`` are admitted;
+    an admitted one, in the order of discovery, is a page or names why not, and not_visited after ``max_pages`` pages. Links of
+    what was fetched, unless nofollow, are the next level's candidates, up to ``max_depth``. Each level is written once;
+    a crawl's numbers are found in one task, for at most its candidates of a level.
+    """
+    stage = Stage(pages.sparkSession, "crawl")
+    first = canonical(seeds).where("ok")
+    scopes = first.where("via = 'seed'").select(F.col("crawl").alias("_c"), F.col("scheme").alias("_s"), F.col("host").alias("_h"), F.col("port").alias("_p"), F.regexp_extract("path", "^(.*/)", 1).alias("_prefix"))
+    tags = robots_meta(pages, agent, "url").select(F.col("url").alias("_u"), "noindex", "nofollow")
+    answers = stage.save(pages.select("url", "status", "media_type").join(tags, F.col("url") == F.col("_u")).drop("_u"), "answers").withColumnRenamed("url", "_url")
+    links = stage.save(link_targets(pages.withColumn("_key", F.col("url")), "_key", "url"), "links")
+    level = first.select("crawl", F.col("canonical").alias("url"), "via", F.lit(0).cast("long").alias("parent"), F.col("ordinal").cast("int").alias("ordinal"))
+    done = None
+    for depth in range(max_depth + 1):
+        fresh = level.groupBy("crawl", "url").agg(F.min(F.struct("parent", "ordinal", "via")).alias("_f")).select("crawl", "url", "_f.*")
+        if done is not None:
+            fresh = fresh.join(done.select("crawl", "url"), ["crawl", "url"], "left_anti")
+        parsed = canonical(fresh).drop("canonical", "ok").join(scopes, F.col("crawl") == F.col("_c"))
+        within = (F.col("scheme") == F.col("_s")) & (F.col("host") == F.col("_h")) & (F.col("port") == F.col("_p")) & F.startswith("path", F.col("_prefix"))
+        parsed = stage.save(parsed.select("crawl", "url", "via", "parent", "ordinal", "host", F.concat("path", F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")).alias("target"), within.alias("within")), f"parsed{depth}")
+        allowed = robots_verdicts(parsed.select(F.col("url").alias("url_id"), "host", "target").distinct(), rules)
+        judged = parsed.join(allowed, F.col("url") == F.col("url_id")).join(answers, F.col("url") == F.col("_url"), "left")
+        order = Window.partitionBy("crawl").orderBy("_fit", "parent", "ordinal", "url")
+        fit = F.when(F.col("within") & F.col("allowed"), 0).otherwise(1)
+        before = done.where("admitted").groupBy(F.col("crawl").alias("_d")).agg(F.count(F.lit(1)).alias("_taken"), F.count_if(F.col("verdict") == "page").alias("_pages"), F.max("position").alias("_last")) if done is not None else None
+        judged = judged.withColumn("_fit", fit).withColumn("_n", F.row_number().over(order))
+        zero = F.lit(0).cast("long")
+        judged = judged.join(before, F.col("crawl") == F.col("_d"), "left") if before is not None else judged.withColumns({"_taken": zero, "_pages": zero, "_last": zero})
+        taken, pages_before, last = (F.coalesce(F.col(c), F.lit(0)) for c in ("_taken", "_pages", "_last"))
+        admitted = (F.col("_fit") == 0) & (F.col("_n") + taken <= max_frontier)
+        answer = (
+            F.when(F.col("status").isNull(), "fetch_failed")
+            .when(~F.col("status").between(200, 299), "unsuccessful_status")
+            .when(~F.col("media_type").isin("text/html", "application/xhtml+xml"), "unsupported_media_type")
+            .when(F.col("noindex"), "page_noindex")
+            .otherwise("page")
+        )
+        judged = judged.withColumn("admitted", admitted).withColumn("_answer", answer)
+        page = F.when(F.col("admitted") & (F.col("_answer") == "page"), 1).otherwise(0)
+        so_far = F.coalesce(F.sum(page).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + pages_before
+        verdict = (
+            F.when(~F.col("within"), "out_of_scope").when(~F.col("allowed"), "robots_disallowed").when(~F.col("admitted"), "limit_reached").when(so_far >= max_pages, "not_visited").otherwise(F.col("_answer"))
+        )
+        found = judged.select("crawl", (F.col("_n") + last).cast("long").alias("position"), "url", F.lit(depth).alias("depth"), "via", verdict.alias("verdict"), "admitted", F.coalesce("nofollow", F.lit(False)).alias("nofollow"))
+        found = stage.save(found, f"level{depth}")
+        done = found if done is None else stage.save(done.unionByName(found), f"done{depth}")
+        fetched = found.where("verdict in ('page', 'page_noindex') and not nofollow").select("crawl", F.col("url").alias("_key"), F.col("position").alias("parent"))
+        level = fetched.join(links, "_key").select("crawl", F.col("canonical").alias("url"), F.lit("link").alias("via"), "parent", "ordinal")
+    return done.select("crawl", "position", "url", "depth", "via", "verdict")
+
+
 def sitemap_entries(files: DataFrame, key: str = "sitemap_id", xml: str = "xml", most: int = SITEMAP_ENTRIES) -> DataFrame:
     """(key, ordinal, canonical, lastmod, priority) of the pages that a sitemap lists, in order, the first ``most``.
 
     Files that declare a document type or entities are refused whole, bad addresses and repeats are left out. Priorities
     outside 0 to 1 and dates that don't parse are null; dates without a zone are UTC. Namespace prefixes don't matter.
     """
-    tag = lambda c, name: _squeeze(F.regexp_extract(c, rf"(?is)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}\s*>", 1))
     plain = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
     sound = files.where(~F.col(xml).rlike(r"(?i)<!\s*(doctype|entity)"))
     each = sound.select(key, F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?url\b[^>]*>(.*?)</(?:\w+:)?url\s*>"), F.lit(1))).alias("_at", "_e"))
-    parts = each.select(key, "_at", plain(tag(F.col("_e"), "loc")).alias("url"), tag(F.col("_e"), "lastmod").alias("_m"), tag(F.col("_e"), "priority").alias("_p"))
+    parts = each.select(key, "_at", plain(_tag(F.col("_e"), "loc")).alias("url"), _tag(F.col("_e"), "lastmod").alias("_m"), _tag(F.col("_e"), "priority").alias("_p"))
     good = canonical(parts).where("ok").groupBy(key, "canonical").agg(F.min(F.struct("_at", "_m", "_p")).alias("_f"))
     ranked = good.withColumn("ordinal", (F.row_number().over(Window.partitionBy(key).orderBy("_f._at")) - 1).cast("int")).where(F.col("ordinal") < most)
     priority = F.col("_f._p").try_cast("double")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import crawl
 from docquarry.plans.urls import canonical_ctes
+from docquarry.sources.stage import Stage
+from docquarry.sources.store import ContentStore
 from docquarry.sources.tables import table
 
 _AGENT = "docbot"
@@ -29,7 +31,34 @@ def _sql(spark, sf_dir, sql):
     return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), source=table(spark, sf_dir, name))
 
 
+_INDEXES = """SELECT page_id AS sitemap_id, concat('<sitemapindex><sitemap><loc>', url, '</loc></sitemap><x:sitemap><x:loc> http://h.example/s', page_id % 3, '.xml?a=1&amp;b=2 </x:loc></x:sitemap><sitemap><loc>ftp://x/</loc></sitemap><sitemap><loc>HTTP://h.example/s',
+    page_id % 2, '.xml?b=2&amp;a=1</loc></sitemap></sitemapindex>') AS xml FROM pages"""
+#: A site of 400 pages a host, each with five links, some of them beside the scope, disallowed, or not to be followed.
+_SITE = """SELECT concat('http://h', p_partkey % 5, '.example/docs/p', p_partkey) AS url, concat(CASE WHEN p_partkey % 29 = 0 THEN '<meta name=robots content=nofollow>' WHEN p_partkey % 23 = 0 THEN '<meta name=robots content=noindex>' ELSE '' END,
+    '<a href="p', (p_partkey * 7 + 5) % 2000, '">a</a><a href="/docs/p', p_partkey * 3 % 2000, '">b</a><a href="../about">c</a><a href="private/p', p_partkey, '">d</a><a rel=nofollow href="p0">e</a><a href="./p', p_partkey + 5, '">f</a>') AS html,
+    CASE WHEN p_partkey % 17 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN p_partkey % 19 = 0 THEN 'application/pdf' ELSE 'text/html' END AS media_type FROM part"""
+_SEEDS = "VALUES (0L, 'http://h0.example/docs/p5', 'seed', 0), (0L, 'http://h0.example/docs/p10', 'sitemap', 1), (1L, 'http://h1.example/docs/p6', 'seed', 0), (2L, 'http://h2.example/docs/p2#x', 'seed', 0), (2L, 'http://h2.example/other', 'sitemap', 1)"
+
+
+def site(spark, sf_dir):
+    """(answers, seeds, robots rules) of the made site."""
+    rules = spark.sql("SELECT * FROM VALUES ('h0.example', '/docs/private', false), ('h1.example', '/*9$', false), ('h1.example', '/docs/private/p1', true), ('h1.example', '/docs/private', false) AS t(host, pattern, allow)")
+    return _sql(spark, sf_dir, _SITE), spark.sql(f"SELECT * FROM {_SEEDS} AS t(crawl, url, via, ordinal)"), rules
+
+
+def _store(spark, sf_dir):
+    """Contents offered twice, the second time beside others, are kept once."""
+    store = ContentStore(spark, Stage(spark, "store").folder + "/contents")
+    pages = table(spark, sf_dir, "pages")
+    store.put(pages.where("page_id % 2 = 0"), F.col("html"))
+    held = store.put(pages, F.col("html"))
+    return store.contents().join(held.groupBy("sha256").count(), "sha256").select("sha256", "size", F.col("count").alias("holders"))
+
+
 QUERIES = {
+    "site_crawl": lambda spark, sf_dir: crawl.site_crawl(*site(spark, sf_dir), max_pages=60, max_frontier=150),
+    "sitemap_children": lambda spark, sf_dir: crawl.sitemap_children(_sql(spark, sf_dir, _INDEXES)),
+    "content_store": _store,
     "robots_rules": lambda spark, sf_dir: crawl.robots_rules(_sql(spark, sf_dir, _FILES), f"{_AGENT}/1.0"),
     "sitemap_entries": lambda spark, sf_dir: crawl.sitemap_entries(_sql(spark, sf_dir, _SITEMAPS)).withColumn("lastmod", F.coalesce(F.date_format("lastmod", "yyyy-MM-dd HH:mm:ss"), F.lit(""))),
     "hostname_class": lambda spark, sf_dir: _sql(spark, sf_dir, _HOSTS).select("host_id", F.coalesce(crawl.hostname_reason(F.col("host")), F.lit("")).alias("reason")),
@@ -42,6 +71,11 @@ _REASON = "CASE WHEN NOT (regexp_matches(n, '^\\d{1,3}(\\.\\d{1,3}){3}$') OR con
 _NAMES = f"h AS ({_HOSTS}), n AS (SELECT host_id, lower(regexp_replace(trim(host), '\\.+$', '')) AS n FROM h), r AS (SELECT host_id, {_REASON} AS reason FROM n)"
 
 ORACLE = {
+    "content_store": "SELECT sha256(html) AS sha256, octet_length(encode(any_value(html)))::BIGINT AS size, count(*) AS holders FROM pages GROUP BY 1",
+    "sitemap_children": f"""
+        WITH l AS (SELECT page_id, 0 AS variant, url FROM pages UNION ALL SELECT page_id, 1, 'http://h.example/s' || page_id % 3 || '.xml?a=1&b=2' FROM pages UNION ALL SELECT page_id, 3, 'HTTP://h.example/s' || page_id % 2 || '.xml?b=2&a=1' FROM pages),
+        {canonical_ctes("SELECT page_id, variant, url FROM l")}, x AS (SELECT page_id, canonical, min(variant) AS v FROM shown WHERE ok GROUP BY ALL)
+        SELECT page_id AS sitemap_id, (row_number() OVER (PARTITION BY page_id ORDER BY v) - 1)::INT AS ordinal, canonical FROM x""",
     "robots_rules": rf"""
         WITH f AS ({_FILES}), l AS (SELECT host, generate_subscripts(s, 1) - 1 AS line, regexp_replace(unnest(s), '#.*$', '') AS raw FROM (SELECT host, regexp_split_to_array(body, '\r\n|\r|\n') AS s FROM f WHERE status BETWEEN 200 AND 299)),
         n AS (SELECT host, line, lower(trim(split_part(raw, ':', 1))) AS field, trim(substr(raw, instr(raw, ':') + 1)) AS value FROM l WHERE contains(raw, ':')),
