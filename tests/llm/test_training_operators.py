@@ -387,6 +387,21 @@ def test_licenses(spark):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_license_spans():
+    scanner = licenses.LicenseScanner(licenses.LicenseParameters())
+    for label, notice in licenses.NOTICES:
+        words = notice.split()
+        half = " ".join(["lead"] * 5 + words[: 2 * len(words) // 3] + ["tail"] * 5)
+        _, _, spans = scanner.scan(half)
+        assert any(s[0] == label and s[1] >= 5 and s[2] <= 5 + 3 * len(words) for s in spans), label
+        _, _, whole = scanner.scan(notice)
+        assert max(s[3] for s in whole if s[0] == label) == 1.0
+        broken = list(words)
+        broken[len(broken) // 2] = "inserted"
+        assert any(s[0] == label for s in scanner.scan(" ".join(broken))[2]), label
+    assert not scanner.scan("the software is a list of conditions and any person may use this " * 40)[2]
+
+
 def test_matching_statistics():
     rng = random.Random(2)
     templates = [[rng.randrange(4) for _ in range(rng.randint(2, 9))] for _ in range(6)]
