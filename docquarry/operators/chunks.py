@@ -24,7 +24,7 @@ def line_windows(docs: DataFrame, lines: int = 60, key: str = "doc_id", text: st
     return cut.where(F.col("body").rlike(r"(?U)\S")).select(key, "ordinal", anchor.alias("anchor"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), tokens.alias("token_count"))
 
 
-_HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 _FENCE = re.compile(r"^\s{0,3}(```+|~~~+)")
 
 
