@@ -204,6 +204,7 @@ def near_embeddings(vectors: DataFrame, p: CosineParameters = CosineParameters()
     found = components(linked.unionByName(through_ids), scratch)
     classes = unique.select("node", "least", "n_copies").join(counts.withColumnRenamed("vec_id", "node"), "node", "left").join(found, "node", "left")
     classes = scratch.save(classes.select(F.col("node").alias("node2"), "least", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group")), "classes")
+    scratch.keep("members", "classes")
     named = classes.groupBy("group").agg(F.min("least").alias("component")).withColumnRenamed("group", "group2")
     classes = classes.join(named, F.col("group") == F.col("group2")).select("node2", "n_links", "component")
     out = members.join(classes, F.col("node") == F.col("node2"), "left")

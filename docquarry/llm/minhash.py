@@ -32,7 +32,7 @@ class MinHashParameters:
     mantissa_bits: int = 10
     errors: float = 6.5  # estimates this many standard errors below the threshold are not checked
     partners: int = 256  # of a document that meet it in one task
-    block: int = 768  # members of a bucket that meet as many others in one task
+    block: int = 384  # members of a bucket that meet as many others in one task
 
     @property
     def registers(self) -> int:
@@ -361,6 +361,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(),
     chains = filled.select("doc_id", "digest", "n_shingles").join(classes, same).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.unionByName(more).unionByName(chains), scratch, "last")
     final = scratch.save(final, "final").select(F.col("node").alias("node"), "component")
+    scratch.keep("signed", "final")
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -46,6 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
+        self.labels: set[str] = set()
         atexit.register(self.clear)
 
     def path(self, label: str) -> str:
@@ -54,11 +55,18 @@ class Scratch:
     def save(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` and read it again; the lineage ends here."""
         df.write.mode("overwrite").parquet(self.path(label))
+        self.labels.add(label)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, label: str) -> None:
         """Delete a table that no later plan reads."""
         self._delete(self.path(label))
+        self.labels.discard(label)
+
+    def keep(self, *labels: str) -> None:
+        """Delete all tables but those that the result still reads."""
+        for label in self.labels.difference(labels):
+            self.drop(label)
 
     def clear(self) -> None:
         """Delete everything; for the end of the application, as results are read lazily."""
