@@ -78,12 +78,12 @@ def remapped(references: DataFrame, citations: DataFrame, by: str = "document")
     """(by, chapter, seq, number): references by a chapter's own citation ids under the document's numbers.
 
     ``citations`` (by, chapter, seq, citation_id, snapshot_id, locator) in reading order (chapter, seq); the same place gets one
-    number however many chapters cite it. References to ids that the chapter lacks are left out.
+    number however many chapters cite it, and ties go by its name. References to ids that the chapter lacks are left out.
     """
     place = [by, "snapshot_id", "locator"]
     first = citations.groupBy(*place).agg(F.min(F.struct("chapter", "seq")).alias("_first"))
-    numbered = first.withColumn("number", F.concat(F.lit("c"), F.row_number().over(Window.partitionBy(by).orderBy("_first")).cast("string")))
-    names = citations.join(numbered, place).groupBy(by, "chapter", "citation_id").agg(F.max_by("number", "seq").alias("number"))
+    numbered = first.withColumn("number", F.concat(F.lit("c"), F.row_number().over(Window.partitionBy(by).orderBy("_first", "snapshot_id", "locator")).cast("string")))
+    names = citations.join(numbered, place).groupBy(by, "chapter", "citation_id").agg(F.max_by("number", F.struct("seq", "snapshot_id", "locator")).alias("number"))
     return references.join(names, [by, "chapter", "citation_id"]).select(by, "chapter", "seq", "number")
 
 

@@ -139,8 +139,8 @@ ORACLE = {
         SELECT c.slug, position, CASE WHEN p.slug IS NULL THEN '' WHEN named THEN 'New ' || c.slug ELSE title END AS title, p.slug IS NOT NULL AS known FROM c LEFT JOIN p USING (slug)""",
     "reference_remap": f"""
         WITH c AS ({_CITED}), u AS ({_USED}), o AS (SELECT document, snapshot_id, locator, min(chapter * 1000000000000 + seq) AS first FROM c GROUP BY ALL),
-        n AS (SELECT *, 'c' || row_number() OVER (PARTITION BY document ORDER BY first) AS number FROM o),
-        m AS (SELECT c.document, chapter, citation_id, number FROM c JOIN n USING (document, snapshot_id, locator) QUALIFY row_number() OVER (PARTITION BY c.document, chapter, citation_id ORDER BY seq DESC) = 1)
+        n AS (SELECT *, 'c' || row_number() OVER (PARTITION BY document ORDER BY first, snapshot_id, locator) AS number FROM o),
+        m AS (SELECT c.document, chapter, citation_id, number FROM c JOIN n USING (document, snapshot_id, locator) QUALIFY row_number() OVER (PARTITION BY c.document, chapter, citation_id ORDER BY seq DESC, snapshot_id DESC, locator DESC) = 1)
         SELECT document, chapter, u.seq, number FROM u JOIN m USING (document, chapter, citation_id)""",
     "schema_violations": f"""
         WITH c AS (SELECT document, citation_id || '-' || seq AS citation_id, snapshot_id FROM ({_CITED})), k AS (SELECT DISTINCT document, snapshot_id FROM c WHERE snapshot_id <> 's2'),
