@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import embed_lsh, langid, licenses, minhash, mixing, packing, quality, secret_scan, toxicity, warc
+from docquarry.llm import embed_lsh, langid, licenses, line_dedup, minhash, mixing, packing, quality, secret_scan, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -65,8 +65,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_lsh.near_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_secret_scan, op3_packing, op4_quality_rules, op5_toxicity, op6_language_id, op7_mixing, op8_license_scan, op9_minhash, op10_embedding_dedup)
+    own = (op1_warc, op2_secret_scan, op3_packing, op4_quality_rules, op5_toxicity, op6_language_id, op7_mixing, op8_license_scan, op9_minhash, op10_embedding_dedup, op11_line_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -101,4 +106,12 @@ ORACLE = {
         m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
         SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.component_id, v.vec_id = m.component_id AS kept
         FROM v JOIN m USING (vec_id) LEFT JOIN k ON k.a = v.vec_id""",
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        x AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+        k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+        f AS (SELECT key AS often FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(often) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN f ON key = often GROUP BY r, doc_id""",
 }
