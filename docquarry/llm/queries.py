@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import embed_lsh, langid, licenses, line_dedup, minhash, mixing, packing, quality, secret_scan, toxicity, warc
+from docquarry.llm import embed_lsh, langid, licenses, line_dedup, merkle, minhash, mixing, packing, quality, secret_scan, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -70,8 +70,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_secret_scan, op3_packing, op4_quality_rules, op5_toxicity, op6_language_id, op7_mixing, op8_license_scan, op9_minhash, op10_embedding_dedup, op11_line_dedup)
+    own = (op1_warc, op2_secret_scan, op3_packing, op4_quality_rules, op5_toxicity, op6_language_id, op7_mixing, op8_license_scan, op9_minhash, op10_embedding_dedup, op11_line_dedup, op12_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
@@ -114,4 +118,31 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, count(often) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f ON key = often GROUP BY r, doc_id""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE crc AS (
+            SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS c FROM documents),
+        t AS (SELECT *, CASE WHEN xor(c, 4294967295::UBIGINT) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS text2 FROM crc),
+        f AS (SELECT doc_id, source, text, text2, concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+              coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS h FROM t),
+        l AS (SELECT doc_id, source, sha256(h || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(h || coalesce(strlen(text2) || ':' || text2, '-')) AS changed FROM f),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS k FROM l),
+        g AS (SELECT source, 0 AS level, list(leaf ORDER BY k) AS d FROM n GROUP BY source
+              UNION ALL SELECT source, level + 1, list_transform(range(0, (len(d) + 2) // 3), lambda i: sha256(array_to_string(d[3 * i + 1:3 * i + 3], ''))) FROM g WHERE len(d) > 1),
+        s AS (SELECT source, d[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM g WHERE len(d) = 1),
+        u AS (SELECT 0 AS level, list(subroot ORDER BY k) AS d FROM s
+              UNION ALL SELECT level + 1, list_transform(range(0, (len(d) + 2) // 3), lambda i: sha256(array_to_string(d[3 * i + 1:3 * i + 3], ''))) FROM u WHERE len(d) > 1),
+        up AS (SELECT doc_id, source, leaf, k AS place, 0 AS level, changed AS acc, '' AS proof FROM n
+               UNION ALL SELECT up.doc_id, up.source, leaf, place // 3, up.level + 1,
+                   sha256(array_to_string(d[3 * (place // 3) + 1:place], '') || acc || array_to_string(d[place + 2:3 * (place // 3) + 3], '')),
+                   proof || array_to_string(d[3 * (place // 3) + 1:place], '') || array_to_string(d[place + 2:3 * (place // 3) + 3], '')
+               FROM up JOIN g ON g.source IS NOT DISTINCT FROM up.source AND g.level = up.level AND len(d) > 1),
+        top AS (SELECT up.doc_id, up.source, leaf, acc, proof FROM up JOIN g ON g.source IS NOT DISTINCT FROM up.source AND g.level = up.level AND len(d) = 1),
+        up2 AS (SELECT top.doc_id, leaf, subroot, k AS place, 0 AS level, acc, proof FROM top JOIN s ON s.source IS NOT DISTINCT FROM top.source
+               UNION ALL SELECT doc_id, leaf, subroot, place // 3, up2.level + 1,
+                   sha256(array_to_string(d[3 * (place // 3) + 1:place], '') || acc || array_to_string(d[place + 2:3 * (place // 3) + 3], '')),
+                   proof || array_to_string(d[3 * (place // 3) + 1:place], '') || array_to_string(d[place + 2:3 * (place // 3) + 3], '')
+               FROM up2 JOIN u ON u.level = up2.level AND len(d) > 1)
+        SELECT doc_id, leaf, subroot, d[1] AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = d[1] AS verified
+        FROM up2 JOIN u ON u.level = up2.level AND len(d) = 1""",
 }
