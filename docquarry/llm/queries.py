@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import embed_lsh, langid, licenses, line_dedup, merkle, minhash, mixing, packing, quality, secret_scan, toxicity, warc
+from docquarry.llm import embed_lsh, langid, lexical, licenses, line_dedup, merkle, minhash, mixing, packing, quality, secret_scan, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -74,8 +74,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_secret_scan, op3_packing, op4_quality_rules, op5_toxicity, op6_language_id, op7_mixing, op8_license_scan, op9_minhash, op10_embedding_dedup, op11_line_dedup, op12_merkle_manifest)
+    own = (op1_warc, op2_secret_scan, op3_packing, op4_quality_rules, op5_toxicity, op6_language_id, op7_mixing, op8_license_scan, op9_minhash, op10_embedding_dedup, op11_line_dedup, op12_merkle_manifest, op13_lexical_search)
     return {f.__name__: f for f in own}
 
 
@@ -145,4 +149,17 @@ ORACLE = {
                FROM up2 JOIN u ON u.level = up2.level AND len(d) > 1)
         SELECT doc_id, leaf, subroot, d[1] AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = d[1] AS verified
         FROM up2 JOIN u ON u.level = up2.level AND len(d) = 1""",
+    "op13_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        n AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+        s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+        tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+        df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+        b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        q AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+        x AS (SELECT q, item_id, tf.r, sum(times * floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))))::BIGINT AS score
+              FROM q JOIN df USING (t) JOIN tf USING (t) JOIN n ON n.r = tf.r CROSS JOIN s GROUP BY ALL),
+        k AS (SELECT item_id, n.doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, n.doc_id) AS rank FROM x JOIN n ON n.r = x.r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }
