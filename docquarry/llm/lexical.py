@@ -123,12 +123,13 @@ class Postings:
         return found
 
 
-def block_max_wand(lists: list[tuple[Postings, int]], m: np.ndarray, top: int, floor: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, scores) of the ``top`` best above ``floor``, best first, ties by number.
+def block_max_wand(lists: list[tuple[Postings, int]], m: np.ndarray, top: int, together: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of the ``top`` best above 0, best first, ties by number.
 
     Where any list's block ends, a stretch of documents ends: in it every list stands in one block, so the sum of the blocks' greatest
-    impacts bounds its scores. Pointers go over stretches in the order of documents; the next pivot is the first stretch whose
-    bound is above the threshold. Only its blocks are decompressed. Later documents need more than the k-th best score.
+    impacts bounds its scores. The few stretches of the greatest bounds are scored first; their k-th best score is a threshold to start
+    from. Then pointers go over stretches in the order of documents: the next pivots are the next stretches with bounds above the
+    threshold, ``together`` at a time. Only their blocks are decompressed.
     """
     ends = np.unique(np.concatenate([p.last for p, _ in lists]))
     bound = np.zeros(len(ends), np.int64)
@@ -139,11 +140,8 @@ def block_max_wand(lists: list[tuple[Postings, int]], m: np.ndarray, top: int, f
         inside = at < len(p.last)
         bound[inside] += weight * p.most[at[inside]]
     stretch = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))  # of each document
-    best_docs, best, pointer, together = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 8
-    while True:
-        live = np.flatnonzero(bound[pointer:] > floor)[:together] + pointer
-        if not len(live):
-            return best_docs, best
+
+    def scored(live: np.ndarray) -> np.ndarray:
         chosen = np.zeros(len(ends), bool)
         chosen[live] = True
         scores = np.zeros(len(stretch), np.int64)
@@ -153,13 +151,24 @@ def block_max_wand(lists: list[tuple[Postings, int]], m: np.ndarray, top: int, f
                 docs, impacts = p.block(k, m)
                 ok = chosen[stretch[docs]]
                 scores[docs[ok]] += weight * impacts[ok]
+        return scores
+
+    first = scored(np.argsort(-bound, kind="stable")[:together])
+    # equal scores are still wanted, as their documents may come earlier
+    floor = max(0, int(np.partition(first, -top)[-top]) - 1) if len(first) >= top else 0
+    best_docs, best, pointer = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while True:
+        live = np.flatnonzero(bound[pointer:] > floor)[:together] + pointer
+        if not len(live):
+            return best_docs, best
+        scores = scored(live)
         found = np.flatnonzero(scores > floor)
         best_docs, best = np.r_[best_docs, found], np.r_[best, scores[found]]
         order = np.lexsort((best_docs, -best))[:top]
         best_docs, best = best_docs[order], best[order]
-        if len(best) == top:
+        if len(best) == top:  # later documents need more
             floor = max(floor, int(best[-1]))
-        pointer, together = int(live[-1]) + 1, 2 * together
+        pointer = int(live[-1]) + 1
 
 
 _INDEX = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("last", pa.binary()), ("most", pa.binary()), ("widths", pa.binary()), ("data", pa.binary())])
