@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.urls import canonical, link_targets, robots_meta
 from docquarry.operators.graph import robots_verdicts
+from docquarry.operators.ordered import running_sums
 from docquarry.sources.stage import Stage
 
 #: Names that mean something inside a network only.
@@ -162,7 +163,7 @@ def visits(log: DataFrame, max_pages: int = 200, max_bytes: int = 64 * 1024 * 10
     """(crawl, seq, verdict) of fetches (crawl, seq, url, fault, status, media_type, noindex, bytes, elapsed) in visit order, ties by url.
 
     A fetch becomes a page or names why not. The page that reaches a budget of pages or bytes is kept and ends the
-    crawl; a fetch that would start after ``seconds`` ends it as well. What follows is not_visited.
+    crawl; a fetch that would start after ``seconds`` ends it as well. What follows is not_visited. A crawl's log lies in many tasks.
     """
     verdict = (
         F.when(F.col("fault") == "blocked", "blocked_by_guard")
@@ -172,8 +173,8 @@ def visits(log: DataFrame, max_pages: int = 200, max_bytes: int = 64 * 1024 * 10
         .when(F.col("noindex"), "page_noindex")
         .otherwise("page")
     )
-    before = Window.partitionBy("crawl").orderBy("seq", "url").rowsBetween(Window.unboundedPreceding, -1)
-    page = F.when(F.col("_v") == "page", 1).otherwise(0)
-    counted = log.withColumn("_v", verdict).withColumn("_pages", F.coalesce(F.sum(page).over(before), F.lit(0))).withColumn("_bytes", F.coalesce(F.sum(page * F.col("bytes")).over(before), F.lit(0))).withColumn("_late", F.coalesce(F.max("elapsed").over(before), F.lit(0.0)))
-    ended = (F.col("_pages") >= max_pages) | (F.col("_bytes") >= max_bytes) | (F.greatest("_late", "elapsed") > seconds)
+    page, late = F.when(F.col("_v") == "page", 1).otherwise(0), (F.col("elapsed") > seconds).cast("int")
+    values = {"_pages": page, "_bytes": page * F.col("bytes"), "_late": late}
+    counted = running_sums(log.withColumn("_v", verdict), ["crawl"], ["seq", "url"], values, Stage(log.sparkSession, "visits"))
+    ended = (F.col("_pages") >= max_pages) | (F.col("_bytes") >= max_bytes) | (F.col("_late") > 0) | F.coalesce(F.col("elapsed") > seconds, F.lit(False))
     return counted.select("crawl", "seq", F.when(ended, "not_visited").otherwise(F.col("_v")).alias("verdict"))

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from docquarry.functions.text import fence_count, secret_markers
+from docquarry.operators.ordered import fold
 
 #: Kinds of claim that need evidence, and languages whose samples can't be verified.
 GROUNDED = ("fact", "api_signature", "behaviour")
@@ -76,13 +78,25 @@ def keep_first(rows: DataFrame, known: DataFrame, by: list[str], order: str) ->
     return fresh.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*by, "_r.*")
 
 
-def markdown_bundle(documents: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(document, markdown): title, description, then chapters and their blocks in order; blocks of one chapter meet, then chapters."""
+def bundle_parts(documents: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document, ordinal, position, part): the paragraphs of each document in order, its title and description first."""
     body = F.when(F.col("type") == "code", F.concat(F.lit("```"), "language", F.lit("\n"), "code", F.lit("\n```"))).otherwise(F.coalesce("markdown", F.lit("")))
-    texts = blocks.select("document", "chapter", "position", body.alias("_b")).groupBy("document", "chapter").agg(F.array_sort(F.collect_list(F.struct("position", "_b"))).alias("_parts"))
-    each = chapters.join(texts, ["document", "chapter"], "left")
-    parts = F.concat(F.array(F.concat(F.lit("## "), "title")), F.when(F.coalesce("summary", F.lit("")) != "", F.array("summary")).otherwise(F.expr("cast(array() as array<string>)")), F.coalesce(F.col("_parts._b"), F.expr("cast(array() as array<string>)")))
-    whole = each.select("document", "ordinal", F.array_join(parts, "\n\n").alias("_c")).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("ordinal", "_c"))).alias("_cs"))
-    joined = documents.join(whole, "document", "left")
-    text = F.array_join(F.concat(F.array(F.concat(F.lit("# "), "title"), F.col("description")), F.coalesce(F.col("_cs._c"), F.expr("cast(array() as array<string>)"))), "\n\n")
-    return joined.select("document", F.concat(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
+    first = documents.select("document", F.lit(-1).cast("long").alias("ordinal"), F.posexplode(F.array(F.concat(F.lit("# "), "title"), F.col("description"))).alias("position", "part"))
+    named = chapters.join(documents, "document", "left_semi")
+    heads = F.array(F.concat(F.lit("## "), "title"), F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")))
+    head = named.select("document", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode(heads).alias("position", "part"))
+    own = named.select("document", "chapter", F.col("ordinal").cast("long").alias("ordinal"))
+    rest = blocks.join(own, ["document", "chapter"]).select("document", "ordinal", (F.col("position") + 2).alias("position"), body.alias("part"))
+    typed = [x.select("document", "ordinal", F.col("position").cast("long").alias("position"), "part") for x in (first, head, rest)]
+    return typed[0].unionByName(typed[1]).unionByName(typed[2]).where("part is not null")
+
+
+def markdown_bundle(documents: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document, markdown): title, description, then chapters and their blocks in order, as they pass by."""
+
+    def step(state, rows):
+        state.extend(rows.column("part").to_pylist())
+        return []
+
+    finish = lambda state: [{"markdown": "\n\n".join(state).strip() + "\n"}]
+    return fold(bundle_parts(documents, chapters, blocks), ["document"], ["ordinal", "position", "part"], list, step, finish, StructType.fromDDL("markdown string"))

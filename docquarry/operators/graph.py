@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators.ordered import running_sums
+from docquarry.sources.stage import Stage
+
 
 def budgeted_select(files: DataFrame, by: str, max_files: int = 2000, max_bytes: int = 512 * 1024, total: int = 48 * 1024 * 1024) -> DataFrame:
-    """(by, path, size) in path order: larger files are skipped, the file count and the running total stop."""
-    w = Window.partitionBy(by).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    """(by, path, size) in path order: larger files are skipped, the file count and the running total stop. No task sees a whole tree."""
     small = files.where(F.col("size") <= max_bytes)
-    return small.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_sum", F.sum("size").over(w)).where((F.col("_n") <= max_files) & (F.col("_sum") <= total)).drop("_n", "_sum")
+    counted = running_sums(small, [by], ["path", "size"], {"_n": F.lit(1), "_sum": F.col("size")}, Stage(files.sparkSession, "selection"))
+    return counted.where((F.col("_n") < max_files) & (F.col("_sum") + F.col("size") <= total)).drop("_n", "_sum")
 
 
 def resolve_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.operators.ordered import running_sums
+from docquarry.sources.stage import Stage
+
 #: Price per million tokens (fresh input, cached input, output).
 PRICES = (
     ("deepseek-v4-flash", "0.14", "0.0028", "0.28"),
@@ -37,7 +40,6 @@ def rollup(calls: DataFrame, by: str) -> DataFrame:
 
 
 def within_budget(calls: DataFrame, by: str, order: str, budget: int) -> DataFrame:
-    """Calls up to and with the one whose running total crosses ``budget`` tokens; later ones stop."""
+    """Calls up to and with the one whose running total crosses ``budget`` tokens; later ones stop. Calls of any number share a key."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent_before", F.coalesce(F.sum(tokens).over(before), F.lit(0))).where(F.col("spent_before") <= budget)
+    return running_sums(calls, [by], [order], {"spent_before": tokens}, Stage(calls.sparkSession, "budget")).where(F.col("spent_before") <= budget)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from docquarry.operators.ordered import fold
 
 #: What a hit of each index weighs.
 WEIGHTS = (("document_title", 3.0), ("document_body", 1.0), ("document_chunk", 1.5), ("code_symbol", 2.0))
@@ -84,9 +88,21 @@ def corpus_map(docs: DataFrame, group: Column, order: Column, language: Column,
 
 
 def snapshot_fingerprint(docs: DataFrame, by: str, key: Column, digest: Column, header: str) -> DataFrame:
-    """(by, fingerprint, documents): SHA-256 over a header and the sorted ``key TAB digest`` lines of a snapshot."""
+    """(by, fingerprint, documents): SHA-256 over a header and the sorted ``key TAB digest`` lines of a snapshot.
+
+    The lines pass through a running digest in order, so a snapshot may have any number of documents.
+    """
     lines = docs.select(by, F.concat(key, F.lit("\t"), digest, F.lit("\n")).alias("line"))
-    return lines.groupBy(by).agg(F.sha2(F.concat(F.lit(header), F.array_join(F.array_sort(F.collect_list("line")), "")).cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("documents"))
+
+    def step(state, rows):
+        texts = [t for t in rows.column("line").to_pylist() if t is not None]
+        state["digest"].update("".join(texts).encode())
+        state["documents"] += rows.num_rows
+        return []
+
+    start = lambda: {"digest": hashlib.sha256(header.encode()), "documents": 0}
+    finish = lambda state: [{"fingerprint": state["digest"].hexdigest(), "documents": state["documents"]}]
+    return fold(lines, [by], ["line"], start, step, finish, StructType.fromDDL("fingerprint string, documents long"))
 
 
 def best_with_reasons(hits: DataFrame, by: list[str], locator: str = "locator", order: str = "seq") -> DataFrame:

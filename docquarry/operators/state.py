@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from docquarry.operators.ordered import fold
 
 #: Allowed moves between run states, and phases in order.
 MOVES = (
@@ -47,37 +48,56 @@ def lease_replay(events: DataFrame, lease: int = 300, attempts: int = 3) -> Data
 
     A live lease of another owner refuses a claim, its own owner enters again without an attempt, an expired one
     is taken over; more than ``attempts`` fail the step. Only the holder may beat, complete or fail; a
-    retryable failure with attempts left makes the step pending.
+    retryable failure with attempts left makes the step pending. A step's events pass by in batches.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, owner, until, attempt, out = "pending", None, 0, 0, []
-        for r in pdf.sort_values("seq").itertuples():
-            ok = False
-            holds = status == "running" and owner == r.owner and until > r.at
-            if r.op == "claim" and status not in ("succeeded", "failed", "cancelled"):
-                if holds:
-                    ok, until = True, r.at + lease
-                elif status == "pending" or until <= r.at:
-                    attempt += 1
-                    if attempt > attempts:
-                        status = "failed"
-                    else:
-                        ok, status, owner, until = True, "running", r.owner, r.at + lease
-            elif r.op == "heartbeat" and holds:
-                ok, until = True, r.at + lease
-            elif r.op == "complete" and holds:
-                ok, status = True, "succeeded"
-            elif r.op == "fail" and holds:
-                ok, status, owner = True, "pending" if r.retryable and attempt < attempts else "failed", None
-            out.append((r.step_id, r.seq, r.op, ok, status, attempt))
-        return pd.DataFrame(out, columns=["step_id", "seq", "op", "accepted", "status", "attempt"])
-
-    return events.groupBy("step_id").applyInPandas(fold, "step_id long, seq long, op string, accepted boolean, status string, attempt int")
-
-
-def visible_projects(projects: DataFrame, members: DataFrame, user: int) -> DataFrame:
-    """Projects that the user owns or is a member of: an existence join under an or."""
+    columns = [events.columns[k] for k in map([c.lower() for c in events.columns].index, ("seq", "op", "at", "owner", "retryable"))]
+
+    def step(state, rows):
+        out = []
+        for seq, op, at, owner, retryable in zip(*(rows.column(c).to_pylist() for c in columns)):
+            ok = lease_step(state, op, at, owner, retryable, lease, attempts)
+            out.append({"seq": seq, "op": op, "accepted": ok, "status": state["status"], "attempt": state["attempt"]})
+        return out
+
+    start = lambda: {"status": "pending", "owner": None, "until": 0, "attempt": 0}
+    return fold(events, ["step_id"], ["seq"], start, step, lambda state: [], StructType.fromDDL("seq long, op string, accepted boolean, status string, attempt int"))
+
+
+def lease_step(state: dict, op: str, at: int, owner: str, retryable: bool, lease: int, attempts: int) -> bool:
+    """Whether a step takes an event; ``state`` (status, owner, until, attempt) becomes what it is after it."""
+    holds = state["status"] == "running" and state["owner"] == owner and state["until"] > at
+    if op == "claim" and state["status"] not in ("succeeded", "failed", "cancelled"):
+        if holds:
+            state["until"] = at + lease
+            return True
+        if state["status"] == "pending" or state["until"] <= at:
+            state["attempt"] += 1
+            if state["attempt"] > attempts:
+                state["status"] = "failed"
+                return False
+            state.update(status="running", owner=owner, until=at + lease)
+            return True
+    elif op == "heartbeat" and holds:
+        state["until"] = at + lease
+        return True
+    elif op == "complete" and holds:
+        state["status"] = "succeeded"
+        return True
+    elif op == "fail" and holds:
+        state.update(status="pending" if retryable and state["attempt"] < attempts else "failed", owner=None)
+        return True
+    return False
+
+
+def visible_projects(projects: DataFrame, members: DataFrame, users: DataFrame, user: int) -> DataFrame:
+    """The ``projects`` that one of ``users`` (user_id, is_admin, is_active) sees.
+
+    An administrator sees all, others what they own or are a member of; an inactive or unknown user sees none. Whether the user
+    is one or the other are scalar subqueries, so the projects are read once.
+    """
+    own = users.where(F.col("user_id") == user)
+    holds = lambda c: own.agg(F.coalesce(F.bool_or(c), F.lit(False))).scalar()
     mine = members.where(F.col("user_id") == user).select(F.col("project_id").alias("_p")).distinct()
     joined = projects.join(mine, F.col("project_id") == F.col("_p"), "left")
-    return joined.where((F.col("owner_id") == user) | F.col("_p").isNotNull()).drop("_p")
+    return joined.where(holds("is_active") & (holds("is_admin") | (F.col("owner_id") == user) | F.col("_p").isNotNull())).drop("_p")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from docquarry.operators import state
 from docquarry.sources.tables import table
 
@@ -32,8 +37,13 @@ def _latest(spark, sf_dir):
 def _visible(spark, sf_dir):
     projects = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS project_id", "o_custkey AS owner_id")
     members = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS project_id", "l_suppkey AS user_id")
-    return state.visible_projects(projects, members, 7)
+    users = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS user_id", "s_suppkey % 5 = 3 AS is_admin", "s_suppkey % 9 <> 4 AS is_active")
+    seen = [state.visible_projects(projects, members, users, u).withColumn("user_id", F.lit(u).cast("long")) for u in _USERS]
+    return functools.reduce(DataFrame.unionByName, seen)
+
 
+#: A member, an administrator, and an inactive and an unknown user.
+_USERS = (7, 8, 4, 100_000_000)
 
 QUERIES = {
     "transition_audit": lambda spark, sf_dir: state.transitions(_of(_RUNS)(spark, sf_dir)),
@@ -66,5 +76,8 @@ ORACLE = {
         n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS events, max(ts) > min(ts) + INTERVAL 12 HOUR AS over FROM n GROUP BY user_id, n""",
     "latest_per_group": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "visible_projects": "SELECT o_orderkey AS project_id, o_custkey AS owner_id FROM orders WHERE o_custkey = 7 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 7)",
+    "visible_projects": f"""
+        WITH u AS (SELECT s_suppkey AS user_id, s_suppkey % 5 = 3 AS is_admin FROM supplier WHERE s_suppkey % 9 <> 4 AND s_suppkey IN {_USERS})
+        SELECT DISTINCT user_id, o_orderkey AS project_id, o_custkey AS owner_id FROM orders, u
+        WHERE is_admin OR o_custkey = user_id OR (o_orderkey, user_id) IN (SELECT l_orderkey, l_suppkey FROM lineitem)""",
 }
