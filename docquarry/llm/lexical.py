@@ -127,7 +127,8 @@ def block_max_wand(lists: list[tuple[Postings, int]], m: np.ndarray, top: int, t
     """(documents, scores) of the ``top`` best above 0, best first, ties by number.
 
     Where any list's block ends, a stretch of documents ends: in it every list stands in one block, so the sum of the blocks' greatest
-    impacts bounds its scores. The few stretches of the greatest bounds are scored first; their k-th best score is a threshold to start
+    impacts bounds its scores. A list of a single block is opened at once: its pointer knows its next document, so it counts only
+    in stretches that hold one. The few stretches of the greatest bounds are scored first; their k-th best score is a threshold to start
     from. Then pointers go over stretches in the order of documents: the next pivots are the next stretches with bounds above the
     threshold, ``together`` at a time. Only their blocks are decompressed.
     """
@@ -137,6 +138,12 @@ def block_max_wand(lists: list[tuple[Postings, int]], m: np.ndarray, top: int, t
     for p, weight in lists:
         at = np.searchsorted(p.last, ends)  # the shallow pointer of the list at each stretch
         places.append(at)
+        if len(p.last) == 1:
+            docs, impacts = p.block(0, m)
+            most = np.zeros(len(ends), np.int64)
+            np.maximum.at(most, np.searchsorted(ends, docs), impacts)
+            bound += weight * most
+            continue
         inside = at < len(p.last)
         bound[inside] += weight * p.most[at[inside]]
     stretch = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))  # of each document
