@@ -27,7 +27,7 @@ class LexicalParameters:
 
     top: int = 20
     block: int = 128  # postings
-    shard_octets: int = 16 << 20
+    shard_octets: int = 8 << 20
     queries_together: int = 256  # that search a shard in one task
     small_terms: int = 200_000  # so many terms of queries, and no more, are broadcast to the index's rows
 
@@ -200,6 +200,7 @@ def build_index(docs: DataFrame, scratch: Scratch, p: LexicalParameters = Lexica
         table = table.take(pc.sort_indices(table, [("doc_id", "ascending")])).combine_chunks()
         ids, texts = (pa.concat_arrays(table.column(c).chunks) for c in ("doc_id", "text"))
         words, counts = terms_of(texts)
+        del table, texts
         m = 75 + (25 * counts * n) // max(total, 1)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         row = [number, None, len(counts), known.astype(np.uint8).tobytes(), None, None, ids.fill_null(0).to_numpy().astype("<i8").tobytes() + m.astype("<i8").tobytes()]
@@ -207,10 +208,13 @@ def build_index(docs: DataFrame, scratch: Scratch, p: LexicalParameters = Lexica
         if not len(words):
             return
         coded = words.dictionary_encode()
-        place = np.repeat(np.arange(len(counts)), counts)
-        keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(counts) + place, return_counts=True)
-        owner, at = np.divmod(keys, len(counts))
+        keys = coded.indices.to_numpy().astype(np.int64) * len(counts)
+        keys += np.repeat(np.arange(len(counts)), counts)
         names, rows = coded.dictionary, []
+        del words, coded
+        keys, tf = np.unique(keys, return_counts=True)
+        owner, at = np.divmod(keys, len(counts))
+        del keys
         for row in pack_postings(owner, at, tf, impact(tf, m[at]), p.block):
             rows.append(row)
             if len(rows) == 4096:
@@ -306,7 +310,8 @@ def search(index: LexicalIndex, items: DataFrame, scratch: Scratch, p: LexicalPa
             out[3] += scores.tolist()
         return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    grouped = postings.unionByName(shards).groupBy("shard", "together").applyInArrow(run, "query long, item_id long, doc_id long, score long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, as few octets are much work here
+    grouped = postings.unionByName(shards).repartition(parts, "shard", "together").groupBy("shard", "together").applyInArrow(run, "query long, item_id long, doc_id long, score long")
     best = scratch.save(grouped, "best")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.top).select("query", "item_id", "rank", "doc_id", "score")
