@@ -28,7 +28,7 @@ class CosineParameters:
 
     cosine: float = 0.95  # the least cosine of a link
     width: float = 2.0  # of a quantisation step
-    miss: float = 1e-3  # chance that a pair at exactly ``cosine`` shares no table
+    miss: float = 1e-4  # chance that a pair at exactly ``cosine`` shares no table
     mates: float = 32.0  # unrelated vectors that share a bucket, on average
     block: int = 768  # members of a bucket that meet in one task at a time
     seed: int = 20240229
@@ -113,13 +113,13 @@ def _met(hashed: DataFrame, kind: str, tables: int, p: CosineParameters) -> Data
         placed.join(sizes, F.col("key") == F.col("key2"))
         .withColumn("mine", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("vec_id", "table", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
+        .select("vec_id", "table", "mine", (F.col("mine") != F.col("other")).alias("apart"), F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
     )
-    rows = dealt.join(hashed, "vec_id").select("gid", "table", "mine", "vec_id", "n_copies", "vector", "keys").repartition(parts, "gid").sortWithinPartitions("gid", "mine", "vec_id")
+    rows = dealt.join(hashed, "vec_id").select("gid", "table", "mine", "apart", "vec_id", "n_copies", "vector", "keys").repartition(parts, "gid").sortWithinPartitions("gid", "mine", "vec_id")
 
     def run(batches):
         for table, borders in whole_groups(batches, "gid"):
-            ids, weights, mine, at_table = (table.column(c).to_numpy() for c in ("vec_id", "n_copies", "mine", "table"))
+            ids, weights, mine, at_table, apart = (table.column(c).to_numpy() for c in ("vec_id", "n_copies", "mine", "table", "apart"))
             vectors = table.column("vector").combine_chunks()
             keys = table.column("keys").combine_chunks()
             keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten().to_numpy().reshape(len(ids), tables)
@@ -128,6 +128,8 @@ def _met(hashed: DataFrame, kind: str, tables: int, p: CosineParameters) -> Data
                 x = _units(binary_matrix(vectors.slice(low, high - low), kind, size))
                 t = at_table[low]
                 own = mine[low:high]
+                if apart[low] and own[0] == own[-1]:  # the other block is empty; this one meets itself elsewhere
+                    continue
                 split = int(np.searchsorted(own, own[-1])) if own[0] != own[-1] else 0
                 left = np.arange(split) if split else np.arange(high - low)
                 right = np.arange(split, high - low)

@@ -32,7 +32,8 @@ class MinHashParameters:
     mantissa_bits: int = 10
     errors: float = 6.5  # estimates this many standard errors below the threshold are not checked
     partners: int = 256  # of a document that meet it in one task
-    block: int = 768  # members of a bucket that meet as many others in one task
+    block: int = 64  # members of a bucket that meet as many others in one task; twice the root of a bucket's size, if that is more
+    most: int = 768  # but never more than so many
 
     @property
     def registers(self) -> int:
@@ -283,15 +284,36 @@ def _groups(batches, p: MinHashParameters):
                 yield table, low, x, y
 
 
-def _crossing(buckets: DataFrame, sets: DataFrame, p: MinHashParameters, scratch: Scratch) -> DataFrame:
-    """Links between members of one bucket (band, key, in ``blocks``, ``mine`` the member's) but different components.
+def _dealt(named: DataFrame, p: MinHashParameters) -> DataFrame:
+    """(gid, band, doc_id, comp, mine): groups in which the members of one bucket (band, key, ``n`` members) but different components meet.
+
+    Most members of a large bucket are in one component by now and need not meet each other. So the largest component of a
+    bucket stands apart: its blocks meet the blocks of the rest, and those meet one another. A bucket of n members with r in
+    the rest makes about n * r / block rows, not n * n / block. Joins by key are salted by the size of a bucket.
+    """
+    salts = F.ceil(F.col("n") / 256)
+    dealt = named.where("n > 2").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(5)), salts))
+    sizes = dealt.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    mains = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all"), F.max("n").alias("n")).where("n_main < n_all")
+    size = F.greatest(F.lit(p.block), F.least(F.lit(p.most), F.ceil(2 * F.sqrt("n_all"))))
+    blocks = mains.select(F.col("key").alias("key2"), "main", F.ceil(F.col("n_main") / size).cast("int").alias("main_blocks"), F.ceil((F.col("n_all") - F.col("n_main")) / size).cast("int").alias("rest_blocks"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt2"))
+    placed = dealt.join(blocks, (F.col("key") == F.col("key2")) & (F.col("salt") == F.col("salt2")))
+    in_main = F.col("comp") == F.col("main")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(in_main, F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    group = lambda mine, *parts: F.struct(mine.alias("mine"), F.xxhash64("key", *parts).alias("gid"))
+    main_side = F.transform(upto("rest_blocks"), lambda j: group(F.lit(1), F.lit(1), F.col("own"), j))
+    rest_side = F.concat(F.transform(upto("main_blocks"), lambda j: group(F.lit(0), F.lit(1), j, F.col("own"))), F.transform(upto("rest_blocks"), lambda j: group(F.col("own"), F.lit(0), F.least("own", j), F.greatest("own", j))))
+    return placed.select("band", "doc_id", "comp", F.explode(F.when(in_main, main_side).otherwise(rest_side)).alias("_g")).select("_g.gid", "band", "doc_id", "comp", "_g.mine")
+
+
+def _crossing(placed: DataFrame, sets: DataFrame, p: MinHashParameters, scratch: Scratch) -> DataFrame:
+    """Links between members that meet in a group of ``placed`` (gid, band, doc_id, comp, mine) and are of different components.
 
     Members meet block by block, with their registers first: a pair counts only in its first common band. Those with
     a candidate meet once more with their full sets, and only links leave that task.
     """
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = buckets.withColumn("other", other).select("band", "doc_id", "comp", "mine", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("gid"))
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["gid", "mine", "doc_id"]
     signed = placed.join(sets.select("doc_id", "n_shingles", "registers"), "doc_id").repartition(parts, "gid").sortWithinPartitions(*order)
 
@@ -348,13 +370,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParameters = MinHashParameters(),
     first = scratch.save(components(links, scratch, "first"), "first-components")
 
     named = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "band", "key", "n")
-    blocks = F.ceil(F.col("n") / p.block).cast("int")
-    dealt = named.where("n > 2").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
-    mixed = dealt.groupBy("key", "blocks").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    mixed = mixed.select(F.col("key").alias("key2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine2"))
-    # by key and block, so that a bucket with many members is dealt to several tasks
-    buckets = dealt.join(mixed, (F.col("key") == F.col("key2")) & (F.col("mine") == F.col("mine2"))).select("key", "band", "doc_id", "comp", "blocks", "mine")
-    more = scratch.save(_crossing(buckets, sets, p, scratch), "cross-links")
+    more = scratch.save(_crossing(_dealt(named, p), sets, p, scratch), "cross-links")
     scratch.drop("sets")
     classes = members.select(F.col("digest").alias("d2"), F.col("n_shingles").alias("n2"), "rep")
     same = (F.col("digest") == F.col("d2")) & (F.col("n_shingles") == F.col("n2"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 from docquarry.llm.groups import text_buffers
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BACK = pow(_BASE, -1, 1 << 64)
-_SEED = 0x5BD1E995
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Octets of a word from which on it is hashed as a whole.
+_LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -23,30 +25,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _octet_codes(fold: bool) -> np.ndarray:
-    """A 64-bit code for each octet; with ``fold`` A-Z share those of a-z."""
-    octets = np.arange(256, dtype=np.uint64)
-    if fold:
-        octets[65:91] += np.uint64(32)
-    return mix(octets * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_SEED))
-
-
-_FOLDED, _EXACT = _octet_codes(True), _octet_codes(False)
+_FOLDED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Octets of one pass of the word hash; bounds its arrays, texts of any length pass.
-_PASS = 1 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _hashed(octets: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Words mixed in blocks of eight octets, so that one of eight or fewer shares its hash with none of its length; long ones by BLAKE2b."""
+    sizes = stops - starts
+    out = mix(sizes.astype(np.uint64) * _BASE)
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(octets[starts[k] : stops[k]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    padded = np.r_[octets, np.zeros(8, np.uint8)]
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight octets from each place on
+    rest, at = np.flatnonzero(sizes <= _LONG), 0
+    while len(rest):
+        left = sizes[rest] - at
+        value = eight[starts[rest] + at]
+        short = left < 8
+        value[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        out[rest] = mix((out[rest] ^ value) * _STEP)
+        rest, at = rest[left > 8], at + 8
+    return out
 
 
 def word_hashes(octets: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words of each document); words are runs without ASCII white space, A-Z lower-cased with ``fold``."""
-    codes = _FOLDED if fold else _EXACT
     if not len(octets):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     solid = ~_IS_SPACE[octets]
@@ -62,19 +66,7 @@ def word_hashes(octets: np.ndarray, offsets: np.ndarray, fold: bool = True) -> t
     ends = edges[edges > 0] - 1
     stops[ends] = solid[ends]
     stops = np.flatnonzero(stops) + 1
-    counts = np.diff(np.searchsorted(starts, offsets))
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        to = max(int(np.searchsorted(stops, low + _PASS, "right")), at + 1)
-        part = octets[low : stops[to - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(codes[part] * _powers(_BASE, len(part)), out=sums[1:])
-        a, b = starts[at:to] - low, stops[at:to] - low
-        out[at:to] = mix((sums[b] - sums[a]) * _powers(_BACK, len(part) + 1)[a] + (b - a).astype(np.uint64))
-        at = to
-    return out, counts
+    return _hashed(_FOLDED[octets] if fold else octets, starts, stops), np.diff(np.searchsorted(starts, offsets))
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
