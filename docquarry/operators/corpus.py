@@ -57,24 +57,6 @@ def symbol_search(symbols: DataFrame, documents: DataFrame, project: str, terms:
     return _best(hits, "code_symbol", terms, columns, limit, locator, "qualified_name", "signature", "id")
 
 
-def bm25(documents: DataFrame, terms: list[str], id_col: str = "id", text_col: str = "text", limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): the best ``limit`` documents that hold any word beginning with a term, by BM25.
-
-    A term's frequency counts the words that begin with it. Lengths and frequencies of all documents are written once,
-    and the statistics of the whole corpus are one row with a number for each term of the query.
-    """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    tf = lambda t: F.size(F.filter("w", lambda w: F.startswith(w, F.lit(t.lower())))).cast("double")
-    counted = documents.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.size("w").cast("double").alias("n"), *(tf(t).alias(f"t{k}") for k, t in enumerate(terms)))
-    table = Stage(documents.sparkSession, "bm25").save(counted, "counted")
-    total = table.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(terms)))).first()
-    norm = k1 * (1 - b + b * F.col("n") / F.lit(total["mean"] or 1.0))
-    part = lambda k: F.log(F.lit(1 + (total["docs"] - total[f"d{k}"] + 0.5) / (total[f"d{k}"] + 0.5))) * F.col(f"t{k}") * (k1 + 1) / (F.col(f"t{k}") + norm)
-    score = sum((part(k) for k in range(1, len(terms))), part(0))
-    any_of = " or ".join(f"t{k} > 0" for k in range(len(terms)))
-    return table.where(any_of).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-
-
 def ordered(rows: DataFrame, by: str, order: list[Column], name: str = "position") -> DataFrame:
     """Adds a position from 1 within ``by``, for lists that are read in order."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.operators import corpus
+from docquarry.functions.text import query_terms
+from docquarry.operators import corpus, postings
+from docquarry.sources.stage import Stage
 from docquarry.sources.tables import table
 
 _DOCS = """SELECT doc_id AS id, source AS project_id, concat(source, '-', lang) AS snapshot_id, concat('https://h.example/d', doc_id) AS uri, concat('src/f', doc_id, '.py') AS path,
@@ -23,6 +25,8 @@ _NOW = "2024-01-15 00:00:00"
 _TERMS = ["tion", "th%", "ouer_"]
 _APPROVED = [f"src{k}-{lang}" for k in range(20) for lang in ("en", "es")]
 _WORDS = ["tion", "lei", "ouer"]
+_NUMERALS = "零一二三四五六七八九"
+_PARTS = ["一二", "七", "lei"]
 
 
 def _sql(spark, sf_dir, sql):
@@ -122,11 +126,24 @@ def _runs(spark, sf_dir):
     return corpus.ordered(orders, "project_id", [F.desc("at"), F.desc("run_id")]).select("project_id", "position", "run_id")
 
 
+def _index(spark, sf_dir):
+    """An index of all documents, with their ids in CJK numerals, as a word without breaks, at the end of the texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.translate(F.col("doc_id").cast("string"), "0123456789", _NUMERALS)).alias("body"))
+    return postings.build(docs, Stage(spark, "index").folder, "doc_id", "body")
+
+
+def _many(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select("item_id", query_terms(F.col("text")).alias("terms"))
+    return postings.search_many(_index(spark, sf_dir), asked, "item_id", limit=10)
+
+
 QUERIES = {
     "document_search": _documents,
     "chunk_search": _chunks,
     "symbol_search": _symbols,
-    "fulltext_bm25": lambda spark, sf_dir: corpus.bm25(table(spark, sf_dir, "documents"), _WORDS, "doc_id", limit=50),
+    "fulltext_bm25": lambda spark, sf_dir: postings.search(_index(spark, sf_dir), _WORDS, limit=50),
+    "fulltext_cjk": lambda spark, sf_dir: postings.search(_index(spark, sf_dir), _PARTS, limit=50),
+    "fulltext_many": _many,
     "corpus_symbols": _corpus_lists,
     "snapshot_refs": _refs,
     "reused_documents": _reuse,
@@ -154,6 +171,22 @@ def _excerpt(c):
 _D, _C, _S = (t.replace("AS STRING", "AS VARCHAR") for t in (_DOCS, _CHUNKS, _SYMBOLS))
 _COLUMNS = ("name", "qualified_name", "signature", "docstring")
 
+_BODIES = rf"SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '') || ' ' || translate(doc_id::VARCHAR, '0123456789', '{_NUMERALS}')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents"
+
+
+def _scores(terms):
+    """BM25 over words that begin with a term, and over the places of a CJK word where it stands."""
+    cjk = lambda t: any(c in _NUMERALS for c in t)
+    places = lambda t: f"list_sum(list_transform(w, lambda x: len(list_filter(range(1, length(x) + 1), lambda i: x[i:i + {len(t) - 1}] = '{t}'))))"
+    tf = lambda t: f"coalesce({places(t)}, 0)" if cjk(t) else f"len(list_filter(w, lambda x: starts_with(x, '{t}')))"
+    keys = range(len(terms))
+    return f"""
+        WITH w AS ({_BODIES}), c AS (SELECT id, len(w)::DOUBLE AS n, {", ".join(f"{tf(t)}::DOUBLE AS t{k}" for k, t in enumerate(terms))} FROM w),
+        g AS (SELECT count(*) AS docs, avg(n) AS mean, {", ".join(f"sum((t{k} > 0)::INT) AS d{k}" for k in keys)} FROM c),
+        s AS (SELECT id, {" + ".join(f"ln(1 + (docs - d{k} + 0.5) / (d{k} + 0.5)) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in keys)} AS score FROM c, g WHERE {" OR ".join(f"t{k} > 0" for k in keys)})
+        SELECT id, round(score, 6) AS score FROM s ORDER BY 2 DESC, id LIMIT 50"""
+
+
 ORACLE = {
     "document_search": f"""
         WITH d AS ({_D}), b AS (SELECT *, {_score(['tion', 'ing '], 'body')} AS s FROM d WHERE project_id = 'src1' AND snapshot_id IN ('src1-en', 'src1-fr')),
@@ -166,12 +199,16 @@ ORACLE = {
     "symbol_search": f"""
         WITH d AS ({_D}), y AS ({_S}), j AS (SELECT y.*, d.path, d.snapshot_id, {_score(['ring', 'economy', '#1'], *_COLUMNS)} AS s FROM y JOIN d ON y.document_id = d.id WHERE y.project_id = 'src4')
         SELECT 'code_symbol' AS kind, id, s * 2.0::DOUBLE AS score, snapshot_id, path || '#L' || start_line || '-L' || end_line AS locator, qualified_name AS title, {_excerpt("coalesce(signature, '')")} AS excerpt FROM j WHERE s > 0 ORDER BY s DESC, id LIMIT 25""",
-    "fulltext_bm25": rf"""
-        WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
-        c AS (SELECT id, len(w)::DOUBLE AS n, {", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}')))::DOUBLE AS t{k}" for k, t in enumerate(_WORDS))} FROM w),
-        g AS (SELECT count(*) AS docs, avg(n) AS mean, {", ".join(f"sum((t{k} > 0)::INT) AS d{k}" for k in range(len(_WORDS)))} FROM c),
-        s AS (SELECT id, {" + ".join(f"ln(1 + (docs - d{k} + 0.5) / (d{k} + 0.5)) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in range(len(_WORDS)))} AS score FROM c, g WHERE {" OR ".join(f"t{k} > 0" for k in range(len(_WORDS)))})
-        SELECT id, round(score, 6) AS score FROM s ORDER BY 2 DESC, id LIMIT 50""",
+    "fulltext_bm25": rf"""{_scores(_WORDS)}""",
+    "fulltext_cjk": rf"""{_scores(_PARTS)}""",
+    "fulltext_many": rf"""
+        WITH w AS ({_BODIES}), g AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM w), c AS (SELECT id, len(w) AS n, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM w) GROUP BY ALL),
+        q AS (SELECT DISTINCT item_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3))) AS term FROM benchmark), p AS (SELECT DISTINCT lower(term) AS prefix FROM q),
+        v AS (SELECT DISTINCT t FROM c), m AS (SELECT prefix, t FROM p JOIN v ON starts_with(t, prefix)),
+        h AS (SELECT prefix, id, sum(tf)::DOUBLE AS tf, max(n)::DOUBLE AS n FROM m JOIN c USING (t) GROUP BY ALL), r AS (SELECT prefix, count(*) AS df FROM h GROUP BY ALL),
+        s AS (SELECT prefix, id, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (words / docs))) AS part FROM h JOIN r USING (prefix), g),
+        k AS (SELECT item_id, id, round(sum(part), 6) AS score FROM (SELECT DISTINCT item_id, lower(term) AS prefix FROM q) JOIN s USING (prefix) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id)::INT AS position, id, score FROM k QUALIFY position <= 10""",
     "corpus_symbols": f"""
         WITH d AS ({_D}), y AS ({_S})
         SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY path, start_line, y.id)::INT AS position, path, qualified_name FROM y JOIN d ON y.document_id = d.id WHERE snapshot_id IN ('src5-en', 'src6-de')""",
