@@ -45,7 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     columns don't matter. An empty table stays empty.
     """
     p = secret_scan.SecretParameters()
-    trees = secret_scan.train_forest(secret_scan.synthetic_findings(spark, p.training_rows), p)
+    trees = secret_scan.default_forest(spark, p)
     return secret_scan.redact(docs, trees, p).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from docquarry.llm.groups import text_buffers
 from docquarry.llm.tables import Scratch, short_batches
 
-_TAG = re.compile(rb"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_META = re.compile(rb"<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?content-language\b[^>]*?\bcontent\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_OPENS = re.compile(rb"<(?:!--|(script|style|noscript|template)\b)", re.I)
+_CLOSES = {name: re.compile(b"</" + name + rb"\s*>", re.I) for name in (b"script", b"style", b"noscript", b"template")} | {None: re.compile(b"-->")}
+_DECLARED = re.compile(rb"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_META = re.compile(rb"<meta\b([^<>]*)", re.I)
+_EQUIV = re.compile(rb"\bhttp-equiv\s*=\s*[\"']?content-language\b", re.I)
+_CONTENT = re.compile(rb"\bcontent\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 #: Labels below a country's suffix that anybody may register under.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "net", "or", "org")
 
@@ -35,7 +38,7 @@ class LanguageParameters:
     evidence: float = 40.0  # trigrams that a text counts as at most, for neighbours are not independent
     host_weight: float = 8.0  # pages that the level above weighs in a host's prior
     least: float = 0.5  # posteriors below give no language ("und")
-    languages: int = 200  # more in the labelled texts than this are refused: the model's size follows their number
+    languages: int = 200  # of the model, the most frequent labels; texts with others count as unlabelled, as the model's size follows their number
 
 
 def _trigram_cells(octets: np.ndarray, offsets: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +78,9 @@ def text_model(docs: DataFrame, p: LanguageParameters, text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some), pa.array(row[some].astype(np.int64))], names=["lang", "cell", "n"])
 
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("lang")).where("text is not null and lang is not null")
-    if labelled.select("lang").distinct().limit(p.languages + 1).count() > p.languages:
-        raise ValueError(f"more than {p.languages} languages in the labelled texts")
+    # the most frequent labels, in a list that is bounded by a parameter
+    common = [r.lang for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(p.languages).collect()]
+    labelled = labelled.where(F.col("lang").isin(common)) if common else labelled
     rows = labelled.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r[0] for r in rows})
     counts = np.full((len(languages), p.cells), p.smoothing)
@@ -87,14 +91,35 @@ def text_model(docs: DataFrame, p: LanguageParameters, text_col: str = "text", l
 
 
 def declared_language(html: bytes) -> str | None:
-    """What the root element declares, else the content-language tag."""
-    m = _DECLARED.search(html) or _META.search(html)
-    return m[1].decode().lower() if m else None
+    """What the root element declares, else the first content-language tag. A tag ends at the next angle bracket."""
+    if m := _DECLARED.search(html):
+        return m[1].decode().lower()
+    for tag in _META.finditer(html):
+        named = _EQUIV.search(tag[1])
+        if m := named and _CONTENT.search(tag[1], named.end()):
+            return m[1].decode().lower()
+    return None
 
 
 def visible_text(html: bytes) -> bytes:
-    """The octets between tags, without scripts, styles and comments."""
-    return _TAG.sub(b" ", html)
+    """The octets between tags, without scripts, styles and comments; each of those becomes a blank.
+
+    What isn't closed is a tag like any other. Once a closing mark isn't found it isn't looked for again, and without
+    a further ">" there is no further tag, so a page is gone over a bounded number of times.
+    """
+    out, at, missing = [], 0, set()
+    while (low := html.find(b"<", at)) >= 0:
+        opened = _OPENS.match(html, low)
+        name = opened[1] and opened[1].lower() if opened else None
+        closed = _CLOSES[name].search(html, opened.end()) if opened and name not in missing else None
+        if opened and not closed:
+            missing.add(name)
+        end = closed.end() if closed else html.find(b">", low) + 1
+        if not end:
+            break
+        out += html[at:low], b" "
+        at = end
+    return b"".join([*out, html[at:]])
 
 
 def _text_evidence(pages: DataFrame, languages: list[str], logs: np.ndarray, p: LanguageParameters) -> DataFrame:

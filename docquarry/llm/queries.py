@@ -27,7 +27,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = secret_scan.SecretParameters()
-    trees = secret_scan.train_forest(secret_scan.synthetic_findings(spark, p.training_rows), p)
+    trees = secret_scan.default_forest(spark, p)
     found = secret_scan.findings(_table(spark, sf_dir, "documents"), trees, p)
     return found.selectExpr("doc_id", "finding", "word", "sha2(cast(value as binary), 256) as value_sha256", *secret_scan.FEATURES, "score", "is_secret")
 

@@ -35,7 +35,7 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xoxb-|xoxp-|sk_live_|sk-
 
 SPACES = r"[ \t\n\x0B\f\r]+"
 CANDIDATE = r"[A-Za-z0-9+/_\-]{12,}={0,2}"
-_NAMES_SECRET = r"(?i)passw|passwd|pwd|secret|token|api.?key|access.?key|private|credential|auth|bearer|client.?key|\bkey\b"
+_NAMES_SECRET = r"(?i)passw|passwd|(?<![a-z])pass(?![a-z])|pwd|secret|token|api.?key|access.?key|private|credential|auth|bearer|client.?key|\bkey\b"
 _NAMES_DIGEST = r"(?i)sha\d*|md5|hash|digest|checksum|commit|revision|etag|integrity|uuid|guid|blob|version|build|\bid\b"
 _TEST_PATH = r"(?i)test|spec|fixture|example|sample|mock|demo|doc"
 
@@ -48,7 +48,14 @@ _GIVEN = r"""(?:"[^"]+"|'[^']+'|["']?(?:(?![,;&][A-Za-z_][\w.\-]*[=:])[^\s"'<>])
 #: An assignment within a word, and one that white space divides.
 INSIDE = f"({_NAME}{_GIVES})({_GIVEN})"
 ACROSS = rf"^(\S*{_NAME} ?{_GIVES} ?)({_GIVEN})"
-ANY_CANDIDATE = rf"{CANDIDATE}|{KEYED}|{_NAME}\s*[:=]"
+#: An assignment whose value begins with a quote, and one whose quote is closed.
+_QUOTED = rf"^\S*{_NAME} ?{_GIVES} ?[\"']"
+_CLOSED = rf"""^\S*{_NAME} ?{_GIVES} ?(?:"[^"]+"|'[^']+')"""
+#: The password of an address, and what is shown as a bearer's token.
+ADDRESS = r"([A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]*:)([^\s/@]+)@"
+IN_ADDRESS = "://[^ ]*: password$"
+BEARER = r"^(\S*(?i:bearer) )([A-Za-z0-9._~+/\-]{8,}=*)"
+ANY_CANDIDATE = rf"{CANDIDATE}|{KEYED}|{_NAME}\s*[:=]|{ADDRESS}|(?i:bearer)\s"
 
 FEATURES = ["length", "transitions", "letter_case", "dictionary", "digits", "distinct", "hex_only", "known_prefix", "secret_name", "digest_name", "test_path", "separators"]
 
@@ -80,7 +87,7 @@ def feature_columns(value: Column, before: Column, after: Column, path: Column)
         "digits": F.length(F.regexp_replace(value, "[^0-9]", "")) / size,
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(24.0)),
         "hex_only": flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "known_prefix": flag(value.rlike(f"^({PREFIXES})")),
+        "known_prefix": flag(value.rlike(f"^({PREFIXES})") | before.rlike(IN_ADDRESS)),
         "secret_name": flag(near.rlike(_NAMES_SECRET)),
         "digest_name": flag(near.rlike(_NAMES_DIGEST)),
         "test_path": flag(path.rlike(_TEST_PATH)),
@@ -104,6 +111,7 @@ def synthetic_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     word = lambda k: pick(k, words)
     secret_names = ["password=", "passwd:", "secret =", "token = ", "api_key=", "apiKey:", "access_key =", "auth token", "client_secret:", "private key"]
     digest_names = ["sha256", "commit", "md5:", "digest =", "checksum", "revision", "etag:", "build", "uuid", "integrity ="]
+    addresses = ["postgres://admin: password", "mysql://root: password", "https://user: password", "amqp://app: password", "redis://: password"]
     plain = ["the", "see", "und", "with", "for", "el", "les", "was", ""]
     letters = lambda start, n: F.translate(F.substring(hexes, F.lit(start), n), "0123456789abcdef", "bhrtkenousimlavd")
     prose = ["the", "is", "must", "required", "None", "null", "true", "string", "and", "unknown", "here", "see", "optional", "wrong", "John", "expired", "str", "not", "below", "missing"]
@@ -132,6 +140,8 @@ def synthetic_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (1, F.concat(letters(3, draw(20, 5) + 4), pick(4, ["", "", " ", "-"]), letters(20, draw(21, 5) + 4), pick(4, ["", "", " ", "-"]), letters(40, draw(22, 9) + 4)), pick(3, secret_names)),
         (1, F.substring(F.concat(number(8), number(9), number(15)), F.lit(1), draw(20, 19) + 6), pick(3, secret_names)),
         (1, F.concat(F.lit("AKIA"), F.substring(F.translate(upper, "0123456789", "QWERTZUIOP"), 1, 16)), pick(3, [*plain, *secret_names])),
+        (1, F.concat(F.substring(word(5), 1, 6), draw(8, 100).cast("string"), F.initcap(word(6)), draw(9, 100).cast("string")), pick(3, addresses)),
+        (1, F.concat(letters(3, draw(20, 6) + 3), draw(8, 1000).cast("string")), pick(3, addresses)),
         (0, pick(4, prose), pick(3, secret_names)),
         (0, F.concat(word(5), pick(4, ["", "", "s", "()", ".", "_"]), pick(6, ["", "", *words])), pick(3, secret_names)),
         (0, F.concat(pick(4, ["${", "self.", "<", "os.environ[", "{{", "get_", "%("]), word(5), pick(6, ["}", "()", "]", "}}", ")s"])), pick(3, secret_names)),
@@ -168,6 +178,16 @@ def train_forest(findings: DataFrame, p: SecretParameters = SecretParameters())
     return [node(t._call_java("rootNode")) for t in model.trees]
 
 
+_TRAINED: dict[SecretParameters, list] = {}
+
+
+def default_forest(spark: SparkSession, p: SecretParameters = SecretParameters()) -> list:
+    """The forest of ``synthetic_findings``, trained once a process; it depends on ``p`` alone."""
+    if p not in _TRAINED:
+        _TRAINED[p] = train_forest(synthetic_findings(spark, p.training_rows), p)
+    return _TRAINED[p]
+
+
 def forest_sql(trees: list, features: str = "") -> str:
     """The mean of the trees' chances as SQL over feature columns, or over the fields of ``features``."""
 
@@ -185,18 +205,25 @@ def candidates_sql(words: str) -> str:
     """SQL for an array of (kind, word, value, before, after) over an array of words.
 
     Kind 0: runs of key characters with digit and letter. 1: other strings that begin like a provider's key. 2: other
-    values right after a name that holds secrets and = or :, with or without white space between; a quoted one may have blanks.
+    values right after a name that holds secrets and = or :, with or without white space between; a quoted one may have blanks;
+    the password of an address and the word after ``Bearer``, which count as named so, whatever kind they are besides.
     """
-    run, keyed, inside, across = (_literal(x) for x in (CANDIDATE, KEYED, INSIDE, ACROSS))
+    run, keyed, inside, across, address, bearer = (_literal(x) for x in (CANDIDATE, KEYED, INSIDE, ACROSS, ADDRESS, BEARER))
     names, bare = _literal(_NAMES_SECRET), _literal("""^["'].*["']$""")
     opened, ends = _literal("""[:=]>? ?["'][^"']*$"""), _literal(r"""^["']+|["',;.)\]}]+$""")
     runs = lambda i: f"filter(regexp_extract_all(get({words}, {i}), {run}, 0), v -> v rlike '[0-9]' and v rlike '[A-Za-z]')"
     keys = lambda i: f"regexp_extract_all(get({words}, {i}), {keyed}, 0)"
     near = f"array_join(slice({words}, i + 1, 3), ' ')"
-    tail = f"if({near} rlike {opened}, array_join(slice({words}, i + 1, size({words})), ' '), {near})"
+    more = lambda n: f"array_join(slice({words}, i + 1, {n}), ' ')"
+    quoted, closed = _literal(_QUOTED), _literal(_CLOSED)
+    # most quotes close soon; only one that doesn't is looked for in all the rest
+    tail = f"if({near} rlike {opened} and {near} rlike {quoted}, if({more(64)} rlike {closed}, {more(64)}, {more(f'size({words})')}), {near})"
     matches = f"""concat(
         transform(regexp_extract_all({words}[i], {inside}, 0), m -> struct(regexp_extract(m, {inside}, 1) as name, regexp_extract(m, {inside}, 2) as given)),
         filter(transform(array({tail}), t -> struct(regexp_extract(t, {across}, 1) as name, regexp_extract(t, {across}, 2) as given)), m -> contains(m.name, ' ') or contains(m.given, ' ')))"""
+    other = f"""concat(
+        transform(regexp_extract_all({words}[i], {address}, 0), m -> struct(regexp_extract(m, {address}, 1) as name, regexp_extract(m, {address}, 2) as v)),
+        filter(transform(array({more(2)}), t -> struct(regexp_extract(t, {bearer}, 1) as name, regexp_extract(t, {bearer}, 2) as v)), m -> m.v <> ''))"""
     stripped = f"transform({matches}, m -> struct(m.name as name, if(m.given rlike {bare}, substring(m.given, 2, length(m.given) - 2), regexp_replace(m.given, {ends}, '')) as v))"
     before = f"if(i > 1, {words}[i - 2], null), if(i > 0, {words}[i - 1], null)"
     found = lambda kind: f"v -> named_struct('kind', {kind}, 'word', i, 'value', v, 'before', concat_ws(' ', {before}, substring_index({words}[i], v, 1)), 'after', get({words}, i + 1))"
@@ -205,11 +232,14 @@ def candidates_sql(words: str) -> str:
         transform(filter({stripped}, m -> m.v <> '' and not array_contains({runs(at)}, m.v) and not array_contains({keys(at)}, m.v)),
           m -> named_struct('kind', 2, 'word', {at}, 'value', m.v, 'before', concat_ws(' ', {before}, m.name), 'after', get({words}, {at} + size(split(m.v, ' '))))),
         array())"""
+    shown = f"""if({words}[i] rlike '://' or {words}[i] rlike '(?i)bearer$',
+        transform({other}, m -> named_struct('kind', 2, 'word', {at}, 'value', m.v, 'before', concat_ws(' ', {before}, m.name, 'password'), 'after', get({words}, {at} + 1))),
+        array())"""
     return f"""
         flatten(transform(
           filter(sequence(0, size({words}) - 1), i -> ({words}[i] rlike {run} and {words}[i] rlike '[0-9]') or {words}[i] rlike {keyed}
-            or (({words}[i] rlike '[:=]' or get({words}, i + 1) rlike '^[:=]') and {words}[i] rlike {names})),
-          i -> concat(transform({runs('i')}, {found(0)}), transform(filter({keys('i')}, v -> not array_contains({runs('i')}, v)), {found(1)}), {given})))
+            or (({words}[i] rlike '[:=]' or get({words}, i + 1) rlike '^[:=]') and {words}[i] rlike {names}) or {words}[i] rlike {address} or {words}[i] rlike '(?i)bearer$'),
+          i -> concat(transform({runs('i')}, {found(0)}), transform(filter({keys('i')}, v -> not array_contains({runs('i')}, v)), {found(1)}), {given}, {shown})))
     """
 
 
@@ -235,9 +265,9 @@ def redact(docs: DataFrame, trees: list, p: SecretParameters = SecretParameters(
     a candidate, null and empty texts are not touched; a null path is no test path; repeated rows are redacted alike; an
     empty table gives an empty result.
     """
-    held, words = "_candidates", "_words"
-    while held in docs.columns or words in docs.columns:
-        held, words = "_" + held, "_" + words
+    held, words, starts = "_candidates", "_words", "_starts"
+    while {held, words, starts} & set(docs.columns):
+        held, words, starts = "_" + held, "_" + words, "_" + starts
     text, path = F.col(f"`{text_col}`"), F.col(f"`{path_col}`").cast("string")
     hit = F.coalesce(text.cast("string").rlike(ANY_CANDIDATE), F.lit(False))
     # else the optimizer, say for a filter on the new text, would put these inside each other, to be evaluated word by word
@@ -248,7 +278,16 @@ def redact(docs: DataFrame, trees: list, p: SecretParameters = SecretParameters(
     # (word, the part of a value in it, what takes its place): the first word of a value gets the mark
     step = step.withColumn(held, once(F.expr(f"""array_sort(flatten(transform(filter({held}, x -> {forest_sql(trees, 'x.')} >= {p.threshold!r}D),
         x -> transform(split(x.value, ' '), (v, k) -> struct(x.word + k as word, -length(v) as n, v as v, if(k = 0, {_literal(mark)}, '') as into)))))""")))
-    clean = f"""if(exists({held}, x -> x.word = i), aggregate(filter({held}, x -> x.word = i), w, (t, x) -> replace(t, x.v, x.into)), w)"""
-    gaps = f"transform(regexp_extract_all(`{text_col}`, {_literal(SPACES)}, 0), (g, i) -> if(exists({held}, x -> x.word = i + 1 and x.into = ''), '', g))"
-    rebuilt = F.expr(f"array_join(zip_with(transform({words}, (w, i) -> {clean}), {gaps}, (w, g) -> concat(w, coalesce(g, ''))), '')")
+    # where each word's pieces begin in the sorted list, and how many they are, as an array over the words
+    first = f"filter(transform({held}, (x, k) -> if(k = 0 or {held}[k - 1].word <> x.word, k, null)), k -> k is not null)"
+    step = step.withColumn(starts, once(F.expr(first)))
+    runs = f"""transform({starts}, (k, j) -> struct(k as at, coalesce(get({starts}, j + 1), size({held})) - k as n))"""
+    step = step.withColumn(starts, once(F.expr(runs)))
+    before = f"if(j = 0, -1, {held}[{starts}[j - 1].at].word)"
+    by_word = f"flatten(transform({starts}, (r, j) -> concat(array_repeat(cast(null as struct<at: int, n: int>), {held}[r.at].word - {before} - 1), array(r))))"
+    step = step.withColumn(starts, once(F.expr(f"if(size({starts}) > 0, {by_word}, null)")))
+    pieces = f"slice({held}, r.at + 1, r.n)"
+    clean = f"if(r is null, struct(w as w, false as joined), struct(aggregate({pieces}, w, (t, x) -> replace(t, x.v, x.into)) as w, exists({pieces}, x -> x.into = '') as joined))"
+    gaps = f"concat(array(''), regexp_extract_all(`{text_col}`, {_literal(SPACES)}, 0))"
+    rebuilt = F.expr(f"array_join(zip_with(zip_with({words}, {starts}, (w, r) -> {clean}), {gaps}, (c, g) -> concat(if(c.joined, '', coalesce(g, '')), c.w)), '')")
     return step.withColumn(text_col, F.when(F.size(held) > 0, rebuilt).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))

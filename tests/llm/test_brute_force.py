@@ -29,7 +29,15 @@ def plain_candidates(text):
         before = [x for x in (at(i - 2) if i > 1 else None, at(i - 1) if i > 0 else None) if x is not None]
         found = [(i, v) for v in runs(i)] + [(i, v) for v in keys(i) if v not in runs(i)]
         out += [(k, v, " ".join([*before, w.split(v)[0]]), at(i + 1)) for k, v in found]
+        shown = []
+        if "://" in w or re.search("bearer$", w, re.I):
+            shown = [(m[1], m[2]) for m in re.finditer(s.ADDRESS, w, re.ASCII)]
+            m = re.search(s.BEARER, " ".join(words[i : i + 2]), re.ASCII)
+            shown += [(m[1], m[2])] if m else []
+        shown = [(i + name.count(" "), value, " ".join([*before, name, "password"])) for name, value in shown]
+        shown = [(k, value, left, at(k + 1)) for k, value, left in shown]
         if not (re.search("[:=]", w) or re.match("[:=]", at(i + 1) or "")) or not re.search(s._NAMES_SECRET, w, re.ASCII):
+            out += shown
             continue
         given = [(m[1], m[2]) for m in re.finditer(s.INSIDE, w, re.ASCII)]
         tail = " ".join(words[i : i + 3])
@@ -43,6 +51,7 @@ def plain_candidates(text):
             k = i + name.count(" ")
             if value and value not in runs(k) and value not in keys(k):
                 out.append((k, value, " ".join([*before, name]), at(k + len(value.split(" ")))))
+        out += shown
     return out
 
 
@@ -59,7 +68,7 @@ def plain_features(value, before, after, path):
         len(find("[0-9]", value)) / n,
         len(set(value)) / min(n, 24),
         bool(re.search("^([0-9a-f]+|[0-9A-F]+)$", value)),
-        bool(re.search(f"^({s.PREFIXES})", value)),
+        bool(re.search(f"^({s.PREFIXES})", value) or re.search(s.IN_ADDRESS, before or "")),
         bool(re.search(s._NAMES_SECRET, near, re.ASCII)),
         bool(re.search(s._NAMES_DIGEST, near, re.ASCII)),
         bool(re.search(s._TEST_PATH, path or "", re.ASCII)),

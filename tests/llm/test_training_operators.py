@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -367,9 +369,10 @@ def test_pfair(spark):
         assert all(abs(done[s] - Fraction(w * slot, total)) < 1 for s, w in weights.items())
     rows = [(k, "abc"[min(k % 7, 2)] if k % 11 else None) for k in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("mix_slot", F.lit("clash"))
-    df.write.mode("overwrite").parquet("/tmp/docquarry-test-mix")
+    folder = tempfile.mkdtemp(prefix="docquarry-test-")
+    df.write.mode("overwrite").parquet(folder)
     p = mixing.MixParameters(block_docs=4)
-    found = mixing.mix(spark.read.parquet("/tmp/docquarry-test-mix"), {"a": 0.5, "b": 0.2, "c": 0.3}, p).toPandas()
+    found = mixing.mix(spark.read.parquet(folder), {"a": 0.5, "b": 0.2, "c": 0.3}, p).toPandas()
     blocks = found.drop_duplicates(["source", "mix_block"])
     assert len(found) == 2000 and sorted(blocks.mix_slot) == list(range(len(blocks)))
     assert ((blocks.mix_release <= blocks.mix_slot) & (blocks.mix_slot < blocks.mix_deadline)).all() and found.mix_position.is_unique
@@ -441,3 +444,30 @@ def test_odd_documents_for_duplicates(spark):
     found = minhash.near_duplicates(odd).collect()
     assert len(found) == odd.count() and {r.doc_id: r.component_id for r in found if r.doc_id in (4, 5)} == {4: 4, 5: 4}
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_passwords_of_addresses_names_and_bearers_go(spark):
+    trees = secret_scan.default_forest(spark)
+    rows = ["postgres://admin:hunter2Secret9@db.example.org/x and", "export DB_PASS=hunter22 now", "Authorization: Bearer abcdEFGHijklMNOPqrstUVWX end", "see http://localhost:8080/a@b or the bearer of this", "compass=north1 passenger=12"]
+    texts = [r.text for r in secret_scan.redact(spark.createDataFrame([(k, t, "a") for k, t in enumerate(rows)], "doc_id long, text string, source string"), trees).orderBy("doc_id").collect()]
+    assert texts == ["postgres://admin:[SECRET]@db.example.org/x and", "export DB_PASS=[SECRET] now", "Authorization: Bearer [SECRET] end", rows[3], rows[4]]
+
+
+def test_many_candidates_and_unclosed_tags_take_time_in_proportion(spark):
+    trees = secret_scan.default_forest(spark)
+    for text in (" ".join(f"api_key=Zx9{k:07d}Qw and" for k in range(50_000)), " ".join(f'password="Zx9 {k:07d}Qw and' for k in range(50_000))):
+        start = time.perf_counter()
+        out = secret_scan.redact(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string"), trees).first().text
+        assert out.count("[SECRET]") == 50_000 and time.perf_counter() - start < 40  # minutes, were it quadratic
+    for bad in (b"<!--", b"<", b"<script ", b"<script>", b"<meta http-equiv=content-language ", b"<html "):
+        start = time.perf_counter()
+        langid.visible_text(bad * (4_000_000 // len(bad)))
+        langid.declared_language(bad * (4_000_000 // len(bad)))
+        assert time.perf_counter() - start < 5
+    assert langid.visible_text(b"a<!-- b <!-- c --> d <script>e</script f <p>g") == b"a  d  e g"
+    assert langid.declared_language(b"<meta content=de><meta http-equiv='content-language' content='fr'>") == "fr"
+
+
+def test_rare_languages_count_as_unlabelled(spark):
+    docs = spark.createDataFrame([(k, f"text number {k}", f"l{min(k, 5)}") for k in range(20)], "doc_id long, text string, lang string")
+    assert langid.text_model(docs, langid.LanguageParameters(languages=2))[0] == ["l0", "l5"]
