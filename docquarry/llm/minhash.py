@@ -32,7 +32,7 @@ class MinHashParameters:
     mantissa_bits: int = 10
     errors: float = 6.5  # estimates this many standard errors below the threshold are not checked
     partners: int = 256  # of a document that meet it in one task
-    block: int = 64  # members of a bucket that meet as many others in one task; twice the root of a bucket's size, if that is more
+    block: int = 256  # members of a bucket that meet as many others in one task; twice the root of a bucket's size, if that is more
     most: int = 768  # but never more than so many
 
     @property
