@@ -21,6 +21,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
 
+#: What ends a line, and the marks of Markdown in a line.
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+FENCE_LINE = r"(?U)^\s*(```|~~~)"
+HEADING_MARK = r"(?U)^\s{0,3}#{1,6}\s+"
+BULLET_MARK = r"(?U)^\s*([-*+]|\d+\.)\s+"
+LINK = r"\[([^\]]*)\]\([^)]*\)"
+EMPHASIS = r"[*_`]{1,3}"
+#: White space that is trimmed at the ends.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once; else a lambda would evaluate it for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -59,13 +70,15 @@ def secret_markers(text: Column) -> Column:
 
 
 def markdown_to_text(markdown: Column) -> Column:
-    """Fence lines dropped; heading, bullet, link and emphasis marks stripped; line ends trimmed."""
-    lines = F.filter(F.split(markdown, "\n"), lambda x: ~x.rlike(r"^\s*(```|~~~)"))
-    clean = F.transform(
-        lines,
-        lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s{0,3}#{1,6}\s+", ""), r"^\s*[-*+]\s+", ""), r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]+", "")),
-    )
-    return F.trim(F.array_join(clean, "\n"))
+    """Fence lines dropped; heading, bullet and number marks, links and emphasis stripped; ends trimmed."""
+    lines = F.filter(F.split(markdown, LINE_END), lambda x: ~x.rlike(FENCE_LINE))
+
+    def clean(line: Column) -> Column:
+        for pattern, into in ((HEADING_MARK, ""), (BULLET_MARK, ""), (LINK, "$1"), (EMPHASIS, "")):
+            line = F.regexp_replace(line, pattern, into)
+        return F.rtrim(line, F.lit(BLANKS))
+
+    return F.btrim(F.array_join(F.transform(lines, clean), "\n"), F.lit(BLANKS))
 
 
 @F.arrow_udf(StringType())

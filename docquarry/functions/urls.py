@@ -116,7 +116,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = 500) -> DataFrame:
     """(key, ordinal, href): distinct targets of anchors in document order, the first ``most``; fragments and nofollow skipped."""
-    anchors = F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*>"), F.lit(0))
+    anchors = F.regexp_extract_all(F.concat(F.col(html), F.lit("<>")), F.lit(r"(?i)<a\b[^>]*>"), F.lit(0))
     wanted = F.filter(anchors, lambda a: ~F.lower(_attribute(a, "rel")).rlike(r"(^|\s)nofollow(\s|$)"))
     hrefs = F.filter(F.transform(wanted, lambda a: F.trim(_attribute(a, "href"))), lambda h: (h != "") & ~F.startswith(h, F.lit("#")))
     return pages.select(key, F.posexplode(F.slice(F.array_distinct(hrefs), 1, most)).alias("ordinal", "href"))
@@ -127,8 +127,9 @@ def link_targets(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     Hrefs are resolved against the page's first ``<base href>``, itself resolved against the page's address.
     """
-    said = _attribute(F.regexp_extract(html, r"(?i)<base\b[^>]*>", 0), "href")
-    based = pages.select(key, F.col(url).alias("_u"), F.col(html).alias("_html"), said.alias("_base"))
+    ended = F.concat(F.col(html), F.lit("<>"))  # a tag that is left open ends with the page
+    said = _attribute(F.regexp_extract(ended, r"(?i)<base\b[^>]*>", 0), "href")
+    based = pages.select(key, F.col(url).alias("_u"), ended.alias("_html"), said.alias("_base"))
     based = based.withColumn("_u", F.when(F.col("_base") == "", F.col("_u")).otherwise(absolute(F.trim("_base"), F.col("_u"))))
     anchors = F.filter(F.regexp_extract_all("_html", F.lit(r"(?i)<a\b[^>]*>"), F.lit(0)), lambda a: ~F.lower(_attribute(a, "rel")).rlike(r"(^|\s)nofollow(\s|$)"))
     hrefs = based.select(key, "_u", F.posexplode(F.transform(anchors, lambda a: F.trim(_attribute(a, "href")))).alias("_at", "_href")).where("_href <> '' and not startswith(_href, '#')")
@@ -140,7 +141,7 @@ def link_targets(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 def robots_meta(pages: DataFrame, agent: str, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, noindex, nofollow): what a page's meta tags tell all crawlers, or this one; ``none`` is both."""
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)), lambda m: F.lower(_attribute(m, "name")).isin("robots", agent.lower()))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^<>]*>"), F.lit(0)), lambda m: F.lower(_attribute(m, "name")).isin("robots", agent.lower()))
     words = F.flatten(F.transform(metas, lambda m: F.transform(F.split(F.lower(_attribute(m, "content")), ","), lambda w: F.trim(w))))
     has = lambda w: F.coalesce(F.array_contains(words, w) | F.array_contains(words, "none"), F.lit(False))
     return pages.select(key, has("noindex").alias("noindex"), has("nofollow").alias("nofollow"))
@@ -149,22 +150,25 @@ def robots_meta(pages: DataFrame, agent: str, key: str = "page_id", html: str =
 #: Elements whose content is no text, and parts of a page beside its content.
 _NO_TEXT = ("script", "style", "noscript", "template", "svg", "iframe")
 _BESIDE = ("nav", "header", "footer", "aside", "form", "button", "figure")
+#: At the end of a page it closes what was left open, so that no pattern goes over the rest in vain from each opening.
+_ENDS = "<!---->" + "".join(f"<{t}></{t}>" for t in (*_NO_TEXT, "title", *_BESIDE)) + "<>"
 
 
 def main_content(html: Column) -> Column:
     """A page's main content as Markdown: its ``main`` or ``article`` if it has one, else its body without what stands beside.
 
     Headings, list items, table rows and code stay as such; comments, images and other markup go; blanks collapse in lines.
+    What is left open reaches to the end of the page.
     """
-    step = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    step = F.regexp_replace(F.concat(F.coalesce(html, F.lit("")), F.lit(_ENDS)), r"(?s)<!--.*?-->", "")
     for tag in (*_NO_TEXT, "title"):
         step = F.regexp_replace(step, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    inner = lambda tag: F.regexp_extract(step, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
+    inner = lambda tag: F.regexp_extract(F.coalesce(F.get(F.split(step, rf"(?i)<{tag}\b[^>]*>", 2), 1), F.lit("")), rf"(?is)^(.*)</{tag}\s*>", 1)
     rest = step
     for tag in _BESIDE:
         rest = F.regexp_replace(rest, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     step = F.coalesce(F.nullif(inner("main"), F.lit("")), F.nullif(inner("article"), F.lit("")), rest)
-    step = F.regexp_replace(step, r"\s+", " ")
+    step = F.concat(F.regexp_replace(step, r"\s+", " "), F.lit("<>"))
     for level in range(1, 7):
         step = F.regexp_replace(step, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
     for pattern, into in ((r"<li\b[^>]*>", "\n- "), (r"<br\b[^>]*>", "\n"), (r"<t[dh]\b[^>]*>", "| "), (r"</?(?:p|div|section|article|table|ul|ol|tr|pre|blockquote|h[1-6])\b[^>]*>", "\n\n"), (r"</?code\b[^>]*>", "`"), (r"<[^>]*>", "")):
@@ -182,10 +186,11 @@ def html_stats(pages: DataFrame, key: str = "page_id", html: str = "html", least
     Enough main content is sufficient; nothing at all is empty; little to see beside scripts, or thrice as much script, is
     rendered by a client; the rest is too short.
     """
+    html = F.concat(F.col(html), F.lit(_ENDS))
     hidden = r"(?is)<(script|style|noscript|template)\b[^>]*>(.*?)</\1\s*>"
     scripts = F.aggregate(F.regexp_extract_all(html, F.lit(hidden), F.lit(2)), F.lit(0), lambda n, s: n + F.length(F.trim(s)))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, hidden, " "), r"(?is)<!--.*?-->|<title[^>]*>.*?</title>|<[^>]*>", " "), r"\s+", " ")
-    own = pages.select(key, F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.length(F.trim(bare)).alias("visible_chars"), scripts.alias("script_chars"), F.length(main_content(F.col(html))).alias("main_chars"))
+    own = pages.select(key, F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.length(F.trim(bare)).alias("visible_chars"), scripts.alias("script_chars"), F.length(main_content(html)).alias("main_chars"))
     m, v, s = F.col("main_chars"), F.col("visible_chars"), F.col("script_chars")
     outcome = F.when(m >= least, "sufficient").when((m == 0) & (v == 0) & (s == 0), "empty").when((s > 0) & ((v < least) | (s > 3 * v)), "client_rendered").otherwise("too_short")
     return own.withColumn("outcome", outcome)

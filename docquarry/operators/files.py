@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import bound
+
 #: Path parts and names that are left out.
 GENERATED_DIRECTORIES = ".cache .git .gradle .idea .mypy_cache .next .nuxt .parcel-cache .pytest_cache .ruff_cache .svelte-kit .terraform .tox .venv __pycache__ bower_components build coverage dist htmlcov jspm_packages node_modules obj out site-packages target venv".split()
 VENDORED_DIRECTORIES = "vendor vendored third_party thirdparty 3rdparty pods external".split()
@@ -117,14 +119,18 @@ _IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}$"
 
 
 def ipv4_class(address: Column) -> Column:
-    """``address_class`` of a dotted IPv4 address, by integer comparisons."""
-    parts = F.split(address, r"\.")
-    number = sum((F.get(parts, k).try_cast("long") * (1 << (24 - 8 * k)) for k in range(1, 4)), F.get(parts, 0).try_cast("long") * (1 << 24))
-    out = F.when(address.isin(*(a for a in METADATA_ADDRESSES if ":" not in a)), F.lit("cloud_metadata"))
-    for name, network, bits in IPV4_NETWORKS:
-        low = int(ipaddress.ip_address(network))
-        out = out.when(number.between(low, low + (1 << (32 - bits)) - 1), F.lit(name))
-    return out
+    """``address_class`` of a dotted IPv4 address, by integer comparisons on its number, which is found once."""
+
+    def named(number: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for name, network, bits in IPV4_NETWORKS:
+            low = int(ipaddress.ip_address(network))
+            out = out.when(number.between(low, low + (1 << (32 - bits)) - 1), F.lit(name))
+        return out
+
+    number = F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda n, part: n * 256 + part.try_cast("long"))
+    metadata = address.isin(*(a for a in METADATA_ADDRESSES if ":" not in a))
+    return F.when(metadata, F.lit("cloud_metadata")).otherwise(bound(number, named))
 
 
 def address_classes(df: DataFrame, address: str = "address") -> DataFrame:

@@ -53,10 +53,12 @@ def _slugs(spark, sf_dir):
 
 #: Documents as Markdown: first words as heading, a list and emphasis.
 _MARKDOWN = "concat('## ', substring(text, 1, 20), chr(10), '- one [link](http://x.example/a) *two*', chr(10), '```', chr(10), text, chr(10), '```', chr(10), '**end** ')"
+#: With a numbered list, an image and other line ends.
+_NUMBERED = _MARKDOWN[:-1] + ", chr(13), chr(10), ' 1. first ![alt](x.png) _', lang, '_', chr(13), '23. second ', chr(12), '~~~ ', source, chr(11), '   ### third ***', lang, chr(9), chr(10), '1.none')"
 
 
 def _markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_MARKDOWN} AS md").select("doc_id", F.sha2(t.markdown_to_text(F.col("md")).cast("binary"), 256).alias("digest"), F.length(t.markdown_to_text(F.col("md"))).alias("n_chars"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_NUMBERED} AS md").select("doc_id", F.sha2(t.markdown_to_text(F.col("md")).cast("binary"), 256).alias("digest"), F.length(t.markdown_to_text(F.col("md"))).alias("n_chars"))
 
 
 def _lines(spark, sf_dir):
@@ -109,8 +111,11 @@ ORACLE = {
         s AS (SELECT doc_id, regexp_replace(regexp_replace(k, '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM k)
         SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM s""",
     "markdown_to_text": rf"""
-        WITH m AS (SELECT doc_id, list_filter(string_split({_MARKDOWN}, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(```|~~~)')) AS l FROM documents),
-        t AS (SELECT doc_id, trim(array_to_string(list_transform(l, lambda x: rtrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s{{0,3}}#{{1,6}}\s+', ''), '^\s*[-*+]\s+', ''), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]+', '', 'g'))), chr(10))) AS t FROM m)
+        WITH m AS (SELECT doc_id, string_split(replace(translate({_NUMBERED}, chr(11) || chr(12), chr(10) || chr(10)), chr(13) || chr(10), chr(10)), chr(13)) AS l FROM documents),
+        r AS (SELECT doc_id, flatten(list_transform(l, lambda x: string_split(x, chr(10)))) AS l FROM m),
+        k AS (SELECT doc_id, list_filter(l, lambda x: left(ltrim(x, ' ' || chr(9)), 3) NOT IN ('```', '~~~')) AS l FROM r),
+        h AS (SELECT doc_id, list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^ {{0,3}}#{{1,6}}\s+', ''), '^\s*(-|\*|\+|[0-9]+\.)\s+', '')) AS l FROM k),
+        t AS (SELECT doc_id, trim(array_to_string(list_transform(l, lambda x: rtrim(translate(regexp_replace(x, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '*_`', ''), ' ' || chr(9))), chr(10)), ' ' || chr(9) || chr(10)) AS t FROM h)
         SELECT doc_id, sha256(t) AS digest, length(t)::INT AS n_chars FROM t""",
     "chunk_lines": r"""
         WITH l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
