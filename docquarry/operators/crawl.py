@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docquarry.functions.urls import canonical, link_targets, robots_meta
 from docquarry.operators.graph import robots_verdicts
@@ -15,6 +20,9 @@ PRIVATE_SUFFIXES = (".localhost", ".local", ".internal", ".intranet", ".lan", ".
 #: Bounds of a robots file in characters, of a sitemap in entries.
 ROBOTS_LENGTH = 500 * 1024
 SITEMAP_ENTRIES = 50_000
+SITEMAP_BYTES = 50 * 1024 * 1024
+#: Where a sitemap is looked for if the robots file names none.
+SITEMAP_PATH = "/sitemap.xml"
 
 
 def _squeeze(c: Column) -> Column:
@@ -44,6 +52,32 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     return rules.select("host", "line", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow")).unionByName(denied)
 
 
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """(host, line, url) of the sitemaps that robots files (host, status, body) name, wherever in the file."""
+    raw = files.where(F.col("status").between(200, 299)).select("host", F.posexplode(F.split(F.substring("body", 1, ROBOTS_LENGTH), r"\r\n|\r|\n")).alias("line", "raw"))
+    bare = raw.select("host", "line", F.regexp_replace("raw", "#.*$", "").alias("raw"))
+    named = bare.where(F.lower(_squeeze(F.substring_index("raw", ":", 1))) == "sitemap")
+    return named.select("host", "line", _squeeze(F.regexp_replace("raw", "^[^:]*:", "")).alias("url")).where("url <> ''")
+
+
+@F.arrow_udf(StringType())
+def unpacked(content: pa.Array) -> pa.Array:
+    """A sitemap's octets as text, gunzipped as a stream up to ``SITEMAP_BYTES``; null if it is broken or would be longer."""
+
+    def text(octets: bytes | None) -> str | None:
+        if octets is not None and octets.startswith(b"\x1f\x8b"):
+            stream = zlib.decompressobj(31)
+            try:
+                octets = stream.decompress(octets, SITEMAP_BYTES + 1)
+            except zlib.error:
+                return None
+            if not stream.eof and len(octets) <= SITEMAP_BYTES:
+                return None
+        return None if octets is None or len(octets) > SITEMAP_BYTES else octets.decode(errors="replace")
+
+    return pa.array([text(v) for v in content.to_pylist()], pa.string())
+
+
 def _tag(c: Column, name: str) -> Column:
     return _squeeze(F.regexp_extract(c, rf"(?is)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}\s*>", 1))
 
@@ -57,41 +91,85 @@ def sitemap_children(files: DataFrame, key: str = "sitemap_id", xml: str = "xml"
     return firsts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_at")) - 1).cast("int").alias("ordinal"), "canonical")
 
 
-def site_crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, agent: str = "docbot", max_depth: int = 3, max_pages: int = 200, max_frontier: int = 5000) -> DataFrame:
+def sitemap_discovery(answers: DataFrame, robots: DataFrame, seeds: DataFrame, max_sitemaps: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What the sitemaps of crawled sites list: (crawl, position, url, read) and (crawl, ordinal, url).
+
+    ``answers`` (url, html, status) are stored answers, ``robots`` (host, status, body) robots files, ``seeds`` (crawl, url, via)
+    has a row via ``seed`` for each crawl. The sitemaps that the robots file names, else the usual one, wait first; those that
+    an index lists wait behind. One is taken once, if its scheme, host and port are the seed's, whatever its folder, until
+    ``max_sitemaps`` are; ``read`` tells whether it was answered. Entries come in the order of sitemaps and of their lines, each
+    address once. Each round takes what waits, so there are at most ``max_sitemaps`` rounds.
+    """
+    stage = Stage(answers.sparkSession, "sitemaps")
+    origins = canonical(seeds.where("via = 'seed'")).where("ok").select("crawl", F.col("scheme").alias("_s"), F.col("host").alias("_h"), F.col("port").alias("_p"), F.regexp_extract("canonical", "^[^:]+://[^/]+", 0).alias("_root"))
+    named = robots_sitemaps(robots).withColumnRenamed("host", "_host")
+    named = origins.join(canonical(named).where("ok").select("_host", "line", "canonical"), F.col("_h") == F.col("_host")).select("crawl", F.col("canonical").alias("url"), F.col("line").alias("ordinal"))
+    usual = origins.join(named.select("crawl").distinct(), "crawl", "left_anti").select("crawl", F.concat("_root", F.lit(SITEMAP_PATH)).alias("url"), F.lit(0).alias("ordinal"))
+    level = named.unionByName(usual).withColumn("parent", F.lit(0))
+    sound = answers.where(F.col("status").between(200, 299)).select(F.col("url").alias("_url"), F.col("html").alias("xml"))
+    taken: DataFrame | None = None
+    for k in range(max_sitemaps):
+        fresh = level.groupBy("crawl", "url").agg(F.min(F.struct("parent", "ordinal")).alias("_f")).select("crawl", "url", "_f.*")
+        if taken is not None:
+            fresh = fresh.join(taken.select("crawl", "url"), ["crawl", "url"], "left_anti")
+            counts = taken.groupBy(F.col("crawl").alias("_c")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        own = canonical(fresh).drop("canonical", "ok").join(origins, "crawl").where((F.col("scheme") == F.col("_s")) & (F.col("host") == F.col("_h")) & (F.col("port") == F.col("_p")))
+        ranked = own.withColumn("_r", F.row_number().over(Window.partitionBy("crawl").orderBy("parent", "ordinal", "url"))).where(F.col("_r") <= max_sitemaps)
+        before = F.coalesce(F.col("_n"), F.lit(0)) if taken is not None else F.lit(0)
+        joined = ranked.join(counts, F.col("crawl") == F.col("_c"), "left") if taken is not None else ranked
+        found = joined.select("crawl", (F.col("_r") + before).alias("position"), "url").where(F.col("position") <= max_sitemaps)
+        found = stage.save(found.join(sound, F.col("url") == F.col("_url"), "left").select(F.struct("crawl", "position").alias("key"), "crawl", "position", "url", "xml"), f"round{k}")
+        if found.isEmpty():
+            break
+        taken = found if taken is None else taken.unionByName(found)
+        level = sitemap_children(found.where("xml is not null"), "key").select("key.crawl", F.col("canonical").alias("url"), "ordinal", F.col("key.position").alias("parent"))
+    taken = found if taken is None else taken
+    listed = sitemap_entries(taken.where("xml is not null"), "key").select("key.crawl", F.struct("key.position", "ordinal").alias("_at"), "canonical")
+    firsts = listed.groupBy("crawl", F.col("canonical").alias("url")).agg(F.min("_at").alias("_at")).select("crawl", "url", F.col("_at.position").alias("_s"), F.col("_at.ordinal").alias("_o"))
+    entries = running_sums(firsts, ["crawl"], ["_s", "_o"], {"ordinal": F.lit(1)}, stage, "entries").select("crawl", F.col("ordinal").cast("int").alias("ordinal"), "url")
+    return taken.select("crawl", "position", "url", F.col("xml").isNotNull().alias("read")), entries
+
+
+def crawl_sites(answers: DataFrame, robots: DataFrame, seeds: DataFrame, agent: str = "docbot", max_sitemaps: int = 20, **limits: float) -> DataFrame:
+    """``site_crawl`` from stored answers and robots files alone: ``seeds`` (crawl, url) are followed by what the sites' sitemaps list."""
+    own = seeds.select("crawl", "url").withColumns({"via": F.lit("seed"), "ordinal": F.lit(-1)})
+    entries = sitemap_discovery(answers, robots, own, max_sitemaps)[1].select("crawl", "url", F.lit("sitemap").alias("via"), "ordinal")
+    rules = Stage(answers.sparkSession, "rules").save(robots_rules(robots, agent).select("host", "pattern", "allow"), "rules")
+    return site_crawl(answers, own.unionByName(entries), rules, agent, **limits)
+
+
+def site_crawl(
+    pages: DataFrame, seeds: DataFrame, rules: DataFrame, agent: str = "docbot", max_depth: int = 3, max_pages: int = 200, max_frontier: int = 5000, max_bytes: int = 64 * 1024 * 1024, seconds: float = 300.0
+) -> DataFrame:
     """(crawl, position, url, depth, via, verdict) of a crawl over stored answers, level by level.
 
-    ``pages`` (url, html, status, media_type) are the answers by canonical address, ``seeds`` (crawl, url, via, ordinal) the first
-    candidates, one of them via ``seed``: its scheme, host, port and folder are the crawl's scope. ``rules`` (host, pattern, allow)
-    are robots rules. A candidate is out_of_scope, robots_disallowed, or limit_reached once ``max_frontier`` are admitted;
-    an admitted one, in the order of discovery, is a page or names why not, and not_visited after ``max_pages`` pages. Links of
-    what was fetched, unless nofollow, are the next level's candidates, up to ``max_depth``. Each level is written once;
-    a crawl's numbers are found in one task, for at most its candidates of a level.
+    ``pages`` (url, html, status, media_type, and seconds if it has them) are the answers by canonical address, ``seeds``
+    (crawl, url, via, ordinal) the first candidates, one of them via ``seed``: its scheme, host, port and folder are the crawl's scope.
+    ``rules`` (host, pattern, allow) are robots rules. A candidate is out_of_scope, robots_disallowed, or limit_reached once ``max_frontier``
+    are admitted; position is null for those. An admitted one, in the order of discovery, is a page or names why not. The page that reaches
+    ``max_pages`` or ``max_bytes`` is the last; nor is anything visited once fetches took more than ``seconds``: what follows is
+    not_visited. Links of what was fetched, unless nofollow, are the next level's candidates, up to ``max_depth``. Numbers and budgets
+    of a level are running sums over ranges, so a crawl's level lies in many tasks.
     """
     stage = Stage(pages.sparkSession, "crawl")
     first = canonical(seeds).where("ok")
     scopes = first.where("via = 'seed'").select(F.col("crawl").alias("_c"), F.col("scheme").alias("_s"), F.col("host").alias("_h"), F.col("port").alias("_p"), F.regexp_extract("path", "^(.*/)", 1).alias("_prefix"))
     tags = robots_meta(pages, agent, "url").select(F.col("url").alias("_u"), "noindex", "nofollow")
-    answers = stage.save(pages.select("url", "status", "media_type").join(tags, F.col("url") == F.col("_u")).drop("_u"), "answers").withColumnRenamed("url", "_url")
+    took = (F.col("seconds") * 1000 if "seconds" in pages.columns else F.lit(0)).cast("long")
+    answers = pages.select("url", "status", "media_type", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), took.alias("millis"))
+    answers = stage.save(answers.join(tags, F.col("url") == F.col("_u")).drop("_u"), "answers").withColumnRenamed("url", "_url")
     links = stage.save(link_targets(pages.withColumn("_key", F.col("url")), "_key", "url"), "links")
     level = first.select("crawl", F.col("canonical").alias("url"), "via", F.lit(0).cast("long").alias("parent"), F.col("ordinal").cast("int").alias("ordinal"))
-    done = None
+    levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
         fresh = level.groupBy("crawl", "url").agg(F.min(F.struct("parent", "ordinal", "via")).alias("_f")).select("crawl", "url", "_f.*")
+        done = functools.reduce(DataFrame.unionByName, levels) if levels else None
         if done is not None:
             fresh = fresh.join(done.select("crawl", "url"), ["crawl", "url"], "left_anti")
         parsed = canonical(fresh).drop("canonical", "ok").join(scopes, F.col("crawl") == F.col("_c"))
         within = (F.col("scheme") == F.col("_s")) & (F.col("host") == F.col("_h")) & (F.col("port") == F.col("_p")) & F.startswith("path", F.col("_prefix"))
         parsed = stage.save(parsed.select("crawl", "url", "via", "parent", "ordinal", "host", F.concat("path", F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")).alias("target"), within.alias("within")), f"parsed{depth}")
         allowed = robots_verdicts(parsed.select(F.col("url").alias("url_id"), "host", "target").distinct(), rules)
-        judged = parsed.join(allowed, F.col("url") == F.col("url_id")).join(answers, F.col("url") == F.col("_url"), "left")
-        order = Window.partitionBy("crawl").orderBy("_fit", "parent", "ordinal", "url")
-        fit = F.when(F.col("within") & F.col("allowed"), 0).otherwise(1)
-        before = done.where("admitted").groupBy(F.col("crawl").alias("_d")).agg(F.count(F.lit(1)).alias("_taken"), F.count_if(F.col("verdict") == "page").alias("_pages"), F.max("position").alias("_last")) if done is not None else None
-        judged = judged.withColumn("_fit", fit).withColumn("_n", F.row_number().over(order))
-        zero = F.lit(0).cast("long")
-        judged = judged.join(before, F.col("crawl") == F.col("_d"), "left") if before is not None else judged.withColumns({"_taken": zero, "_pages": zero, "_last": zero})
-        taken, pages_before, last = (F.coalesce(F.col(c), F.lit(0)) for c in ("_taken", "_pages", "_last"))
-        admitted = (F.col("_fit") == 0) & (F.col("_n") + taken <= max_frontier)
         answer = (
             F.when(F.col("status").isNull(), "fetch_failed")
             .when(~F.col("status").between(200, 299), "unsuccessful_status")
@@ -99,18 +177,27 @@ def site_crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, agent: str
             .when(F.col("noindex"), "page_noindex")
             .otherwise("page")
         )
-        judged = judged.withColumn("admitted", admitted).withColumn("_answer", answer)
-        page = F.when(F.col("admitted") & (F.col("_answer") == "page"), 1).otherwise(0)
-        so_far = F.coalesce(F.sum(page).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + pages_before
-        verdict = (
-            F.when(~F.col("within"), "out_of_scope").when(~F.col("allowed"), "robots_disallowed").when(~F.col("admitted"), "limit_reached").when(so_far >= max_pages, "not_visited").otherwise(F.col("_answer"))
-        )
-        found = judged.select("crawl", (F.col("_n") + last).cast("long").alias("position"), "url", F.lit(depth).alias("depth"), "via", verdict.alias("verdict"), "admitted", F.coalesce("nofollow", F.lit(False)).alias("nofollow"))
+        judged = parsed.join(allowed, F.col("url") == F.col("url_id")).join(answers, F.col("url") == F.col("_url"), "left").withColumn("_answer", answer).withColumn("_fit", F.col("within") & F.col("allowed"))
+        page = F.when(F.col("_answer") == "page", 1).otherwise(0)
+        values = {"_rank": F.lit(1), "_pages": page, "_bytes": page * F.col("bytes"), "_millis": F.col("millis")}
+        summed = running_sums(stage.save(judged, f"judged{depth}"), ["crawl", "_fit"], ["parent", "ordinal", "url"], values, stage, f"summed{depth}")
+        zero = F.lit(0).cast("long")
+        if done is None:
+            summed = summed.withColumns({"_before": zero, "_p0": zero, "_b0": zero, "_m0": zero})
+        else:
+            visited = F.col("verdict") != "not_visited"
+            sums = {"_before": F.lit(1), "_p0": F.when(F.col("verdict") == "page", 1), "_b0": F.when(F.col("verdict") == "page", F.col("bytes")), "_m0": F.when(visited, F.col("millis"))}
+            totals = done.where("position is not null").groupBy(F.col("crawl").alias("_d")).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
+            summed = summed.join(totals, F.col("crawl") == F.col("_d"), "left").fillna(0, list(sums))
+        admitted = F.col("_fit") & (F.col("_rank") + F.col("_before") < max_frontier)
+        ended = (F.col("_pages") + F.col("_p0") >= max_pages) | (F.col("_bytes") + F.col("_b0") >= max_bytes) | (F.col("_millis") + F.col("_m0") > int(seconds * 1000))
+        verdict = F.when(~F.col("within"), "out_of_scope").when(~F.col("allowed"), "robots_disallowed").when(~admitted, "limit_reached").when(ended, "not_visited").otherwise(F.col("_answer"))
+        found = summed.select("crawl", F.when(admitted, F.col("_rank") + F.col("_before") + 1).alias("position"), "url", F.lit(depth).alias("depth"), "via", verdict.alias("verdict"), F.coalesce("nofollow", F.lit(False)).alias("nofollow"), "bytes", "millis")
         found = stage.save(found, f"level{depth}")
-        done = found if done is None else stage.save(done.unionByName(found), f"done{depth}")
+        levels.append(found)
         fetched = found.where("verdict in ('page', 'page_noindex') and not nofollow").select("crawl", F.col("url").alias("_key"), F.col("position").alias("parent"))
         level = fetched.join(links, "_key").select("crawl", F.col("canonical").alias("url"), F.lit("link").alias("via"), "parent", "ordinal")
-    return done.select("crawl", "position", "url", "depth", "via", "verdict")
+    return functools.reduce(DataFrame.unionByName, levels).select("crawl", "position", "url", "depth", "via", "verdict")
 
 
 def sitemap_entries(files: DataFrame, key: str = "sitemap_id", xml: str = "xml", most: int = SITEMAP_ENTRIES) -> DataFrame:

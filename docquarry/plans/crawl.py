@@ -40,6 +40,33 @@ _SITE = """SELECT concat('http://h', p_partkey % 5, '.example/docs/p', p_partkey
 _SEEDS = "VALUES (0L, 'http://h0.example/docs/p5', 'seed', 0), (0L, 'http://h0.example/docs/p10', 'sitemap', 1), (1L, 'http://h1.example/docs/p6', 'seed', 0), (2L, 'http://h2.example/docs/p2#x', 'seed', 0), (2L, 'http://h2.example/other', 'sitemap', 1)"
 
 
+#: Robots files of the made site: two sitemaps, one of them elsewhere; one named twice; none.
+_ROBOTS = """SELECT DISTINCT concat('h', p_partkey % 5, '.example') AS host, 200 AS status, CASE CAST(p_partkey % 5 AS INT)
+    WHEN 0 THEN concat('Sitemap: http://h0.example/maps/index.xml # all', chr(10), 'sitemap:http://other.example/s.xml', chr(10), 'User-agent: *', chr(10), 'Disallow: /docs/private', chr(10), 'SITEMAP : http://h0.example/maps/part29.xml')
+    WHEN 1 THEN concat('User-agent: *', chr(10), 'Disallow: /*9$', chr(10), 'Sitemap: http://h1.example/maps/part3.xml', chr(13), chr(10), 'Sitemap: HTTP://H1.example:80/maps/part3.xml') ELSE 'User-agent: docbot' END AS body FROM part"""
+#: What each sitemap lists, a row a line: indexes list parts, themselves and another site's; parts list pages, in the scope and beside it.
+_LISTED = """SELECT DISTINCT concat('http://h', h, '.example', CASE WHEN h = 0 THEN '/maps/index.xml' ELSE '/sitemap.xml' END) AS url, true AS is_index, j AS place,
+        concat('http://', CASE WHEN j % 7 = 6 THEN 'other' ELSE concat('h', h) END, '.example', CASE WHEN j % 11 = 10 THEN CASE WHEN h = 0 THEN '/maps/index.xml' ELSE '/sitemap.xml' END ELSE concat('/maps/part', j, '.xml') END) AS loc
+    FROM (SELECT p_partkey % 5 AS h, p_partkey % 40 AS j FROM {part}) AS a WHERE h IN (0, 2, 3)
+    UNION ALL SELECT concat('http://h', p_partkey % 5, '.example/maps/part', p_partkey % 26, '.xml'), false, p_partkey, concat('http://h', p_partkey % 5, '.example/', CASE WHEN p_partkey % 31 = 0 THEN 'blog' ELSE 'docs' END, '/p', p_partkey * 3 % 2000) FROM {part}"""
+
+
+def site_files(spark, sf_dir):
+    """(answers with sitemaps and seconds, robots files, seeds) of the made site."""
+    listed = spark.sql(_LISTED, part=table(spark, sf_dir, "part"))
+    lines = listed.groupBy("url", "is_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "loc"))), lambda x: F.concat(F.when(F.col("is_index"), "<sitemap><loc>").otherwise("<url><loc>"), x["loc"], F.when(F.col("is_index"), "</loc></sitemap>").otherwise("</loc></url>"))), "").alias("_x"))
+    maps = lines.select("url", F.concat(F.when(F.col("is_index"), "<sitemapindex>").otherwise("<urlset>"), "_x", F.when(F.col("is_index"), "</sitemapindex>").otherwise("</urlset>")).alias("html"), F.lit(200).alias("status"), F.lit("text/xml").alias("media_type"))
+    answers = _sql(spark, sf_dir, _SITE).unionByName(maps).withColumn("seconds", F.length("url") % 4 * F.lit(0.25))
+    seeds = spark.sql("SELECT * FROM VALUES (0L, 'http://h0.example/docs/p5'), (1L, 'http://h1.example/docs/p6'), (2L, 'http://h2.example/docs/p2#x'), (4L, 'http://h4.example/docs/p4') AS t(crawl, url)")
+    return answers, _sql(spark, sf_dir, _ROBOTS), seeds
+
+
+def _discovery(spark, sf_dir):
+    answers, robots, seeds = site_files(spark, sf_dir)
+    taken, entries = crawl.sitemap_discovery(answers, robots, seeds.withColumn("via", F.lit("seed")))
+    return taken.select(F.lit("sitemap").alias("kind"), "crawl", F.col("position").alias("place"), "url").unionByName(entries.select(F.lit("entry").alias("kind"), "crawl", F.col("ordinal").alias("place"), "url"))
+
+
 def site(spark, sf_dir):
     """(answers, seeds, robots rules) of the made site."""
     rules = spark.sql("SELECT * FROM VALUES ('h0.example', '/docs/private', false), ('h1.example', '/*9$', false), ('h1.example', '/docs/private/p1', true), ('h1.example', '/docs/private', false) AS t(host, pattern, allow)")
@@ -57,6 +84,8 @@ def _store(spark, sf_dir):
 
 QUERIES = {
     "site_crawl": lambda spark, sf_dir: crawl.site_crawl(*site(spark, sf_dir), max_pages=60, max_frontier=150),
+    "site_crawl_sitemaps": lambda spark, sf_dir: crawl.crawl_sites(*site_files(spark, sf_dir), max_pages=60, max_frontier=150, max_bytes=20_000, seconds=40.0),
+    "sitemap_discovery": _discovery,
     "sitemap_children": lambda spark, sf_dir: crawl.sitemap_children(_sql(spark, sf_dir, _INDEXES)),
     "content_store": _store,
     "robots_rules": lambda spark, sf_dir: crawl.robots_rules(_sql(spark, sf_dir, _FILES), f"{_AGENT}/1.0"),
@@ -72,6 +101,17 @@ _NAMES = f"h AS ({_HOSTS}), n AS (SELECT host_id, lower(regexp_replace(trim(host
 
 ORACLE = {
     "content_store": "SELECT sha256(html) AS sha256, octet_length(encode(any_value(html)))::BIGINT AS size, count(*) AS holders FROM pages GROUP BY 1",
+    "sitemap_discovery": f"""
+        WITH RECURSIVE listed AS ({_LISTED.format(part="part")}),
+        children AS (SELECT url AS parent, list(loc ORDER BY place) AS c FROM listed WHERE is_index GROUP BY url),
+        start(crawl, host, pending) AS (VALUES (0, 'http://h0.example/', ['http://h0.example/maps/index.xml', 'http://other.example/s.xml', 'http://h0.example/maps/part29.xml']), (1, 'http://h1.example/', ['http://h1.example/maps/part3.xml', 'http://h1.example/maps/part3.xml']),
+            (2, 'http://h2.example/', ['http://h2.example/sitemap.xml']), (4, 'http://h4.example/', ['http://h4.example/sitemap.xml'])),
+        q AS (SELECT crawl, host, []::VARCHAR[] AS visited, pending, 0 AS step FROM start
+              UNION ALL SELECT crawl, host, CASE WHEN skip THEN visited ELSE list_append(visited, pending[1]) END, pending[2:] || CASE WHEN skip THEN []::VARCHAR[] ELSE coalesce(c, []::VARCHAR[]) END, step + 1
+              FROM (SELECT *, list_contains(visited, pending[1]) OR NOT starts_with(pending[1], host) AS skip FROM q WHERE len(pending) > 0 AND len(visited) < 20) s LEFT JOIN children ON parent = pending[1]),
+        v AS (SELECT crawl, generate_subscripts(visited, 1) AS place, unnest(visited) AS url FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY crawl ORDER BY step DESC) = 1)),
+        e AS (SELECT crawl, loc, min(v.place * 1000000000 + l.place) AS first FROM v JOIN listed l USING (url) WHERE NOT is_index GROUP BY ALL)
+        SELECT 'sitemap' AS kind, crawl::BIGINT AS crawl, place::INT AS place, url FROM v UNION ALL SELECT 'entry', crawl::BIGINT, (row_number() OVER (PARTITION BY crawl ORDER BY first) - 1)::INT, loc FROM e""",
     "sitemap_children": f"""
         WITH l AS (SELECT page_id, 0 AS variant, url FROM pages UNION ALL SELECT page_id, 1, 'http://h.example/s' || page_id % 3 || '.xml?a=1&b=2' FROM pages UNION ALL SELECT page_id, 3, 'HTTP://h.example/s' || page_id % 2 || '.xml?b=2&a=1' FROM pages),
         {canonical_ctes("SELECT page_id, variant, url FROM l")}, x AS (SELECT page_id, canonical, min(variant) AS v FROM shown WHERE ok GROUP BY ALL)

@@ -6,8 +6,10 @@ import re
 from collections import deque
 from urllib.parse import urldefrag, urljoin, urlsplit
 
+from pyspark.sql import functions as F
+
 from docquarry.operators import crawl
-from docquarry.plans.crawl import site
+from docquarry.plans.crawl import site, site_files
 
 DATA = "/root/testdata/sf0.001"
 RULES = {"h0.example": [("/docs/private", False)], "h1.example": [("9$", False), ("/docs/private/p1", True), ("/docs/private", False)]}
@@ -25,10 +27,10 @@ def allowed(url):
     return best[1]
 
 
-def queue(answers, seeds, max_depth, max_pages, max_frontier):
+def queue(answers, seeds, max_depth, max_pages, max_frontier, max_bytes=1 << 40, seconds=1e9, allowed=allowed):
     scope = next(u for u, via in seeds if via == "seed")
     prefix = scope[: scope.rindex("/") + 1]
-    seen, waiting, out, pages = {}, deque(), {}, 0
+    seen, waiting, out, pages, octets, took = {}, deque(), {}, 0, 0, 0.0
 
     def consider(url, depth, via):
         if url in seen or url in out:
@@ -48,13 +50,15 @@ def queue(answers, seeds, max_depth, max_pages, max_frontier):
     while waiting:
         url = waiting.popleft()
         depth, via = seen[url]
-        if pages >= max_pages:
+        if pages >= max_pages or octets >= max_bytes or took > seconds:
             out[url] = (depth, via, "not_visited")
             continue
         row = answers.get(url)
         verdict = "fetch_failed" if row is None else "unsuccessful_status" if row.status != 200 else "unsupported_media_type" if row.media_type != "text/html" else "page_noindex" if "content=noindex" in row.html else "page"
         out[url] = (depth, via, verdict)
         pages += verdict == "page"
+        octets += len(row.html) if verdict == "page" else 0
+        took += getattr(row, "seconds", 0.0) if row is not None else 0.0
         if verdict in ("page", "page_noindex") and "content=nofollow" not in row.html and depth < max_depth:
             for a in re.findall("<a[^>]*>", row.html):
                 if "nofollow" not in a:
@@ -73,6 +77,40 @@ def test_site_crawl(spark):
         assert len({(r.crawl, r.url) for r in found}) == len(found)
 
 
+def test_site_crawl_finds_its_sitemaps_and_keeps_all_budgets(spark):
+    answers, robots, seeds = site_files(spark, DATA)
+    by = {r.url: r for r in answers.collect()}
+    disallowed = {"h0.example": lambda p: p.startswith("/docs/private"), "h1.example": lambda p: p.endswith("9")}
+    permitted = lambda url: not disallowed.get(urlsplit(url).netloc, lambda p: False)(urlsplit(url).path)
+    firsts = {0: ["http://h0.example/maps/index.xml", "http://other.example/s.xml", "http://h0.example/maps/part29.xml"], 1: ["http://h1.example/maps/part3.xml"], 2: ["http://h2.example/sitemap.xml"], 4: ["http://h4.example/sitemap.xml"]}
+    for limits in ({"max_pages": 60, "max_frontier": 150}, {"max_bytes": 8000}, {"seconds": 9.0}, {"max_depth": 1, "max_frontier": 40}):
+        found = crawl.crawl_sites(answers, robots, seeds, **limits).collect()
+        for c, seed in ((r.crawl, r.url) for r in seeds.collect()):
+            root, waiting, taken, entries = seed.split("/docs")[0], deque(firsts[c]), [], {}
+            while waiting and len(taken) < 20:
+                url = waiting.popleft()
+                if url in taken or not url.startswith(root):
+                    continue
+                taken.append(url)
+                xml = by[url].html if url in by else ""
+                locs = re.findall("<loc>(.*?)</loc>", xml)
+                waiting.extend(locs if "<sitemap>" in xml else [])
+                entries.update(dict.fromkeys([] if "<sitemap>" in xml else locs))
+            full = {"max_depth": 3, "max_pages": 200, "max_frontier": 5000} | limits
+            want = queue(by, [(seed, "seed"), *((u, "sitemap") for u in entries)], allowed=permitted, **full)
+            assert {r.url: (r.depth, r.via, r.verdict) for r in found if r.crawl == c} == want
+            places = sorted(r.position for r in found if r.crawl == c and r.position is not None)
+            assert places == list(range(1, len(places) + 1))
+
+
+def test_sitemaps_are_unpacked_within_bounds(spark):
+    import gzip
+
+    rows = [(0, b"<urlset/>"), (1, gzip.compress(b"<urlset>x</urlset>")), (2, gzip.compress(b"abc" * 1000)[:-9]), (3, None), (4, gzip.compress(b" " * (crawl.SITEMAP_BYTES + 1))), (5, b"\x1f\x8bjunk")]
+    found = spark.createDataFrame(rows, "k int, c binary").select("k", crawl.unpacked(F.col("c")).alias("x")).orderBy("k").collect()
+    assert [r.x for r in found] == ["<urlset/>", "<urlset>x</urlset>", None, None, None, None]
+
+
 def test_folder_files(spark, tmp_path):
     from docquarry.sources.store import folder_files
 
