@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import functools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,8 +79,11 @@ def keep_first(rows: DataFrame, known: DataFrame, by: list[str], order: str) ->
     return fresh.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*by, "_r.*")
 
 
-def bundle_parts(documents: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(document, ordinal, position, part): the paragraphs of each document in order, its title and description first."""
+def bundle_parts(documents: DataFrame, chapters: DataFrame, blocks: DataFrame, exercises: DataFrame | None = None) -> DataFrame:
+    """(document, ordinal, position, part): the paragraphs of each document in order, its title and description first.
+
+    A chapter's ``exercises`` (document, chapter, position, prompt, solution) follow its blocks.
+    """
     body = F.when(F.col("type") == "code", F.concat(F.lit("```"), "language", F.lit("\n"), "code", F.lit("\n```"))).otherwise(F.coalesce("markdown", F.lit("")))
     first = documents.select("document", F.lit(-1).cast("long").alias("ordinal"), F.posexplode(F.array(F.concat(F.lit("# "), "title"), F.col("description"))).alias("position", "part"))
     named = chapters.join(documents, "document", "left_semi")
@@ -87,8 +91,13 @@ def bundle_parts(documents: DataFrame, chapters: DataFrame, blocks: DataFrame) -
     head = named.select("document", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode(heads).alias("position", "part"))
     own = named.select("document", "chapter", F.col("ordinal").cast("long").alias("ordinal"))
     rest = blocks.join(own, ["document", "chapter"]).select("document", "ordinal", (F.col("position") + 2).alias("position"), body.alias("part"))
-    typed = [x.select("document", "ordinal", F.col("position").cast("long").alias("position"), "part") for x in (first, head, rest)]
-    return typed[0].unionByName(typed[1]).unionByName(typed[2]).where("part is not null")
+    found = [first, head, rest]
+    if exercises is not None:
+        asked = F.array(F.concat(F.lit("### Exercise: "), "prompt"), F.nullif("solution", F.lit("")))
+        each = exercises.join(own, ["document", "chapter"]).select("document", "ordinal", F.col("position").cast("long").alias("_at"), F.posexplode(asked).alias("_k", "part"))
+        found.append(each.select("document", "ordinal", (F.col("_at") * 2 + F.col("_k") + (1 << 40)).alias("position"), "part"))
+    typed = [x.select("document", F.col("ordinal").cast("long").alias("ordinal"), F.col("position").cast("long").alias("position"), "part") for x in found]
+    return functools.reduce(DataFrame.unionByName, typed).where("part is not null")
 
 
 def markdown_bundle(documents: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
