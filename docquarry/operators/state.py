@@ -46,8 +46,8 @@ def latest(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
 def lease_replay(events: DataFrame, lease: int = 300, attempts: int = 3) -> DataFrame:
     """(step_id, seq, op, accepted, status, attempt): claims, heartbeats, completions and failures folded in order.
 
-    A live lease of another owner refuses a claim, its own owner enters again without an attempt, an expired one
-    is taken over; more than ``attempts`` fail the step. Only the holder may beat, complete or fail; a
+    A live lease of another owner refuses a claim, its own owner enters again without an attempt, an expired one of another
+    is taken over; more than ``attempts`` fail the step. Only the holder may beat, complete or fail, as long as nobody has taken over; a
     retryable failure with attempts left makes the step pending. A step's events pass by in batches.
     """
 
@@ -66,7 +66,7 @@ def lease_replay(events: DataFrame, lease: int = 300, attempts: int = 3) -> Data
 
 def lease_step(state: dict, op: str, at: int, owner: str, retryable: bool, lease: int, attempts: int) -> bool:
     """Whether a step takes an event; ``state`` (status, owner, until, attempt) becomes what it is after it."""
-    holds = state["status"] == "running" and state["owner"] == owner and state["until"] > at
+    holds = state["status"] == "running" and state["owner"] == owner  # also beyond its time, until somebody takes over
     if op == "claim" and state["status"] not in ("succeeded", "failed", "cancelled"):
         if holds:
             state["until"] = at + lease

@@ -68,7 +68,7 @@ ORACLE = {
                      CASE WHEN fresh AND r.attempt < 3 THEN e.owner WHEN e.op = 'fail' AND holds THEN '' ELSE r.owner END,
                      CASE WHEN (claims AND holds) OR (fresh AND r.attempt < 3) OR (e.op = 'heartbeat' AND holds) THEN e.at + 300 ELSE r.until END, CASE WHEN fresh THEN r.attempt + 1 ELSE r.attempt END
               FROM r JOIN (SELECT *, 1 AS one FROM e) e ON e.step_id = r.step_id AND e.i = r.i + 1,
-              LATERAL (SELECT r.status = 'running' AND r.owner = e.owner AND r.until > e.at AS holds, e.op = 'claim' AND r.status NOT IN ('succeeded', 'failed', 'cancelled') AS claims) v,
+              LATERAL (SELECT r.status = 'running' AND r.owner = e.owner AS holds, e.op = 'claim' AND r.status NOT IN ('succeeded', 'failed', 'cancelled') AS claims) v,
               LATERAL (SELECT v.claims AND NOT v.holds AND (r.status = 'pending' OR r.until <= e.at) AS fresh) w)
         SELECT step_id, seq, op, accepted, status, attempt FROM r WHERE i > 0""",
     "session_idle": """
