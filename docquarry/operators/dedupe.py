@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docquarry.functions.text import word_bigrams
+from docquarry.operators.ordered import fold
 from docquarry.sources.stage import Stage
 
 
@@ -92,10 +95,45 @@ def near_pairs(sketched: DataFrame, threshold: float = 0.85, chars: int = 200, s
     rare = _rarest(full, frequent_hashes(full), int((1 - threshold) * size + 1e-9) + 1)
     meet = lambda x, y: x.select(F.col("doc_id").alias("a"), "h").join(y.select(F.col("doc_id").alias("b"), "h"), "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     met = meet(rare, rare).unionByName(meet(first(long), first(short))).distinct()
-    one, two = (long.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
-    both = met.join(one, "a").join(two, "b")
-    enough = F.size(F.array_intersect("sa", "sb")) >= threshold * F.least(F.size("sa"), F.size("sb")) - 1e-9  # cheap, and needed for the rest
-    return both.where(enough).select("a", "b", F.when(enough, sketch_similarity(F.col("sa"), F.col("sb"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    return similar_pairs(met, long, threshold)
+
+
+def similar_pairs(pairs: DataFrame, sketched: DataFrame, threshold: float, together: int = 2048) -> DataFrame:
+    """(a, b, similarity) of the ``pairs`` (a, b) whose sketches reach ``threshold``.
+
+    Sketches travel as octets. A task gets a sketch once for up to ``together`` partners, in batches, and compares each batch in one go.
+    """
+    stage = Stage(pairs.sparkSession, "pairs")
+    packed = stage.save(sketched.select("doc_id", F.unhex(F.array_join("sketch", "")).alias("packed")), "packed")
+    pairs = stage.save(pairs, "met")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("_parts"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"))
+    centres = dealt.select("a", "part").distinct().join(packed, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "packed")
+    partners = dealt.join(packed, F.col("b") == F.col("doc_id")).select("a", "part", F.lit(1).alias("role"), "b", "packed")
+
+    def step(state: dict, rows: pa.RecordBatch) -> list[dict]:
+        octets = rows.column("packed").to_pylist()
+        if rows.column("role")[0].as_py() == 0:
+            state["own"], rows, octets = np.frombuffer(octets[0], ">u8").astype(np.uint64), rows.slice(1), octets[1:]
+        if not octets:
+            return []
+        own, sizes = state["own"], np.array([len(o) // 8 for o in octets])
+        other = np.frombuffer(b"".join(octets), ">u8").astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        at = np.searchsorted(own, other)
+        shared = own[np.minimum(at, len(own) - 1)] == other
+        before = np.cumsum(shared) - shared
+        within = np.arange(len(other)) - np.repeat(starts, sizes)
+        # a shared hash's place in the union of both: what is below it in one and in the other, shared ones counted once
+        place = at + within - (before - np.repeat(before[starts], sizes))
+        m = np.minimum(sizes, len(own))
+        similarity = np.add.reduceat((shared & (place < np.repeat(m, sizes))).astype(np.int64), starts) / m
+        good = np.flatnonzero(similarity >= threshold)
+        return [{"b": b, "similarity": x} for b, x in zip(rows.column("b").take(pa.array(good)).to_pylist(), similarity[good].tolist())]
+
+    schema = StructType([StructField("b", dict((f.name, f.dataType) for f in pairs.schema)["b"]), StructField("similarity", DoubleType())])
+    found = fold(centres.unionByName(partners), ["a", "part"], ["role", "b"], dict, step, lambda state: [], schema)
+    return found.select("a", "b", "similarity")
 
 
 def first_come(pairs: DataFrame, stage: Stage) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docquarry.operators import code
+from docquarry.sources.stage import Stage
 from docquarry.sources.tables import table
 
 _SOURCES = r"""array(
@@ -12,7 +13,8 @@ _SOURCES = r"""array(
 
 
 def _parsed(spark, sf_dir):
-    return code.analysed(table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr(f"inline({_SOURCES})"))
+    """Parsed once and written, as imports and calls read it several times."""
+    return Stage(spark, "python").save(code.analysed(table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr(f"inline({_SOURCES})")), "parsed")
 
 
 QUERIES = {
