@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import minhash, mixing, packing, quality, queries, secret_scan
-from docquarry.llm.tables import Scratch, unused
+from docquarry.llm.tables import Scratch, sifted, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Of repeated rows of one doc_id one stays. Rows without doc_id stay, as do null and empty texts, which are like nothing.
     Extra columns don't matter. An empty table stays empty.
     """
-    name = unused("gone", docs)
-    verdicts = Scratch(spark, "pipeline-dedup").save(minhash.near_duplicates(docs, minhash.MinHashParameters()), "verdicts")
+    name, maybe = unused("gone", docs), unused("maybe", docs)
+    scratch = Scratch(spark, "pipeline-dedup")
+    verdicts = scratch.save(minhash.near_duplicates(docs, minhash.MinHashParameters()), "verdicts")
     gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    gone = scratch.save(gone, "gone")
+    marked = sifted(docs, "doc_id", gone, maybe)
+    doubtful = marked.where(F.col(maybe)).drop(maybe).join(gone.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")
+    left = marked.where(~F.col(maybe)).drop(maybe).unionByName(doubtful)
     repeated = verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     if repeated.isEmpty():
         return left

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.components import components
 from docquarry.llm.groups import binary_matrix, whole_groups
 from docquarry.llm.shingles import mix, shingle_sets
-from docquarry.llm.tables import Scratch, short_batches
+from docquarry.llm.tables import Scratch, short_batches, sifted
 
 
 @dataclass(frozen=True)
@@ -176,8 +176,8 @@ def _estimated(pairs: DataFrame, sets: DataFrame, p: MinHashParameters) -> DataF
 def _sets(docs: DataFrame, asked: DataFrame, p: MinHashParameters, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, registers, sorted distinct shingle hashes) of the documents in ``asked`` (_id).
 
-    The texts meet ``asked`` in a shuffle at every size: it is no table that may be broadcast. An id with several
-    texts has a row for each.
+    Texts that may be asked for meet ``asked`` in a shuffle, at every size; a table of bits sifts out most of the others
+    before. An id with several texts has a row for each.
     """
 
     def run(batches):
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, asked: DataFrame, p: MinHashParameters, id_col: str,
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "registers", "hashes"]).filter(full)
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    own = texts.join(asked.hint("merge"), "_id", "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_id", "_hash"]).drop("_hash")
+    own = sifted(texts, "_id", asked, "_maybe").where("_maybe").drop("_maybe").join(asked.hint("merge"), "_id", "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_id", "_hash"]).drop("_hash")
     return own.mapInArrow(run, "doc_id long, n_shingles long, registers binary, hashes binary")
 
 

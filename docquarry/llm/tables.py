@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +41,24 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+#: 64-bit words of ``sifted``'s bits: a broadcast of at most so many rows, whatever the number of ids.
+SIFT_WORDS = 1 << 19
+
+
+def sifted(rows: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only if ``key`` is certainly not in ``ids`` (one column).
+
+    One bit for each hash of an id, in a table that is bounded by ``SIFT_WORDS`` and so may be broadcast; rows that are not flagged
+    need no shuffle to meet ``ids``. With very many ids all bits are set and every row is flagged: it then saves nothing and loses nothing.
+    """
+    place, word, bits = (unused(n, rows) for n in ("_place", "_word", "_bits"))
+    at = lambda c: F.pmod(F.xxhash64(c, F.lit(31)), F.lit(64 * SIFT_WORDS))
+    mask = F.expr(f"shiftleft(1L, cast(`{place}` % 64 as int))")
+    held = ids.select(at(F.col(ids.columns[0])).alias(place)).groupBy(F.floor(F.col(place) / 64).alias(word)).agg(F.bit_or(mask).alias(bits))
+    joined = rows.withColumn(place, at(F.col(f"`{key}`"))).join(F.broadcast(held), F.floor(F.col(place) / 64) == F.col(word), "left")
+    return joined.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(mask) != 0, F.lit(False))).drop(place, word, bits)
+
+
 class Scratch:
     """Named tables of one run of an operator, below the shared folder."""
 
