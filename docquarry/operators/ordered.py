@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -84,6 +85,63 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict
     return joined.select(*df.columns, *((F.col(n) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))).alias(n) for n in names))
 
 
+def running_last(df: DataFrame, group: list[str], order: list[str], column: str, into: str, stage: Stage, label: str = "last") -> DataFrame:
+    """``df`` with ``into``: the last value of ``column`` that isn't null, up to and with the row, in ``order`` within its group.
+
+    Dealt and carried over as in ``running_sums``: ranges are filled on their own and written, then the first group of a range takes
+    what ranges before it ended with. A group of any size lies in many tasks.
+    """
+    schema = StructType([*df.schema.fields, StructField(into, df.schema[column].dataType), StructField("_part", IntegerType()), StructField("_head", BooleanType()), StructField("_row", LongType())])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, groups, rows, held = TaskContext.get().partitionId(), None, 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            first = _changes(batch, before, group)
+            values = batch.column(column)
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            # place 0 is what the group before the batch had; a group that begins here has nothing yet
+            at = np.where(known, np.arange(1, n + 1), 0)
+            starts = np.flatnonzero(first)
+            floor = np.zeros(n, np.int64)
+            floor[starts] = starts + 1
+            floor, at = np.maximum.accumulate(floor), np.maximum.accumulate(at)
+            found = np.where((at >= floor) & (at > 0), at, np.where(floor == 0, 0, -1))
+            held = pa.nulls(1, values.type) if held is None else held
+            last = pa.concat_arrays([held, values]).take(pa.array(found, mask=found < 0))
+            number = groups + np.cumsum(first)
+            extra = [last, pa.array(np.full(n, part, np.int32)), pa.array(number == 1), pa.array(np.arange(rows, rows + n))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, into, "_part", "_head", "_row"])
+            groups, rows, held = int(number[-1]), rows + n, last.slice(n - 1)
+            before = batch.slice(n - 1).select(group)
+
+    keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    stored = stage.save(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), label)
+    ends = stored.groupBy("_part", "_head", *group).agg(F.max_by(into, "_row").alias("_end"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(F.col("_part").alias("_p"), F.col("_head").alias("_h"), F.last("_end", ignorenulls=True).over(earlier).alias("_carry")).where(F.col("_h") & F.col("_carry").isNotNull())
+    # at most one row a partition
+    joined = stored.join(F.broadcast(carry.drop("_h")), F.col("_head") & (F.col("_part") == F.col("_p")), "left")
+    return joined.select(*df.columns, F.coalesce(into, "_carry").alias(into))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], stage: Stage) -> DataFrame:
+    """``left`` with ``columns`` of the latest row of ``right`` with equal ``by`` and a time not after its own; null if there is none.
+
+    Both sides lie in one order of (by, time), and each row takes the last one of ``right`` before it, so neither a key's rows nor its times
+    meet in one task. Of rows of ``right`` with one key and time the one with the greatest ``columns`` counts. A null key or time has no match.
+    """
+    kept, value = F.struct(*(F.col(f"`{c}`") for c in left.columns)), F.struct(*(F.col(f"`{c}`") for c in columns))
+    known = lambda time: functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, time)])
+    lefts = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_value"), kept.alias("_left"), F.monotonically_increasing_id().alias("_id"))
+    rights = right.where(known(right_time)).select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), value.alias("_value"), F.lit(None).cast(lefts.schema["_left"].dataType).alias("_left"), F.lit(0).cast("long").alias("_id"))
+    found = running_last(rights.unionByName(lefts), by, ["_t", "_side", "_value", "_id"], "_value", "_last", stage)
+    return found.where("_side = 1").select("_left.*", *(F.when(known("_t"), F.col(f"_last.{c}")).alias(c) for c in columns))
+
+
 def fold(df: DataFrame, group: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, pa.RecordBatch], list[dict]], finish: Callable[[Any], list[dict]], schema: StructType) -> DataFrame:
     """Rows that ``step`` and ``finish`` return while a group's rows pass by in ``order``; ``schema`` is without ``group``.
 

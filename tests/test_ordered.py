@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docquarry.operators import search, state
-from docquarry.operators.ordered import fold, running_sums
+from docquarry.operators.ordered import asof_join, fold, running_sums
 from docquarry.sources.stage import Stage
 
 
@@ -69,3 +69,18 @@ def test_a_snapshot_and_a_step_of_many_rows(spark):
     events = spark.range(n, numPartitions=6).selectExpr("1L as step_id", "id as seq", "id as at", "'w' as owner", "if(id = 0, 'claim', 'heartbeat') as op", "true as retryable")
     out = state.lease_replay(events).agg(F.bool_and("accepted"), F.max("attempt"), F.count(F.lit(1))).first()
     assert tuple(out) == (True, 1, n)
+
+
+def test_asof_join(spark):
+    rng = random.Random(3)
+    prices = [(rng.choice(["a", "a", "a", "b", None]), at, at * 10) for at in rng.sample(range(2000), 400)] + [("a", None, 1)]
+    calls = [(k, rng.choice(["a", "a", "b", "c", None]), rng.choice([None, *range(0, 2100, 3)])) for k in range(3000)]
+    left, right = spark.createDataFrame(calls, "call int, k string, at int").repartition(6), spark.createDataFrame(prices, "k string, since int, price int").repartition(3)
+    found = asof_join(left, right, ["k"], "at", "since", ["since", "price"], Stage(spark, "test")).collect()
+    want = []
+    for call, k, at in calls:
+        best = max(((s, p) for key, s, p in prices if key == k and k is not None and s is not None and at is not None and s <= at), default=(None, None))
+        want.append((call, k, at, *best))
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    assert asof_join(left, right.limit(0), ["k"], "at", "since", ["price"], Stage(spark, "test")).where("price is null").count() == 3000
+    assert asof_join(left.limit(0), right, ["k"], "at", "since", ["price"], Stage(spark, "test")).count() == 0
