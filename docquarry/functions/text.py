@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -87,6 +88,12 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in text.to_pylist()], pa.string())
 
 
+def heading_slug(heading: str) -> str:
+    """``slug`` of one heading, for what runs in Python."""
+    kept = re.sub(r"[^\w\s-]", "", unicodedata.normalize("NFKC", heading).strip().lower())
+    return re.sub(r"[\s_-]+", "-", kept).strip("-") or "section"
+
+
 def slug(heading: Column) -> Column:
     """NFKC, lower case, marks dropped, runs of blanks, underscores and hyphens as one hyphen; ``section`` if nothing is left."""
     kept = F.regexp_replace(F.lower(F.trim(nfkc(heading))), r"(?U)[^\w\s-]", "")

@@ -65,14 +65,27 @@ def _lines(spark, sf_dir):
     return chunks.line_windows(table(spark, sf_dir, "documents"), 3)
 
 
+#: Sections in order: before the first heading, with a fence that holds a whole text, twice the same, below it, and a bare heading.
+_PARTS = ["concat('intro ', doc_id, chr(10), chr(10))", "concat('# Title ', lang, chr(10), '```', chr(10), text, chr(10), '```', chr(10))", "concat('## Same', chr(10), 'x y ', doc_id, chr(10))", "concat('## Same ##', chr(10))", "concat('### Deep ', source, chr(10), '~~~', chr(10), '# no heading', chr(10), '~~~', chr(10))", "concat('# Last', chr(10))"]
+_BOOK = f"concat({', '.join(_PARTS)})"
+_FILES = f"SELECT doc_id, concat('d/', doc_id, CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.MD' END) AS path, CASE WHEN doc_id % 3 = 0 THEN text ELSE {_BOOK} END AS text FROM documents WHERE text IS NOT NULL"
+
+
 def _sections(spark, sf_dir):
-    """No SQL form: the chunker keeps fences whole; tests hold it to its rules."""
-    found = chunks.markdown_chunks(table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_MARKDOWN} AS text"))
-    return found.select("doc_id", "ordinal", "heading_path", "char_start", "char_end", "token_count", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    found = chunks.markdown_chunks(table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", f"{_BOOK} AS text"))
+    return found.select("doc_id", "ordinal", "heading", "heading_path", "anchor", "char_start", "char_end", "token_count", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def _routed(spark, sf_dir):
+    """Both chunkers from SQL, by path."""
+    chunks.register_file_chunks(spark)
+    files = spark.sql(_FILES.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql("SELECT f.path, c.* FROM {files} f, LATERAL file_chunks(f.path, f.text, false) c", files=files)
 
 
 QUERIES = {
     "chunk_markdown": _sections,
+    "chunk_files": _routed,
     "shingles": _shingles,
     "minhash_bottomk": _bottomk,
     "query_terms": _terms,
@@ -88,6 +101,16 @@ _GRAMS = r"""
     w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
     g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w)"""
 
+_SECTIONED = f"""
+    p AS (SELECT doc_id, lang, source, [{', '.join(_PARTS)}] AS s FROM ({{source}})),
+    x AS (SELECT doc_id, lang, source, array_to_string(s, '') AS whole, generate_subscripts(s, 1) AS i, unnest(s) AS part FROM p),
+    y AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_start FROM x),
+    z AS (SELECT *, (char_start + length(part) - 1)::INT AS char_end FROM y),
+    t AS (SELECT doc_id, (i - 1)::INT AS ordinal, ['', 'Title ' || lang, 'Same', 'Same', 'Deep ' || source, 'Last'][i] AS heading,
+          ['', 'Title ' || lang, 'Title ' || lang || ' > Same', 'Title ' || lang || ' > Same', 'Title ' || lang || ' > Same > Deep ' || source, 'Last'][i] AS heading_path,
+          ['section', 'title-' || lang, 'same', 'same-2', 'deep-' || source, 'last'][i] AS anchor, char_start, char_end, trim(part, chr(10) || ' ') AS body,
+          (char_start - length(replace(substring(whole, 1, char_start), chr(10), '')) + 1)::INT AS first, (char_end - 1 - length(replace(substring(whole, 1, char_end - 1), chr(10), '')) + 1)::INT AS last FROM z)"""
+
 ORACLE = {
     "shingles": f"WITH {_GRAMS} SELECT doc_id, len(g)::INT AS n_shingles, sha256(array_to_string(list_sort(g), '|')) AS digest FROM g",
     "minhash_bottomk": f"""WITH {_GRAMS}, k AS (SELECT doc_id, list_sort(list_transform(g, lambda s: substring(sha256(s), 1, 16)))[1:256] AS k FROM g)
@@ -117,6 +140,18 @@ ORACLE = {
         h AS (SELECT doc_id, list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^ {{0,3}}#{{1,6}}\s+', ''), '^\s*(-|\*|\+|[0-9]+\.)\s+', '')) AS l FROM k),
         t AS (SELECT doc_id, trim(array_to_string(list_transform(l, lambda x: rtrim(translate(regexp_replace(x, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '*_`', ''), ' ' || chr(9))), chr(10)), ' ' || chr(9) || chr(10)) AS t FROM h)
         SELECT doc_id, sha256(t) AS digest, length(t)::INT AS n_chars FROM t""",
+    "chunk_markdown": rf"""
+        WITH {_SECTIONED.format(source="SELECT doc_id, lang, source, text FROM documents WHERE text IS NOT NULL")}
+        SELECT doc_id, ordinal, heading, heading_path, anchor, char_start, char_end, len(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+'))::INT AS token_count, sha256(body) AS sha256 FROM t""",
+    "chunk_files": rf"""
+        WITH {_SECTIONED.format(source="SELECT doc_id, lang, source, text FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0")},
+        c AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) - ends_with(text, chr(10))::INT AS n FROM documents WHERE doc_id % 3 = 0 AND text <> ''),
+        w AS (SELECT doc_id, unnest(range(0, n, 60)) AS low, l, n, text FROM c),
+        b AS (SELECT doc_id, low, least(low + 60, n) AS high, array_to_string(l[low + 1:least(low + 60, n)], chr(10)) || CASE WHEN low + 60 < n OR ends_with(text, chr(10)) THEN chr(10) ELSE '' END AS body FROM w),
+        k AS (SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS at1 FROM b)
+        SELECT 'd/' || doc_id || '.MD' AS path, ordinal, 'L' || first || '-L' || last AS anchor, CASE WHEN heading_path = '' THEN 'd/' || doc_id || '.MD' ELSE heading_path END AS heading_path, char_start, char_end,
+               len(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+'))::INT AS token_count, sha256(body) AS sha256, first AS start_line, last AS end_line FROM t
+        UNION ALL SELECT 'd/' || doc_id || '.py', (low // 60)::INT, 'L' || (low + 1) || '-L' || high, 'd/' || doc_id || '.py', at1, (at1 + length(body))::INT, len(list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> ''))::INT, sha256(body), (low + 1)::INT, high::INT FROM k""",
     "chunk_lines": r"""
         WITH l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line, len(l) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
         g AS (SELECT doc_id, (i // 3)::INT AS ordinal, min(i) AS low, max(i) AS high, string_agg(line, chr(10) ORDER BY i) AS body, max(n) AS n FROM l GROUP BY ALL)

@@ -41,8 +41,28 @@ def test_markdown_chunks(spark):
     found = chunks.markdown_chunks(spark.createDataFrame([(1, body), (2, None), (3, "")], "doc_id long, text string"), 400).collect()
     assert {r.doc_id for r in found} == {1}
     assert [r.heading_path for r in found][:4] == ["", "A", "A > B", "A"]
-    assert all(body[r.char_start : r.char_end] == r.text and len(r.text) <= 400 for r in found)
-    assert "".join(r.text for r in found).replace("\n", "") == body.replace("\n", "")
+    assert all(body[r.char_start : r.char_end].strip() == r.text and len(r.text) <= 400 for r in found)
+    assert "".join("".join(r.text for r in found).split()) == "".join(body.split())
+    assert [r.anchor for r in found][:6] == ["section", "a", "b", "a-2", "a-3", "a-4"]
+
+
+def test_long_blocks_are_cut_at_blanks_and_fences_stay_whole(spark):
+    fence = "```\n" + "code line\n\n" * 30 + "```"
+    body = "# H ##\n\nshort one\n\nshort two\n\n" + fence + "\n\n" + "word " * 40 + "\n\n" + "x" * 130 + "\n\nend"
+    found = chunks.markdown_chunks(spark.createDataFrame([(1, body)], "doc_id long, text string"), 60).collect()
+    texts = [r.text for r in found]
+    assert texts[0] == "# H ##\n\nshort one\n\nshort two" and texts[1] == fence and {r.heading for r in found} == {"H"}
+    assert all(len(t) <= 60 for t in texts[2:])
+    assert "".join("".join(texts).split()) == "".join(body.split())
+
+
+def test_files_are_chunked_from_sql_by_their_path(spark):
+    chunks.register_file_chunks(spark)
+    files = spark.createDataFrame([("a/read.me.md", "one\n# T\ntwo\n"), ("b.py", "x = 1\n" * 61), ("noext", ""), (None, None)], "path string, text string")
+    rows = spark.sql("SELECT path, c.* FROM {f}, LATERAL file_chunks(path, text) c", f=files).collect()
+    assert [(r.path, r.ordinal, r.anchor, r.heading_path, r.chunk) for r in rows if r.path != "b.py"] == [("a/read.me.md", 0, "L1-L1", "a/read.me.md", "one"), ("a/read.me.md", 1, "L2-L3", "T", "# T\ntwo")]
+    assert [(r.anchor, r.char_start, r.char_end, r.token_count) for r in rows if r.path == "b.py"] == [("L1-L60", 0, 360, 180), ("L61-L61", 360, 366, 3)]
+    assert "chunk" not in spark.sql("SELECT c.* FROM {f}, LATERAL file_chunks(path, text, false) c", f=files).columns
 
 
 def test_addresses():
