@@ -57,14 +57,20 @@ def diagram_faults(kind: Column, nodes: Column, edges: Column, max_nodes: int =
     return F.filter(F.array(*(F.when(holds, F.lit(name)) for name, holds in rules)), lambda x: x.isNotNull())
 
 
+#: Lines that react to clicks, addresses that run code, and what opens a setting.
+INTERACTION = r"(?i)^\s*(click|callback)\s+\S"
+UNSAFE_ADDRESS = r"(?i)(javascript|vbscript|data)\s*:"
+SETTING_OPENS = r"%%\{\s*(?:init|initialize)\s*:"
+
+
 def source_guard(df: DataFrame, source: str = "source", max_bytes: int = 64 * 1024, max_lines: int = 2000) -> DataFrame:
     """Adds code and line: the first reason not to draw a source, nulls if there is none; nothing is shuffled."""
     s = F.col(source)
     lines = F.split(s, r"\r?\n")
     keys = "|".join(FORBIDDEN_KEYS)
-    setting = rf"(?is)%%\{{\s*(?:init|initialize)\s*:(?:(?!\}}%%).)*?[\"']?(?:{keys})[\"']?\s*:"
+    setting = rf"(?is){SETTING_OPENS}(?:(?!\}}%%).)*?[\"']?(?:{keys})[\"']?\s*:"
     tag = rf"(?i)<\s*/?\s*({'|'.join(DANGEROUS_TAGS)})\b"
-    fault = lambda x: F.when(x.rlike(r"(?i)^\s*(click|callback)\s+\S"), "interaction").when(x.rlike(tag), "raw_html").when(x.rlike(r"(?i)(javascript|vbscript|data)\s*:"), "unsafe_url")
+    fault = lambda x: F.when(x.rlike(INTERACTION), "interaction").when(x.rlike(tag), "raw_html").when(x.rlike(UNSAFE_ADDRESS), "unsafe_url")
     found = F.get(F.filter(F.transform(lines, lambda x, i: F.struct(fault(x).alias("code"), (i + 1).alias("line"))), lambda x: x["code"].isNotNull()), F.lit(0))
     unsafe = s.rlike(setting)
     ahead = F.substring_index(F.lower(F.regexp_replace(s, setting, "\u0001")), "\u0001", 1)

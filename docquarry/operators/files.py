@@ -11,17 +11,35 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import bound
 
 #: Path parts and names that are left out.
-GENERATED_DIRECTORIES = ".cache .git .gradle .idea .mypy_cache .next .nuxt .parcel-cache .pytest_cache .ruff_cache .svelte-kit .terraform .tox .venv __pycache__ bower_components build coverage dist htmlcov jspm_packages node_modules obj out site-packages target venv".split()
-VENDORED_DIRECTORIES = "vendor vendored third_party thirdparty 3rdparty pods external".split()
-GENERATED_NAMES = "cargo.lock composer.lock gemfile.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock uv.lock yarn.lock".split()
-GENERATED_SUFFIXES = ".min.js .min.css .js.map .css.map .bundle.js .generated.ts _pb2.py".split()
-SECRET_NAMES = ".dockercfg .git-credentials .htpasswd .netrc .npmrc .pgpass .pypirc credentials credentials.json id_dsa id_ecdsa id_ed25519 id_rsa secrets.json secrets.yaml secrets.yml".split()
-SECRET_EXTENSIONS = ".pem .key .p12 .pfx .jks .keystore .ppk .kdbx".split()
-TEMPLATE_SUFFIXES = ".example .sample .template .dist .defaults".split()
+GENERATED_DIRECTORIES = (
+    ".cache", ".git", ".gradle", ".idea", ".mypy_cache", ".next", ".nuxt", ".parcel-cache", ".pytest_cache", ".ruff_cache", ".svelte-kit", ".terraform", ".tox", ".venv", "__pycache__",
+    "bower_components", "build", "coverage", "dist", "htmlcov", "jspm_packages", "node_modules", "obj", "out", "site-packages", "target", "venv",
+)
+VENDORED_DIRECTORIES = (
+    "vendor", "vendored", "third_party", "thirdparty", "3rdparty", "pods", "external",
+)
+GENERATED_NAMES = (
+    "cargo.lock", "composer.lock", "gemfile.lock", "go.sum", "package-lock.json", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "yarn.lock",
+)
+GENERATED_SUFFIXES = (
+    ".min.js", ".min.css", ".js.map", ".css.map", ".bundle.js", ".generated.ts", "_pb2.py",
+)
+SECRET_NAMES = (
+    ".dockercfg", ".git-credentials", ".htpasswd", ".netrc", ".npmrc", ".pgpass", ".pypirc", "credentials", "credentials.json", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa",
+    "secrets.json", "secrets.yaml", "secrets.yml",
+)
+SECRET_EXTENSIONS = (
+    ".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".ppk", ".kdbx",
+)
+TEMPLATE_SUFFIXES = (
+    ".example", ".sample", ".template", ".dist", ".defaults",
+)
 BINARY_EXTENSIONS = (
-    ".7z .a .ai .apk .avi .bin .bmp .bz2 .class .ckpt .dat .db .dll .dmg .doc .docx .dylib .eot .exe .fig .flac .gif .gz .h5 .ico .img .iso .jar .jpeg .jpg .mdb .mkv .mov .mp3 .mp4 .npy .npz .o .obj .ogg "
-    ".onnx .otf .pb .pdb .pdf .png .ppt .pptx .psd .pt .pth .pyc .pyd .pyo .rar .safetensors .sketch .so .sqlite .sqlite3 .tar .tgz .ttf .war .wasm .wav .webm .webp .whl .woff .woff2 .xls .xlsx .xz .zip"
-).split()
+    ".7z", ".a", ".ai", ".apk", ".avi", ".bin", ".bmp", ".bz2", ".class", ".ckpt", ".dat", ".db", ".dll", ".dmg", ".doc", ".docx", ".dylib", ".eot", ".exe", ".fig", ".flac", ".gif",
+    ".gz", ".h5", ".ico", ".img", ".iso", ".jar", ".jpeg", ".jpg", ".mdb", ".mkv", ".mov", ".mp3", ".mp4", ".npy", ".npz", ".o", ".obj", ".ogg", ".onnx", ".otf", ".pb", ".pdb", ".pdf",
+    ".png", ".ppt", ".pptx", ".psd", ".pt", ".pth", ".pyc", ".pyd", ".pyo", ".rar", ".safetensors", ".sketch", ".so", ".sqlite", ".sqlite3", ".tar", ".tgz", ".ttf", ".war", ".wasm",
+    ".wav", ".webm", ".webp", ".whl", ".woff", ".woff2", ".xls", ".xlsx", ".xz", ".zip",
+)
 METADATA_ADDRESSES = ("169.254.169.254", "169.254.169.253", "169.254.170.2", "169.254.170.23", "100.100.100.200", "fd00:ec2::254")
 
 
