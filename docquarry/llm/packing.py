@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-Bulk-synchronous best-fit: documents and gaps are sorted by size, each size class of documents is matched with
-the smallest gaps that hold it, ranks say which document takes which gap, the gaps shrink, and the next
-class follows. Sizes are whole numbers up to the sequence length, so the sorted documents and gaps are kept
+Best-fit over run-length encoded sizes, in place of distributed bulk-synchronous sweeps (README gives figures of both):
+documents and gaps are sorted by size, each size class of documents is matched with the smallest gaps that hold it, ranks say
+which document takes which gap, the gaps shrink, and the next class follows. Sizes are whole numbers up to the sequence length, so the sorted documents and gaps are kept
 run-length encoded: a run is a size and an interval of ranks. The sweep's state is thus bounded by the
 sequence length, however many documents there are; documents learn their run and place in one pass.
 """
