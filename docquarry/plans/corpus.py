@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import query_terms
 from docquarry.operators import corpus, postings
+from docquarry.sources.keyed import KeyedTable
 from docquarry.sources.stage import Stage
 from docquarry.sources.tables import table
 
@@ -126,6 +127,18 @@ def _runs(spark, sf_dir):
     return corpus.ordered(orders, "project_id", [F.desc("at"), F.desc("run_id")]).select("project_id", "position", "run_id")
 
 
+_CHANGES = "SELECT l_suppkey % 50 AS project_id, l_partkey % 200 AS user_id, l_returnflag AS role, l_orderkey * 10 + l_linenumber AS seq, l_linestatus = 'F' AND l_quantity < 20 AS removed, l_orderkey % 3 AS batch FROM lineitem"
+
+
+def _keyed(spark, sf_dir):
+    """Memberships after three batches of writes and deletes, each of which rewrites the buckets that it touches."""
+    members = KeyedTable(spark, Stage(spark, "members").folder + "/table", "project_id long, user_id long, role string", ["project_id", "user_id"], 8)
+    changes = _sql(spark, sf_dir, _CHANGES)
+    for batch in range(3):
+        members.apply(changes.where(F.col("batch") == batch), "seq", "removed")
+    return members.rows()
+
+
 def _index(spark, sf_dir):
     """An index of all documents, with their ids in CJK numerals, as a word without breaks, at the end of the texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.translate(F.col("doc_id").cast("string"), "0123456789", _NUMERALS)).alias("body"))
@@ -142,6 +155,7 @@ QUERIES = {
     "chunk_search": _chunks,
     "symbol_search": _symbols,
     "fulltext_bm25": lambda spark, sf_dir: postings.search(_index(spark, sf_dir), _WORDS, limit=50),
+    "keyed_updates": _keyed,
     "fulltext_cjk": lambda spark, sf_dir: postings.search(_index(spark, sf_dir), _PARTS, limit=50),
     "fulltext_many": _many,
     "corpus_symbols": _corpus_lists,
@@ -200,6 +214,8 @@ ORACLE = {
         WITH d AS ({_D}), y AS ({_S}), j AS (SELECT y.*, d.path, d.snapshot_id, {_score(['ring', 'economy', '#1'], *_COLUMNS)} AS s FROM y JOIN d ON y.document_id = d.id WHERE y.project_id = 'src4')
         SELECT 'code_symbol' AS kind, id, s * 2.0::DOUBLE AS score, snapshot_id, path || '#L' || start_line || '-L' || end_line AS locator, qualified_name AS title, {_excerpt("coalesce(signature, '')")} AS excerpt FROM j WHERE s > 0 ORDER BY s DESC, id LIMIT 25""",
     "fulltext_bm25": rf"""{_scores(_WORDS)}""",
+    "keyed_updates": f"""
+        WITH c AS ({_CHANGES}) SELECT project_id, user_id, role FROM c QUALIFY row_number() OVER (PARTITION BY project_id, user_id ORDER BY batch DESC, seq DESC, removed, role DESC) = 1 AND NOT removed""",
     "fulltext_cjk": rf"""{_scores(_PARTS)}""",
     "fulltext_many": rf"""
         WITH w AS ({_BODIES}), g AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM w), c AS (SELECT id, len(w) AS n, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM w) GROUP BY ALL),
