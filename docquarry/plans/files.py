@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators import files
+from docquarry.operators import files, trees
 from docquarry.sources.tables import table
 
 _ENTRIES = """
@@ -50,7 +53,46 @@ def _addresses(spark, sf_dir):
     return files.address_classes(_of(_ADDRESSES, "lineitem")(spark, sf_dir)).select("id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-QUERIES = {"file_filter": _filter, "repo_ref_parse": _specs, "citation_parse": _citations, "ip_classify": _addresses}
+#: Folders of the made repositories: five below the root, four in each, and files in both kinds; odd kinds among them.
+_LEAF = "CASE WHEN p_partkey % 13 = 0 THEN 'symlink' WHEN p_partkey % 17 = 0 THEN 'submodule' ELSE 'blob' END"
+_A, _B = "CAST(floor(p_partkey / 5) AS BIGINT) % 5", "CAST(floor(p_partkey / 25) AS BIGINT) % 4"
+_ENTRIES = f"""SELECT DISTINCT p_partkey % 5 AS repo, 'root' AS sha, false AS recursive, 10 - {_A} AS ordinal, concat('d', {_A}) AS path, 'tree' AS kind, concat('d', {_A}) AS child, 0 AS size FROM {{part}}
+    UNION ALL SELECT DISTINCT p_partkey % 5, concat('d', {_A}), false, {_B}, concat('e', {_B}), 'tree', concat('d', {_A}, 'e', {_B}), 0 FROM {{part}}
+    UNION ALL SELECT p_partkey % 5, concat('d', {_A}, 'e', {_B}), false, p_partkey, concat('f', p_partkey, '.py'), {_LEAF}, concat('s', p_partkey), p_size FROM {{part}}
+    UNION ALL SELECT p_partkey % 5, concat('d', {_A}), false, 10 + p_partkey, concat('g', p_partkey), {_LEAF}, concat('t', p_partkey), p_size FROM {{part}} WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey % 5, 'root', true, p_partkey, concat('d', {_A}, '/e', {_B}, '/f', p_partkey, '.py'), {_LEAF}, concat('s', p_partkey), p_size FROM {{part}} WHERE p_partkey % 5 < 2"""
+_LISTINGS = "SELECT DISTINCT p_partkey % 5 AS repo, 'root' AS sha, true AS recursive, p_partkey % 5 >= 2 AS truncated FROM {part} UNION ALL SELECT 4, 'd3', false, true"
+#: (requests, files, depth): walks that are whole, and walks that spend their requests or meet the bounds on files and depth.
+_LIMITS = ((400, 5_000_000, 24), (12, 150, 1))
+
+
+def _trees(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    out = []
+    for n, (requests, most, depth) in enumerate(_LIMITS):
+        found, report = trees.repository_files(spark.sql(_LISTINGS, part=part), spark.sql(_ENTRIES, part=part), requests, most, depth)
+        lists = found.groupBy("repo").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]), ",").cast("binary"), 256).alias("paths"))
+        out.append(report.join(lists, "repo", "left").withColumn("limits", F.lit(n)))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _trees_sql(n, requests, most, depth):
+    return f"""SELECT * FROM (WITH RECURSIVE l AS ({_LISTINGS.format(part="part")}), e AS ({_ENTRIES.format(part="part")}), a AS (SELECT repo, truncated AS cut FROM l WHERE recursive),
+        w AS (SELECT repo, 'root' AS sha, '' AS prefix, 0 AS depth, []::BIGINT[] AS way FROM a WHERE cut
+              UNION ALL SELECT w.repo, e.child, prefix || e.path || '/', depth + 1, list_append(way, e.ordinal) FROM w JOIN e ON e.repo = w.repo AND e.sha = w.sha AND NOT e.recursive AND e.kind = 'tree'),
+        o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY depth, way) AS k FROM w WHERE depth <= {depth}), v AS (SELECT * FROM o WHERE k <= {requests} - 1),
+        f AS (SELECT v.repo, v.k, e.ordinal, prefix || e.path AS path, e.kind FROM v JOIN e ON e.repo = v.repo AND e.sha = v.sha AND NOT e.recursive
+              UNION ALL SELECT e.repo, 0, e.ordinal, e.path, e.kind FROM e JOIN a ON a.repo = e.repo AND NOT a.cut WHERE e.recursive),
+        b AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY k, ordinal) AS p FROM f WHERE kind = 'blob'),
+        m AS (SELECT repo FROM w WHERE depth > {depth} UNION SELECT repo FROM o WHERE k > {requests} - 1 UNION SELECT repo FROM b WHERE p > {most} UNION SELECT v.repo FROM v JOIN l ON l.repo = v.repo AND l.sha = v.sha AND NOT l.recursive AND l.truncated),
+        c AS (SELECT repo, count(*) FILTER (kind = 'submodule') AS submodules, count(*) FILTER (kind = 'symlink') AS symlinks FROM f GROUP BY repo),
+        p AS (SELECT repo, count(*) AS files, sha256(string_agg(path, ',' ORDER BY p)) AS paths FROM b WHERE p <= {most} GROUP BY repo),
+        n AS (SELECT repo, count(*) AS spent FROM v GROUP BY repo)
+        SELECT a.repo, coalesce(spent, 0) + 1 AS requests, files, submodules, symlinks, a.repo IN (SELECT repo FROM m) AS truncated, cut AND a.repo NOT IN (SELECT repo FROM m) AS recovered, paths, {n} AS limits
+        FROM a JOIN c USING (repo) JOIN p USING (repo) LEFT JOIN n USING (repo))"""
+
+
+QUERIES = {"repository_tree": _trees, "file_filter": _filter, "repo_ref_parse": _specs, "citation_parse": _citations, "ip_classify": _addresses}
 
 
 def _in(values) -> str:
@@ -62,6 +104,7 @@ def _ends(column: str, values) -> str:
 
 
 ORACLE = {
+    "repository_tree": " UNION ALL ".join(_trees_sql(n, *limits) for n, limits in enumerate(_LIMITS)),
     "file_filter": f"""
         WITH e AS ({_ENTRIES}), s AS (SELECT *, string_split(lower(path), '/') AS p FROM e), n AS (SELECT *, p[-1] AS name, p[1:-2] AS dirs, regexp_extract(p[-1], '^.+(\\.[^.]*)$', 1) AS ext FROM s)
         SELECT id, CASE WHEN mode = '160000' THEN 'submodule' WHEN mode = '120000' THEN 'symlink'
