@@ -246,6 +246,13 @@ def admission(candidates: DataFrame, max_depth: int = 3, max_frontier: int = 500
     return out.unionByName(judged.where(F.col("_reason").isNotNull()).select("crawl", "seq", "url", F.col("_reason").alias("verdict")))
 
 
+def render_gate(pages: DataFrame, most: int = 25) -> DataFrame:
+    """(crawl, seq, render) of pages (crawl, seq, outcome): whether a page is worth a browser, the first ``most`` of a crawl."""
+    wants = F.col("outcome").isin("client_rendered", "too_short")
+    counted = running_sums(pages.select("crawl", "seq", "outcome"), ["crawl"], ["seq"], {"_before": wants.cast("int")}, Stage(pages.sparkSession, "renders"))
+    return counted.select("crawl", "seq", F.coalesce(wants & (F.col("_before") < most), F.lit(False)).alias("render"))
+
+
 def visits(log: DataFrame, max_pages: int = 200, max_bytes: int = 64 * 1024 * 1024, seconds: float = 300.0) -> DataFrame:
     """(crawl, seq, verdict) of fetches (crawl, seq, url, fault, status, media_type, noindex, bytes, elapsed) in visit order, ties by url.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import bound
@@ -53,7 +53,7 @@ def file_filter(entries: DataFrame, max_bytes: int = 512 * 1024) -> DataFrame:
     some = lambda values: F.arrays_overlap(folders, F.array(*(F.lit(v) for v in values)))
     ends = lambda c, values: c.rlike("(" + "|".join(v.replace(".", r"\.") for v in values) + ")$")
     unsafe = (path == "") | F.startswith(path, F.lit("/")) | F.contains(path, F.lit("\\")) | F.exists(F.split(path, "/"), lambda s: s.isin("", ".", ".."))
-    secret = name.isin(SECRET_NAMES) | extension.isin(SECRET_EXTENSIONS) | (F.startswith(name, F.lit(".env")) & ((name == ".env") | ~ends(name, TEMPLATE_SUFFIXES)))
+    secret = name.isin(*SECRET_NAMES) | extension.isin(*SECRET_EXTENSIONS) | (F.startswith(name, F.lit(".env")) & ((name == ".env") | ~ends(name, TEMPLATE_SUFFIXES)))
     reason = (
         F.when(F.col("mode") == "160000", "submodule")
         .when(F.col("mode") == "120000", "symlink")
@@ -61,8 +61,8 @@ def file_filter(entries: DataFrame, max_bytes: int = 512 * 1024) -> DataFrame:
         .when(F.col("type") != "blob", "not_a_file")
         .when(secret, "secret")
         .when(some(VENDORED_DIRECTORIES), "vendored")
-        .when(some(GENERATED_DIRECTORIES) | name.isin(GENERATED_NAMES) | ends(name, GENERATED_SUFFIXES), "generated")
-        .when(extension.isin(BINARY_EXTENSIONS), "binary")
+        .when(some(GENERATED_DIRECTORIES) | name.isin(*GENERATED_NAMES) | ends(name, GENERATED_SUFFIXES), "generated")
+        .when(extension.isin(*BINARY_EXTENSIONS), "binary")
         .when(F.col("size") > max_bytes, "too_large")
     )
     return entries.withColumn("reason", reason)
@@ -163,3 +163,17 @@ def address_classes(df: DataFrame, address: str = "address") -> DataFrame:
     judged = others.withColumn("_class", classify("_other"))
     joined = df.join(judged, F.col(address) == F.col("_other"), "left")
     return joined.withColumn("reason", F.when(F.col(address).isNull(), "reserved").when(plain, ipv4_class(F.trim(F.col(address)))).otherwise(F.col("_class"))).drop("_other", "_class")
+
+
+def screened_answers(answers: DataFrame, name: str = "name", address: str = "address", order: str = "ordinal", most: int = 8) -> DataFrame:
+    """(name, reason, position, address): the first ``most`` addresses of each name, in ``order``, if all of its answers may be used.
+
+    One answer that may not refuses the name: a row with the first reason and without an address. All answers count, those beyond
+    ``most`` as well.
+    """
+    judged = address_classes(answers.select(name, address, order), address)
+    refused = judged.where("reason is not null").groupBy(name).agg(F.min_by("reason", order).alias("reason"))
+    cleared = judged.join(refused.select(name), name, "left_anti")
+    placed = cleared.withColumn("position", F.row_number().over(Window.partitionBy(name).orderBy(order))).where(F.col("position") <= most)
+    none = F.lit(None)
+    return placed.select(name, none.cast("string").alias("reason"), "position", F.col(address).alias("address")).unionByName(refused.select(name, "reason", none.cast("int").alias("position"), none.cast("string").alias("address")))

@@ -40,6 +40,7 @@ _SITE = """SELECT concat('http://h', p_partkey % 5, '.example/docs/p', p_partkey
 _SEEDS = "VALUES (0L, 'http://h0.example/docs/p5', 'seed', 0), (0L, 'http://h0.example/docs/p10', 'sitemap', 1), (1L, 'http://h1.example/docs/p6', 'seed', 0), (2L, 'http://h2.example/docs/p2#x', 'seed', 0), (2L, 'http://h2.example/other', 'sitemap', 1)"
 
 
+_OUTCOMES = "SELECT o_custkey % 40 AS crawl, o_orderkey AS seq, CASE CAST(o_custkey % 7 AS INT) WHEN 0 THEN 'client_rendered' WHEN 1 THEN 'too_short' WHEN 2 THEN 'empty' ELSE 'sufficient' END AS outcome FROM orders"
 #: Robots files of the made site: two sitemaps, one of them elsewhere; one named twice; none.
 _ROBOTS = """SELECT DISTINCT concat('h', p_partkey % 5, '.example') AS host, 200 AS status, CASE CAST(p_partkey % 5 AS INT)
     WHEN 0 THEN concat('Sitemap: http://h0.example/maps/index.xml # all', chr(10), 'sitemap:http://other.example/s.xml', chr(10), 'User-agent: *', chr(10), 'Disallow: /docs/private', chr(10), 'SITEMAP : http://h0.example/maps/part29.xml')
@@ -86,6 +87,7 @@ QUERIES = {
     "site_crawl": lambda spark, sf_dir: crawl.site_crawl(*site(spark, sf_dir), max_pages=60, max_frontier=150),
     "site_crawl_sitemaps": lambda spark, sf_dir: crawl.crawl_sites(*site_files(spark, sf_dir), max_pages=60, max_frontier=150, max_bytes=20_000, seconds=40.0),
     "sitemap_discovery": _discovery,
+    "render_gate": lambda spark, sf_dir: crawl.render_gate(_sql(spark, sf_dir, _OUTCOMES)),
     "sitemap_children": lambda spark, sf_dir: crawl.sitemap_children(_sql(spark, sf_dir, _INDEXES)),
     "content_store": _store,
     "robots_rules": lambda spark, sf_dir: crawl.robots_rules(_sql(spark, sf_dir, _FILES), f"{_AGENT}/1.0"),
@@ -101,6 +103,9 @@ _NAMES = f"h AS ({_HOSTS}), n AS (SELECT host_id, lower(regexp_replace(trim(host
 
 ORACLE = {
     "content_store": "SELECT sha256(html) AS sha256, octet_length(encode(any_value(html)))::BIGINT AS size, count(*) AS holders FROM pages GROUP BY 1",
+    "render_gate": f"""
+        WITH o AS ({_OUTCOMES}), n AS (SELECT *, outcome IN ('client_rendered', 'too_short') AS w FROM o)
+        SELECT crawl, seq, w AND sum(w::INT) OVER (PARTITION BY crawl ORDER BY seq ROWS UNBOUNDED PRECEDING) <= 25 AS render FROM n""",
     "sitemap_discovery": f"""
         WITH RECURSIVE listed AS ({_LISTED.format(part="part")}),
         children AS (SELECT url AS parent, list(loc ORDER BY place) AS c FROM listed WHERE is_index GROUP BY url),

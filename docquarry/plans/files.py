@@ -56,7 +56,7 @@ def _addresses(spark, sf_dir):
 #: Folders of the made repositories: five below the root, four in each, and files in both kinds; odd kinds among them.
 _LEAF = "CASE WHEN p_partkey % 13 = 0 THEN 'symlink' WHEN p_partkey % 17 = 0 THEN 'submodule' ELSE 'blob' END"
 _A, _B = "CAST(floor(p_partkey / 5) AS BIGINT) % 5", "CAST(floor(p_partkey / 25) AS BIGINT) % 4"
-_ENTRIES = f"""SELECT DISTINCT p_partkey % 5 AS repo, 'root' AS sha, false AS recursive, 10 - {_A} AS ordinal, concat('d', {_A}) AS path, 'tree' AS kind, concat('d', {_A}) AS child, 0 AS size FROM {{part}}
+_TREE_ENTRIES = f"""SELECT DISTINCT p_partkey % 5 AS repo, 'root' AS sha, false AS recursive, 10 - {_A} AS ordinal, concat('d', {_A}) AS path, 'tree' AS kind, concat('d', {_A}) AS child, 0 AS size FROM {{part}}
     UNION ALL SELECT DISTINCT p_partkey % 5, concat('d', {_A}), false, {_B}, concat('e', {_B}), 'tree', concat('d', {_A}, 'e', {_B}), 0 FROM {{part}}
     UNION ALL SELECT p_partkey % 5, concat('d', {_A}, 'e', {_B}), false, p_partkey, concat('f', p_partkey, '.py'), {_LEAF}, concat('s', p_partkey), p_size FROM {{part}}
     UNION ALL SELECT p_partkey % 5, concat('d', {_A}), false, 10 + p_partkey, concat('g', p_partkey), {_LEAF}, concat('t', p_partkey), p_size FROM {{part}} WHERE p_partkey % 3 = 0
@@ -70,14 +70,14 @@ def _trees(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     out = []
     for n, (requests, most, depth) in enumerate(_LIMITS):
-        found, report = trees.repository_files(spark.sql(_LISTINGS, part=part), spark.sql(_ENTRIES, part=part), requests, most, depth)
+        found, report = trees.repository_files(spark.sql(_LISTINGS, part=part), spark.sql(_TREE_ENTRIES, part=part), requests, most, depth)
         lists = found.groupBy("repo").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]), ",").cast("binary"), 256).alias("paths"))
         out.append(report.join(lists, "repo", "left").withColumn("limits", F.lit(n)))
     return functools.reduce(DataFrame.unionByName, out)
 
 
 def _trees_sql(n, requests, most, depth):
-    return f"""SELECT * FROM (WITH RECURSIVE l AS ({_LISTINGS.format(part="part")}), e AS ({_ENTRIES.format(part="part")}), a AS (SELECT repo, truncated AS cut FROM l WHERE recursive),
+    return f"""SELECT * FROM (WITH RECURSIVE l AS ({_LISTINGS.format(part="part")}), e AS ({_TREE_ENTRIES.format(part="part")}), a AS (SELECT repo, truncated AS cut FROM l WHERE recursive),
         w AS (SELECT repo, 'root' AS sha, '' AS prefix, 0 AS depth, []::BIGINT[] AS way FROM a WHERE cut
               UNION ALL SELECT w.repo, e.child, prefix || e.path || '/', depth + 1, list_append(way, e.ordinal) FROM w JOIN e ON e.repo = w.repo AND e.sha = w.sha AND NOT e.recursive AND e.kind = 'tree'),
         o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY depth, way) AS k FROM w WHERE depth <= {depth}), v AS (SELECT * FROM o WHERE k <= {requests} - 1),
@@ -92,7 +92,15 @@ def _trees_sql(n, requests, most, depth):
         FROM a JOIN c USING (repo) JOIN p USING (repo) LEFT JOIN n USING (repo))"""
 
 
-QUERIES = {"repository_tree": _trees, "file_filter": _filter, "repo_ref_parse": _specs, "citation_parse": _citations, "ip_classify": _addresses}
+#: Answers for a name; every third name has a private one now and then, beyond the eighth place as a rule.
+_ANSWERS = "SELECT l_suppkey AS name, l_orderkey * 10 + l_linenumber AS ordinal, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq, CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 40 = 7 THEN concat('10.0.', l_linenumber, '.9') WHEN l_suppkey % 3 = 0 AND l_partkey % 40 = 9 THEN '127.0.0.1' ELSE concat('8.', l_partkey % 200, '.', l_suppkey % 100, '.', l_linenumber) END AS address FROM lineitem"
+
+
+def _screened(spark, sf_dir):
+    return files.screened_answers(_of(_ANSWERS, "lineitem")(spark, sf_dir).selectExpr("name", "address", "struct(seq, address) AS ordinal"))
+
+
+QUERIES = {"answer_screening": _screened, "repository_tree": _trees, "file_filter": _filter, "repo_ref_parse": _specs, "citation_parse": _citations, "ip_classify": _addresses}
 
 
 def _in(values) -> str:
@@ -104,6 +112,11 @@ def _ends(column: str, values) -> str:
 
 
 ORACLE = {
+    "answer_screening": f"""
+        WITH a AS (SELECT *, CASE WHEN starts_with(address, '10.') THEN 'private' WHEN starts_with(address, '127.') THEN 'loopback' END AS r FROM ({_ANSWERS})),
+        b AS (SELECT name, arg_min(r, (seq, address)) AS reason FROM a WHERE r IS NOT NULL GROUP BY name),
+        k AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY seq, address)::INT AS position, address FROM a WHERE name NOT IN (SELECT name FROM b))
+        SELECT name, NULL AS reason, position, address FROM k WHERE position <= 8 UNION ALL SELECT name, reason, NULL, NULL FROM b""",
     "repository_tree": " UNION ALL ".join(_trees_sql(n, *limits) for n, limits in enumerate(_LIMITS)),
     "file_filter": f"""
         WITH e AS ({_ENTRIES}), s AS (SELECT *, string_split(lower(path), '/') AS p FROM e), n AS (SELECT *, p[-1] AS name, p[1:-2] AS dirs, regexp_extract(p[-1], '^.+(\\.[^.]*)$', 1) AS ext FROM s)
