@@ -91,6 +91,10 @@ def write_archives(records: DataFrame, path: str, segment_bytes: int = 1 << 20)
     cut.select(F.concat(head.cast("binary"), F.col("body")).cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+#: Octets of an HTTP head at most; a block that goes on without a blank line has none.
+HEAD_OCTETS = 1 << 20
+
+
 class _Reader:
     """The records of one archive, fed line by line (without the final newline)."""
 
@@ -137,16 +141,19 @@ class _Reader:
             self._close()
             digest = h.get(b"warc-payload-digest", "").rpartition(":")[2]
             self.open = {"id": h.get(b"warc-record-id", "").strip("<>"), "type": kind, "uri": h.get(b"warc-target-uri"), "refers": (h.get(b"warc-refers-to") or "").strip("<>") or None, "digest": digest or None, "sha": hashlib.sha256(), "n": 0, "at": 0, "held": bytearray()}
+            self.http_octets = 0
             self.http = b"" if h.get(b"content-type", "").startswith("application/http") and self.left else None
         self.state = "block"
         if not self.left:
             self._end()
 
     def _block(self, octets: bytes) -> None:
-        if self.http is not None:  # before the payload
-            self.http += octets
-            if self.http in (b"\r\n", b"\n") or self.http.endswith((b"\r\n\r\n", b"\n\n")):
-                self.http = None
+        if self.http is not None:  # before the payload; only the head's last octets are kept
+            self.http_octets += len(octets)
+            self.http = (self.http + octets)[-4:]
+            bare = self.http_octets <= 2 and self.http in (b"\r\n", b"\n")
+            if bare or self.http.endswith((b"\r\n\r\n", b"\n\n")) or self.http_octets > HEAD_OCTETS:
+                self.http = None  # a head beyond its bound isn't one: what follows is payload
             return
         held = self.open["held"]
         held += octets

@@ -471,3 +471,19 @@ def test_many_candidates_and_unclosed_tags_take_time_in_proportion(spark):
 def test_rare_languages_count_as_unlabelled(spark):
     docs = spark.createDataFrame([(k, f"text number {k}", f"l{min(k, 5)}") for k in range(20)], "doc_id long, text string, lang string")
     assert langid.text_model(docs, langid.LanguageParameters(languages=2))[0] == ["l0", "l5"]
+
+
+def test_an_http_block_without_a_blank_line_is_read_in_bounds():
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n"
+    body = b"".join(b"X-%06d: y\r\n" % k for k in range(300_000))
+    reader = warc._Reader("made", 1 << 16, True)
+    start = time.perf_counter()
+    for line in ((head % len(body)) + body).split(b"\n"):
+        reader.line(line)
+    assert time.perf_counter() - start < 20 and reader.state == "between"
+    assert sum(len(r[-1] or b"") if isinstance(r[-1], (bytes, bytearray)) else 0 for r in reader.rows) <= len(body)
+    reader = warc._Reader("made", 1 << 16, True)
+    good = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\npayload"
+    for line in ((head % len(good)) + good + b"\r\n").split(b"\n"):
+        reader.line(line)
+    assert any(b"payload" in v for r in reader.rows for v in r if isinstance(v, (bytes, bytearray)))
