@@ -13,7 +13,7 @@ def _near_pairs(spark, sf_dir):
     """Pairs of first arrivals; exact copies are collapsed before."""
     docs = table(spark, sf_dir, "documents")
     firsts = dedupe.exact_verdicts(docs).where("kind = 'unique'").select("doc_id")
-    pairs = dedupe.near_pairs(Stage(spark, "pairs").save(dedupe.sketches(docs.join(firsts, "doc_id", "left_semi")), "sketches"))
+    pairs = dedupe.near_pairs(dedupe.long_sketches(docs, firsts, Stage(spark, "pairs")))
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -74,6 +74,16 @@ def test_verdicts_edges(spark):
     assert dedupe.verdicts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_strangers_with_common_phrases_do_not_meet(spark, monkeypatch):
+    common = " ".join(f"common{k}" for k in range(30))
+    docs = [(n, f"{common} " + " ".join(f"own{n}x{k}" for k in range(40))) for n in range(200)]
+    docs.append((200, docs[7][1] + " more"))
+    met, plain = [], dedupe.similar_pairs
+    monkeypatch.setattr(dedupe, "similar_pairs", lambda pairs, *rest: met.append(pairs.count()) or plain(pairs, *rest))
+    found = {r.doc_id: r.original for r in dedupe.verdicts(spark.createDataFrame(docs, "doc_id long, text string")).where("kind = 'near'").collect()}
+    assert found == {200: 7} and sum(met) < 20
+
+
 def test_crawl_edges(spark):
     bodies = [("a", 200, "Disallow: /x"), ("b", 200, None), ("c", None, None), ("d", 404, "x"), ("e", 200, "user-agent: *\nuser-agent: docbot\nDisallow: /e\n\nuser-agent: doc\nallow: /")]
     rules = crawl.robots_rules(spark.createDataFrame(bodies, "host string, status int, body string"), "DocBot/2")
