@@ -74,6 +74,30 @@ def test_verdicts_edges(spark):
     assert dedupe.verdicts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_pairs_all_sizes(spark):
+    pick, texts = random.Random(5), []
+    for size in (30, 45, 80, 150, 300, 500):
+        base = [f"w{pick.randrange(400)}" for _ in range(size)]
+        for k in range(9):  # families whose members drift apart, are cut or go on
+            texts.append(" ".join(w if pick.random() > 0.012 * k else f"x{pick.randrange(9)}" for w in base))
+        texts += [" ".join(base[: size * 9 // 10]), " ".join(base + base[: size // 12]), " ".join(base + [f"y{j}" for j in range(size)])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(dict.fromkeys(texts))], "doc_id long, text string")
+    want = {}
+    sketches = {r.doc_id: {int(h, 16) for h in r.sketch} for r in dedupe.sketches(docs).collect() if r.chars >= 120}
+    for a, b in itertools.combinations(sorted(sketches), 2):
+        m = min(len(sketches[a]), len(sketches[b]))
+        shared = len(set(sorted(sketches[a] | sketches[b])[:m]) & sketches[a] & sketches[b])
+        if shared / m >= 0.85:
+            want[a, b] = shared / m
+    stored = dedupe.long_sketches(docs, docs, Stage(spark, "test"), chars=120)
+    assert {(r.a, r.b): r.similarity for r in dedupe.near_pairs(stored).collect()} == want
+    assert {len(sketches[a]) == 256 for a, _ in want} == {True, False} and any(len(sketches[a]) != len(sketches[b]) for a, b in want)
+    packed = stored.withColumnRenamed("doc_id", "b")
+    every = docs.selectExpr("doc_id as a").join(packed, F.col("a") < F.col("b")).select("a", "b").join(stored.selectExpr("doc_id as a"), "a")
+    found = dedupe.similar_pairs(every, stored, 0.85, together=3).collect()  # many blocks
+    assert {(r.a, r.b): r.similarity for r in found} == want
+
+
 def test_strangers_with_common_phrases_do_not_meet(spark, monkeypatch):
     common = " ".join(f"common{k}" for k in range(30))
     docs = [(n, f"{common} " + " ".join(f"own{n}x{k}" for k in range(40))) for n in range(200)]
