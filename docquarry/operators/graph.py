@@ -16,12 +16,16 @@ def budgeted_select(files: DataFrame, by: str, max_files: int = 2000, max_bytes:
     return counted.where((F.col("_n") < max_files) & (F.col("_sum") + F.col("size") <= total)).drop("_n", "_sum")
 
 
-def resolve_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """(file, module, resolved): a dotted name resolves to the only module that has it as a dotted suffix."""
+def unique_suffixes(modules: DataFrame) -> DataFrame:
+    """(suffix, resolved): the dotted suffixes that only one module has, with its path."""
     parts = F.split("module", r"\.")
     suffixes = modules.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix"))
-    unique = suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("resolved")).where("n = 1")
-    return imports.join(unique, F.col("module") == F.col("suffix"), "left").select("file", "module", "resolved")
+    return suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("resolved")).where("n = 1").drop("n")
+
+
+def resolve_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """(file, module, resolved): a dotted name resolves to the only module that has it as a dotted suffix."""
+    return imports.join(unique_suffixes(modules), F.col("module") == F.col("suffix"), "left").select("file", "module", "resolved")
 
 
 def dependencies(resolved: DataFrame) -> DataFrame:

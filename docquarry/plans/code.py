@@ -12,15 +12,25 @@ _SOURCES = r"""array(
     struct(concat('src/pkg', k, '/__init__.py') AS path, 'from . import core\n__all__ = ["core"]\n' AS text))"""
 
 
-def _parsed(spark, sf_dir):
+#: Rows of ``part`` in a task. Their table is small, and what is made of each row is not: files of a few MB would be one task's.
+_TOGETHER = 2_000
+
+
+def _analysed(spark, sf_dir, *wanted):
+    keys = table(spark, sf_dir, "part").selectExpr("p_partkey AS k")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // _TOGETHER))
+    return code.analysed(keys.repartition(parts).selectExpr(f"inline({_SOURCES})"), wanted)
+
+
+def _parsed(spark, sf_dir, *wanted):
     """Parsed once and written, as imports and calls read it several times."""
-    return Stage(spark, "python").save(code.analysed(table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr(f"inline({_SOURCES})")), "parsed")
+    return Stage(spark, "python").save(_analysed(spark, sf_dir, *wanted), "parsed")
 
 
 QUERIES = {
-    "python_symbols": lambda spark, sf_dir: code.symbols(_parsed(spark, sf_dir)),
-    "python_imports": lambda spark, sf_dir: code.imports(_parsed(spark, sf_dir)).selectExpr("file", "ordinal", "module", "resolved", "line", "to_json(bindings) AS bindings"),
-    "python_calls": lambda spark, sf_dir: code.calls(_parsed(spark, sf_dir)),
+    "python_symbols": lambda spark, sf_dir: code.symbols(_analysed(spark, sf_dir, "symbols")),
+    "python_imports": lambda spark, sf_dir: code.imports(_parsed(spark, sf_dir, "imports")).selectExpr("file", "ordinal", "module", "resolved", "line", "to_json(bindings) AS bindings"),
+    "python_calls": lambda spark, sf_dir: code.calls(_parsed(spark, sf_dir, "symbols", "calls")),
 }
 
 ORACLE: dict[str, str] = {}

@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from docquarry.operators import code, crawl, dedupe, gates
+from docquarry.plans import code as code_plans
 from docquarry.sources.stage import Stage
 
 _A = '''import os
@@ -54,6 +55,10 @@ def test_python_analysis(spark):
     }
 
 
+def test_python_files_are_dealt_to_tasks(spark):
+    assert len(code_plans._parsed(spark, "/root/testdata/sf0.01").inputFiles()) > 1  # from a table of one file
+
+
 def test_first_come(spark):
     pick = random.Random(3)
     pairs = [p for p in itertools.combinations(range(30), 2) if pick.random() < 0.08]
