@@ -59,6 +59,17 @@ def test_python_files_are_dealt_to_tasks(spark):
     assert len(code_plans._parsed(spark, "/root/testdata/sf0.01").inputFiles()) > 1  # from a table of one file
 
 
+def test_python_imports_and_symbols_alone(spark):
+    text = "def f(a, /, b: int = 1, *, c=2, **kw: x.y) -> A[int]: pass\ntry:\n    import b.c as d\nexcept E:\n    from . import e\ndef f(*a: T, k): pass\n"
+    files = spark.createDataFrame([("p/a.py", text), ("p/b.py", "def f(x):\n    global x\n"), ("p/e.py", "")], "path string, text string")
+    every = code.analysed(files)
+    for name in ("symbols", "imports", "calls"):
+        assert code.analysed(files, [name]).orderBy("path").collect() == every.select("path", "module", "error", name).orderBy("path").collect()
+    assert [r.signature for r in code.symbols(every).orderBy("ordinal").collect()] == ["(a, /, b: int = 1, *, c=2, **kw: x.y) -> A[int]", "(*a: T, k)"]
+    assert [(r.module, r.resolved, r.ordinal) for r in code.imports(every).orderBy("ordinal").collect()] == [("b.c", None, 0), ("p", None, 1)]
+    assert "(b.py, line 2)" in every.where("path = 'p/b.py'").first().error
+
+
 def test_first_come(spark):
     pick = random.Random(3)
     pairs = [p for p in itertools.combinations(range(30), 2) if pick.random() < 0.08]
